@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.ship import ship
+
 #: The characters of ``[\x20\x09-\x0D]``, which part words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,15 +44,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names; a null text is empty."""
+    ship(docs.sparkSession)
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan; for files their size on disk. Costs no job."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:  # noqa: BLE001  the estimate is a hint: classic sessions only
-        return 1 << 30
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if 0 < size < 1 << 60 else 1 << 30
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, mix, shuffle_partitions
+from .common import BLANKS, cut, mix, ship, shuffle_partitions
 
 #: Slots of the filter per row, and the most slots: "seen again" is one bit a slot, so 2**31 slots are a
 #: 256 MB broadcast at most. Beyond it more rows take the shuffle; results stay the same.
@@ -85,6 +85,7 @@ def seen_again(hashes: DataFrame, slots: int) -> np.ndarray:
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", slots: int | None = None) -> DataFrame:
     """Every row of ``docs`` with keep_id, group_size, kept and text_sha256; see the module for the rules."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.drop(*[c for c in docs.columns if c in OUT])
     if slots is None:
         slots = 1 << max(16, min(MOST_SLOTS, SLOTS_PER_ROW * docs.select(id_col).count()).bit_length())

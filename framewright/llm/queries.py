@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash, token_counts, toxicity
+from . import exact_dedup, simhash, suffix_array, suffix_tree, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_suffix_array_dedup": suffix_array.op2_suffix_array_dedup,
+        "op4_suffix_tree_dedup": suffix_tree.op4_suffix_tree_dedup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op10_token_counts": token_counts.op10_token_counts,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, ship
 
 MAX_TRAIN = 20_000
 # Insults and threats of general English, the seed lexicon.
@@ -214,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score and predicted; columns of those names are replaced."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
