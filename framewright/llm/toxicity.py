@@ -201,14 +201,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     got = sorted(tuple(r) for r in rows.mapInArrow(dense, "doc_id bigint, y int, x array<double>").collect())
+    if not got:  # labels of documents that aren't there
+        return Model(learned, None, None, toxic / total)
     y, x = np.array([g[1] for g in got], float), np.array([g[2] for g in got], float)
     fold = np.array([(g[0] * 2654435761 >> 7) % folds for g in got])
     out = np.zeros(len(y))
     for k in range(folds):
         part = fold == k
-        if part.any():
-            inside = y[~part]
-            out[part] = Booster().fit(x[~part], inside).margin(x[part]) if len(inside) else 0
+        if part.any() and not part.all():
+            out[part] = Booster().fit(x[~part], y[~part]).margin(x[part])
     return Model(learned, Booster().fit(x, y), isotonic(out, y))
 
 

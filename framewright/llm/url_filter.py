@@ -30,7 +30,7 @@ UNWANTED = (
 ).split("|")
 ORDINARY = (
     "news blog|www docs|wiki science|city library|health research|school history|music review|open source code|travel guide|weather report|public data|art museum|help forum|mobile app|m news|"
-    "www example|blog example|local sports news|book store|family recipe|online learning|university press|free software|garden shop"
+    "local sports news|book store|family recipe|online learning|university press|free software|garden shop"
 ).split("|")
 # Further frequent English words, most frequent first, for the segmentation alone.
 COMMON = (
@@ -77,7 +77,7 @@ class Bayes:
 
     block: list[str]
     allow: list[str]
-    prior: float = 0.2
+    prior: float = 0.3
 
     def __post_init__(self):
         rows = {k: [w for name in names for w in name.split()] for k, names in (("block", self.block), ("allow", self.allow))}
