@@ -6,6 +6,9 @@ remove every symbol covered by a window that also starts in a document with a sm
 1. *Anchors.* Each window is named by the least hash of its ``gram``-symbol substrings, so equal windows
    have equal anchors, and neighbours mostly share theirs. Chunks of documents send the distinct anchors
    (4 bytes each); a shard of anchors answers which ones stand in two documents.
+   Texts that are equal to the byte are one string from the start: a task passes on the first and tells its
+   copies at once (all their windows stand in a smaller id), and equal texts of different tasks meet in a chunk,
+   because their content deals them.
 2. *Super-windows.* A run of windows with one shared anchor is one string, of at most
    ``width + RUN - 1`` symbols. A chunk sends each distinct string once, with the least id that has it, to the
    shard of its anchor: a passage that a third of all documents share is sent once a chunk. Anchors that
@@ -128,16 +131,15 @@ class Groups:
     length: np.ndarray
 
 
-def sort_suffixes(symbols: list[np.ndarray], width: int, q: int) -> Suffixes:
-    """Sort by packed symbols (``q`` to a word), going on only where words tie."""
+def sort_suffixes(symbols: np.ndarray, size: np.ndarray, width: int, q: int) -> Suffixes:
+    """Sort by packed symbols (``q`` to a word), going on only where words tie. ``symbols``: of all strings, 1 and up."""
     bits = 64 // q
-    size = np.array([len(s) for s in symbols], np.int64)
     # Strings lie apart by q zeros (symbols are 1 and up), so that a word never holds two strings.
     base = np.cumsum(size + q) - size - q
     flat = np.zeros(int((size + q).sum()) + q, U)
     at = np.repeat(base, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    if len(symbols):
-        flat[at] = np.concatenate(symbols)
+    flat[at] = symbols
+    del at
     packed = np.zeros(len(flat), U)
     for j in range(q):
         packed[: len(flat) - j] |= flat[j:] << U(64 - bits * (j + 1))
@@ -204,12 +206,12 @@ def left_diverse(s: Suffixes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (least != most) | (least < 0)
 
 
-def least_ids(symbols: list[np.ndarray], ids: np.ndarray, width: int, q: int, scan: Scan) -> list[np.ndarray]:
-    """For each window of each string, the least id of any string that has the window."""
-    count = np.array([max(0, len(s) - width + 1) for s in symbols], np.int64)
+def least_ids(symbols: np.ndarray, size: np.ndarray, ids: np.ndarray, width: int, q: int, scan: Scan) -> np.ndarray:
+    """For each window of each string, in order, the least id of any string that has the window."""
+    count = np.maximum(size - width + 1, 0)
     first = np.cumsum(count) - count
     least = np.repeat(ids, count)
-    s = sort_suffixes(symbols, width, q)
+    s = sort_suffixes(symbols, size, width, q)
     groups = scan(s)
     if len(groups.lo):
         g, at = expand(groups.lo, groups.hi)
@@ -218,7 +220,7 @@ def least_ids(symbols: list[np.ndarray], ids: np.ndarray, width: int, q: int, sc
         for j in range(int(last.max()) + 1):  # every window inside the repeat
             in_it = last >= j
             np.minimum.at(least, window[in_it] + j, of[in_it])
-    return np.split(least, first[1:]) if len(symbols) else []
+    return least
 
 
 # ---------------------------------------------------------------- the plan
@@ -272,28 +274,80 @@ def _strings(unit: Unit, known: _Known, text: str):
                 yield xxhash.xxh64_intdigest(string) % known.shards, string, a, 1
 
 
-def _ids(table: pa.Table) -> list[int]:
-    return [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
+def _distinct(table: pa.Table) -> dict[str, int]:
+    """A chunk's distinct texts in order, each with the least id that has it."""
+    least: dict[str, int] = {}
+    for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+        if text is not None:
+            doc = NO_ID if doc is None else doc
+            if least.get(text, NO_ID + 1) > doc:
+                least[text] = doc
+    return dict(sorted(least.items()))
+
+
+def _removed_spans(places, first_bits: list[int], width: int) -> list[list[int]]:
+    """Spans [start, end) of the symbols under marked windows; places: (string, first window, windows)."""
+    spans: list[list[int]] = []
+    for i, first, _ in sorted(places, key=lambda x: x[1]):
+        b = first_bits[i]
+        while b:
+            low = (b & -b).bit_length() - 1
+            run = ((b >> low) + 1 & ~(b >> low)).bit_length() - 1
+            s, e = first + low, first + low + run - 1 + width
+            if spans and s <= spans[-1][1]:
+                spans[-1][1] = e
+            else:
+                spans.append([s, e])
+            b &= ~(((1 << run) - 1) << low)
+    return spans
+
+
+def _kept(unit: Unit, raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[list[int]]) -> bytes:
+    parts, at = [], 0
+    for s, e in [*spans, [len(starts), len(starts)]]:
+        if s > at:
+            parts.append(raw[starts[at] : ends[s - 1]])
+        at = e
+    return (b" " if unit.words else b"").join(parts)
 
 
-def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_bytes: int = 4 << 20, with_text: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_bytes: int = 3 << 20, with_text: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_symbols, spans (removed symbols, [start, end)), kept (UTF-8), kept_sha256 of each row of ``docs``.
 
     ``kept`` is null unless ``with_text``.
     """
     shards = chunk_count(docs, chunk_bytes)
-    texts = id_and_text(docs, text_col, id_col)
-    texts = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards)).cast("int"))
-    texts = texts.repartition("chunk")
+    width = unit.width
+
+    def fold(batches):
+        seen: dict[bytes, int] = {}
+        n = 0
+        for b in batches:
+            chunk, text_out, size = [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = text.encode("utf-8", "surrogatepass")
+                digest = hashlib.sha256(raw).digest()
+                doc = NO_ID if doc is None else doc
+                n += 1
+                if seen.get(digest, NO_ID) < doc:
+                    symbols = len(raw.split()) if unit.words else len(raw)
+                    if symbols >= width:
+                        chunk.append(n % shards), text_out.append(None), size.append(symbols)
+                        continue
+                else:
+                    seen[digest] = doc
+                chunk.append(int.from_bytes(digest[:8], "little") % shards), text_out.append(text), size.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), b.column(0), pa.array(text_out, pa.string()), pa.array(size, pa.int64())], ["chunk", "doc_id", "text", "gone"])
+
+    texts = id_and_text(docs, text_col, id_col).mapInArrow(fold, "chunk int, doc_id bigint, text string, gone bigint").repartition("chunk")
 
     def anchors(key, table):
-        value, doc = [], []
-        for i, text in enumerate(table.column("text").to_pylist()):
+        value = []
+        for text in _distinct(table):
             raw, starts, ends = unit.split(text)
             own = [a for _, _, a in unit.runs(raw, starts, ends)]
             if own:
-                own = np.unique(np.concatenate(own))
-                value.append(own)
+                value.append(np.unique(np.concatenate(own)))
         out: dict = {"chunk": [], "shard": [], "a": [], "b": []}
         if value:
             u, n = np.unique(np.concatenate(value), return_counts=True)
@@ -304,48 +358,50 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
 
     def shared(key, table):
         rows = list(zip(table.column("chunk").to_pylist(), [np.frombuffer(x, "<u4") for x in table.column("a").to_pylist()], [np.frombuffer(x, "<u4") for x in table.column("b").to_pylist()]))
-        u, n = np.unique(np.concatenate([x for r in rows for x in r[1:]]), return_counts=True)
-        both, many = u[n > 1], u[n >= hot]
+        code = np.sort(np.concatenate([x for r in rows for x in r[1:]]))
+        again = code[1:][code[1:] == code[:-1]]
+        both, n = np.unique(again, return_counts=True)
+        many = both[n + 1 >= hot]
         out: dict = {"chunk": [], "shard": [], "a": [], "b": []}
+        has = lambda a, x: a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x if len(a) else np.zeros(len(x), bool)
         for chunk, codes, _ in rows:
-            mine = codes[np.isin(codes, both)]
+            mine = codes[has(both, codes)]
             if len(mine):
-                out["chunk"].append(chunk), out["shard"].append(key[0].as_py()), out["a"].append(mine.tobytes()), out["b"].append(mine[np.isin(mine, many)].tobytes())
+                out["chunk"].append(chunk), out["shard"].append(key[0].as_py()), out["a"].append(mine.tobytes()), out["b"].append(mine[has(many, mine)].tobytes())
         return pa.table(out, schema=piece)
 
-    def collect(table: pa.Table, known: _Known) -> tuple[dict[bytes, int], list[int], list[int], list]:
-        """A chunk's distinct strings in the order met, their shards and least ids; and where they stand."""
-        index: dict[bytes, int] = {}
-        shard_of, least, places = [], [], []
-        for doc, text in zip(_ids(table), table.column("text").to_pylist()):
-            here = []
-            for shard, string, first, n in _strings(unit, known, text):
-                i = index.get(string)
-                if i is None:
-                    i = index[string] = len(shard_of)
-                    shard_of.append(shard)
-                    least.append(doc)
-                elif doc < least[i]:
-                    least[i] = doc
-                here.append((i, first, n))
-            places.append(here)
-        return index, shard_of, least, places
-
-    def sorted_table(table: pa.Table) -> pa.Table:
-        return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
     def strings(key, left, right):
+        """A chunk's distinct strings to their shards; and to itself, by a shard below 0, where they stand."""
         out: dict = {"chunk": [], "shard": [], "data": [], "sizes": [], "ids": []}
         if left.num_rows and right.num_rows:
-            index, shard_of, least, _ = collect(sorted_table(left), _Known(right, shards))
+            known = _Known(right, shards)
+            index: dict[bytes, int] = {}
+            shard_of, least, places = [], [], []
+            for k, (text, doc) in enumerate(_distinct(left).items()):
+                for shard, string, first, n in _strings(unit, known, text):
+                    i = index.setdefault(string, len(shard_of))
+                    if i == len(shard_of):
+                        shard_of.append(shard)
+                        least.append(doc)
+                    elif doc < least[i]:
+                        least[i] = doc
+                    places.append((k, i, first, n))
             text = list(index)
             sizes, ids = np.array([len(t) for t in text], "<u4"), np.array(least, "<i8")
+            put = lambda s, *blobs: [c.append(v) for c, v in zip(out.values(), (key[0].as_py(), s, *blobs))]
             for s, at in _by_shard(np.array(shard_of, np.int64), np.arange(len(text))):
-                out["chunk"].append(key[0].as_py()), out["shard"].append(s), out["data"].append(b"".join([text[i] for i in at.tolist()]))
-                out["sizes"].append(sizes[at].tobytes()), out["ids"].append(ids[at].tobytes())
+                put(s, b"".join([text[i] for i in at.tolist()]), sizes[at].tobytes(), ids[at].tobytes())
+            if places:
+                put(-1 - key[0].as_py(), np.array(places, "<i8").astype("<u4").tobytes(), np.array(shard_of, "<u4").tobytes(), ids.tobytes())
         return pa.table(out, schema=pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]))
 
     def marks(key, table):
+        out: dict = {"chunk": [], "shard": [], "a": [], "b": [], "c": []}
+        put = lambda *row: [c.append(v) for c, v in zip(out.values(), row)]
+        schema = pa.schema([*piece, ("c", pa.binary())])
+        if key[0].as_py() < 0:
+            put(table.column("chunk")[0].as_py(), -1, *[table.column(c)[0].as_py() for c in ("data", "sizes", "ids")])
+            return pa.table(out, schema=schema)
         index: dict[bytes, int] = {}
         least: list[int] = []
         owners = []
@@ -355,9 +411,8 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
             mine = []
             for s, e, d in zip([0, *ends[:-1].tolist()], ends.tolist(), ids.tolist()):
                 string = data[s:e]
-                i = index.get(string)
-                if i is None:
-                    i = index[string] = len(least)
+                i = index.setdefault(string, len(least))
+                if i == len(least):
                     least.append(d)
                 elif d < least[i]:
                     least[i] = d
@@ -365,64 +420,56 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
             owners.append((chunk, np.array(mine), ids))
         if unit.words:
             names: dict[bytes, int] = {}
-            symbols = [np.array([names.setdefault(w, len(names) + 1) for w in t.split(b" ")], U) for t in index]
+            words = [t.split(b" ") for t in index]
+            size = np.array([len(w) for w in words], np.int64)
+            symbols = np.array([names.setdefault(w, len(names) + 1) for t in words for w in t], U)
+            del words
         else:
-            symbols = [np.frombuffer(t, np.uint8).astype(U) + U(1) for t in index]
-        found = least_ids(symbols, np.array(least, np.int64), unit.width, q, scan)
-        count = np.array([len(x) for x in found], np.int64)
-        flat, first = np.concatenate(found) if found else np.zeros(0, np.int64), np.cumsum(count) - count
-        out: dict = {"chunk": [], "shard": [], "a": [], "b": []}
+            size = np.array([len(t) for t in index], np.int64)
+            symbols = np.frombuffer(b"".join(index), np.uint8).astype(U) + U(1)
+        del index
+        found = least_ids(symbols, size, np.array(least, np.int64), width, q, scan)
+        count = np.maximum(size - width + 1, 0)
+        first = np.cumsum(count) - count
         for chunk, mine, ids in owners:
             bits = np.zeros(len(mine), U)
             n = count[mine]
             for j in range(int(n.max()) if len(n) else 0):
                 k = np.flatnonzero(n > j)
-                bits[k] |= (flat[first[mine[k]] + j] < ids[k]).astype(U) << U(j)
-            out["chunk"].append(chunk), out["shard"].append(-1 - key[0].as_py()), out["a"].append(bits.tobytes()), out["b"].append(b"")
-        return pa.table(out, schema=piece)
+                bits[k] |= (found[first[mine[k]] + j] < ids[k]).astype(U) << U(j)
+            put(chunk, key[0].as_py(), bits.tobytes(), b"", b"")
+        return pa.table(out, schema=schema)
 
     def removed(key, left, right):
-        left = sorted_table(left)
-        is_mark = np.array([s < 0 for s in right.column("shard").to_pylist()], bool)
-        index, shard_of, least, places = collect(left, _Known(right.filter(pa.array(~is_mark)), shards)) if left.num_rows and right.num_rows else ({}, [], [], [[]] * left.num_rows)
-        bits = np.zeros(len(shard_of), U)
-        got = {-1 - s: np.frombuffer(a, U) for s, a, m in zip(right.column("shard").to_pylist(), right.column("a").to_pylist(), is_mark) if m}
-        for s, at in _by_shard(np.array(shard_of, np.int64), np.arange(len(shard_of))):
-            bits[at] = got[s]
+        distinct = _distinct(left)
+        at_text: dict[int, list[tuple[int, int, int]]] = {}
+        bits = np.zeros(0, U)
+        ids: list[int] = []
+        blobs = {s: (a, b, c) for s, a, b, c in zip(*[right.column(c).to_pylist() for c in ("shard", "a", "b", "c")])}
+        if -1 in blobs:
+            places, shard_of, least = blobs[-1]
+            for k, i, first, n in np.frombuffer(places, "<u4").reshape(-1, 4).tolist():
+                at_text.setdefault(k, []).append((i, first, n))
+            shard_of, ids = np.frombuffer(shard_of, "<u4").astype(np.int64), np.frombuffer(least, "<i8").tolist()
+            bits = np.zeros(len(shard_of), U)
+            for s, at in _by_shard(shard_of, np.arange(len(shard_of))):
+                bits[at] = np.frombuffer(blobs[s][0], U)
         bits = bits.tolist()
-        out: dict = {"doc_id": [], "n_symbols": [], "spans": [], "kept": [], "kept_sha256": []}
-        w = unit.width
-        for doc, real, text, here in zip(_ids(left), left.column("doc_id").to_pylist(), left.column("text").to_pylist(), places):
+        told: dict[str, tuple] = {}
+        for k, (text, doc) in enumerate(distinct.items()):
             raw, starts, ends = unit.split(text)
-            spans: list[list[int]] = []
-            for i, first, n in sorted(here, key=lambda x: x[1]):
-                b = (1 << n) - 1 if least[i] < doc else bits[i]
-                while b:
-                    low = (b & -b).bit_length() - 1
-                    run = ((b >> low) + 1 & ~(b >> low)).bit_length() - 1
-                    s, e = first + low, first + low + run - 1 + w
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = e
-                    else:
-                        spans.append([s, e])
-                    b &= ~(((1 << run) - 1) << low)
-            if spans:
-                if unit.words:
-                    parts, at = [], 0
-                    for s, e in [*spans, [len(starts), len(starts)]]:
-                        if s > at:
-                            parts.append(raw[starts[at] : ends[s - 1]])
-                        at = e
-                    kept = b" ".join(parts)
-                else:
-                    parts, at = [], 0
-                    for s, e in spans:
-                        parts.append(raw[at:s])
-                        at = e
-                    kept = b"".join([*parts, raw[at:]])
-            else:
-                kept = raw
-            out["doc_id"].append(real), out["n_symbols"].append(len(starts)), out["spans"].append([{"start": s, "end": e} for s, e in spans])
+            here = at_text.get(k, [])
+            # Where a string's least id is another document's, all its windows are marked.
+            mark = {i: (1 << n) - 1 if ids[i] < doc else bits[i] for i, _, n in here}
+            spans = _removed_spans(here, mark, width)
+            kept = _kept(unit, raw, starts, ends, spans)
+            told[text] = (doc, len(starts), spans, kept)
+        out: dict = {"doc_id": [], "n_symbols": [], "spans": [], "kept": [], "kept_sha256": []}
+        for real, text, gone in zip(*[left.column(c).to_pylist() for c in ("doc_id", "text", "gone")]):
+            least, n, spans, kept = told[text] if text is not None else (-1, gone, [], b"")
+            if text is None or ((NO_ID if real is None else real) > least and n >= width):
+                spans, kept = [[0, n]], b""
+            out["doc_id"].append(real), out["n_symbols"].append(n), out["spans"].append([{"start": s, "end": e} for s, e in spans])
             out["kept"].append(kept if with_text else None), out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_symbols", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
@@ -432,6 +479,6 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
     by_chunk = texts.groupBy("chunk")
     known = by_chunk.applyInArrow(anchors, ddl).groupBy("shard").applyInArrow(shared, ddl)
     sent = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(strings, "chunk int, shard bigint, data binary, sizes binary, ids binary")
-    marked = sent.groupBy("shard").applyInArrow(marks, ddl)
+    marked = sent.groupBy("shard").applyInArrow(marks, ddl + ", c binary")
     out = "doc_id bigint, n_symbols bigint, spans array<struct<start: bigint, end: bigint>>, kept binary, kept_sha256 string"
-    return by_chunk.cogroup(known.unionByName(marked).groupBy("chunk")).applyInArrow(removed, out)
+    return by_chunk.cogroup(marked.groupBy("chunk")).applyInArrow(removed, out)
