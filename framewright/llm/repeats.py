@@ -5,16 +5,17 @@ remove every symbol covered by a window that also starts in a document with a sm
 
 1. *Anchors.* Each window is named by the least hash of its ``gram``-symbol substrings, so equal windows
    have equal anchors, and neighbours mostly share theirs. Chunks of documents send the distinct anchors
-   (4 bytes each); a shard of anchors answers which ones stand in two documents.
+   (4 bytes each); a shard of anchors answers which ones stand in two texts.
    Texts that are equal to the byte are one string from the start: a task passes on the first and tells its
    copies at once (all their windows stand in a smaller id), and equal texts of different tasks meet in a chunk,
    because their content deals them.
 2. *Super-windows.* A run of windows with one shared anchor is one string, of at most
-   ``width + RUN - 1`` symbols. A chunk sends each distinct string once, with the least id that has it, to the
-   shard of its anchor: a passage that a third of all documents share is sent once a chunk. Anchors that
-   ``hot`` or more chunks have are split further: each of their windows goes to a shard by its own content.
-3. *Suffixes.* A shard has all suffixes whose first ``width`` symbols are equal, as far as they matter. It sorts
-   them and finds the groups of equal prefixes by the operator's method (``scan``); a group's least id decides.
+   ``width + RUN - 1`` symbols. A chunk sends the anchor's shard the hash of each distinct string with the least id
+   that has it (a passage that a third of all documents share is sent once a chunk). Anchors that
+   ``hot`` or more chunks have are split further: each of their windows is a string of its own, in a shard by its own
+   content. The shard asks one chunk for the symbols of each distinct string that isn't alone under its anchor.
+3. *Suffixes.* So a shard has, once each, all distinct strings whose windows can be equal. It sorts
+   their suffixes and finds the groups of equal prefixes by the operator's method (``scan``); a group's least id decides.
 4. Each chunk gets a bit for each window of its strings, marks its documents and removes the symbols.
 
 All of it is one plan; the exchange of the texts by chunk is made once and reused.
@@ -49,22 +50,21 @@ class Unit:
     width: int
     gram: int
 
-    def split(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """The text's symbols as bytes (words joined by one space), with starts and ends."""
+    def split(self, text: str) -> tuple[bytes, int, np.ndarray | None, np.ndarray | None]:
+        """The text's symbols as bytes (words joined by one space), how many, and the words' starts and ends."""
         raw = text.encode("utf-8", "surrogatepass")
         if not self.words:
-            at = np.arange(len(raw) + 1)
-            return raw, at[:-1], at[1:]
+            return raw, len(raw), None, None
         raw = b" ".join(raw.split())
         if not raw:
-            return raw, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return raw, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
         gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
-        return raw, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+        return raw, len(gaps) + 1, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
 
-    def hashes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def hashes(self, raw: bytes, starts: np.ndarray | None, ends: np.ndarray | None) -> np.ndarray:
         """A hash of each ``gram`` consecutive symbols, by content alone."""
         b = np.frombuffer(raw + bytes(8), np.uint8)
-        n = len(starts)
+        n = len(starts) if self.words else len(raw)
         if not self.words:
             eight = np.lib.stride_tricks.as_strided(b, (n, 8), (1, 1)).copy().view("<u8").ravel()
             step, one = 8, eight
@@ -85,13 +85,16 @@ class Unit:
             h += one[j : j + m]
         return mix(h)
 
-    def runs(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def runs(self, raw: bytes, n: int, starts: np.ndarray | None, ends: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(first window, windows, anchor) of the runs, piece by piece."""
-        windows = len(starts) - self.width + 1
+        windows = n - self.width + 1
         for at in range(0, max(windows, 0), PIECE):
-            upto = min(len(starts), at + PIECE + self.width - 1)
-            lo, hi = int(starts[at]), int(ends[upto - 1])
-            least = self.hashes(raw[lo:hi], starts[at:upto] - lo, ends[at:upto] - lo)
+            upto = min(n, at + PIECE + self.width - 1)
+            if self.words:
+                lo, hi = int(starts[at]), int(ends[upto - 1])
+                least = self.hashes(raw[lo:hi], starts[at:upto] - lo, ends[at:upto] - lo)
+            else:
+                least = self.hashes(raw[at:upto], None, None)
             span, have = self.width - self.gram + 1, 1
             while 2 * have <= span:
                 least = np.minimum(least[:-have], least[have:])
@@ -239,39 +242,78 @@ def _by_shard(shard: np.ndarray, *columns: np.ndarray):
     return zip(shard[at].tolist(), *cuts)
 
 
+def _join(blobs, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(b, kind) for b in blobs]])
+
+
+def _in(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the ascending ``a``."""
+    return a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x if len(a) else np.zeros(len(x), bool)
+
+
 class _Known:
     """A chunk's shared anchors, and those among them that are split by window."""
 
     def __init__(self, replies: pa.Table, shards: int):
-        rows = list(zip(replies.column("shard").to_pylist(), replies.column("a").to_pylist(), replies.column("b").to_pylist()))
+        rows = [r for r in zip(*[replies.column(c).to_pylist() for c in ("shard", "a", "b")]) if r[0] >= 0]
         join = lambda k: np.sort(np.concatenate([np.zeros(0, U), *[(U(r[0]) << U(32)) | np.frombuffer(r[k], "<u4").astype(U) for r in rows]]))
         self.shared, self.hot, self.shards = join(1), join(2), shards
 
-    def test(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def test(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         shard, code = _key(anchor, self.shards)
         key = (shard.astype(U) << U(32)) | code
-        has = lambda a: a[np.minimum(np.searchsorted(a, key), len(a) - 1)] == key if len(a) else np.zeros(len(key), bool)
-        return has(self.shared), has(self.hot), shard
-
-
-def _strings(unit: Unit, known: _Known, text: str):
-    """(shard, string, first window, windows) of a text's super-windows with shared anchors."""
-    import xxhash
-
-    raw, starts, ends = unit.split(text)
-    w = unit.width
-    for first, size, anchor in unit.runs(raw, starts, ends):
-        shared, hot, shard = known.test(anchor)
-        if not shared.any():
-            continue
-        plain = np.flatnonzero(shared & ~hot)
-        f, n = first[plain], size[plain]
-        for sh, s, e, a, k in zip(shard[plain].tolist(), starts[f].tolist(), ends[f + n + w - 2].tolist(), f.tolist(), n.tolist()):
-            yield sh, raw[s:e], a, k
-        for i in np.flatnonzero(shared & hot).tolist():
-            for a in range(int(first[i]), int(first[i] + size[i])):
-                string = raw[starts[a] : ends[a + w - 1]]
-                yield xxhash.xxh64_intdigest(string) % known.shards, string, a, 1
+        return _in(self.shared, key), _in(self.hot, key), shard, code
+
+
+@dataclass
+class _Strings:
+    """The super-windows of a chunk's distinct texts, wherever they stand: a row a place."""
+
+    text: np.ndarray  #: which text
+    first: np.ndarray  #: the first window
+    windows: np.ndarray
+    shard: np.ndarray
+    code: np.ndarray  #: names the anchor in its shard
+    hash: np.ndarray
+
+    @staticmethod
+    def of(unit: Unit, known: _Known, texts, want: Callable | None = None) -> _Strings:
+        """``want``: gets each place's hash, start and end and the text's bytes."""
+        import xxhash
+
+        digest, w = xxhash.xxh64_intdigest, unit.width
+        rows: list[tuple[np.ndarray, ...]] = []
+        for k, text in enumerate(texts):
+            raw, n, starts, ends = unit.split(text)
+            for first, size, anchor in unit.runs(raw, n, starts, ends):
+                shared, hot, shard, code = known.test(anchor)
+                if not shared.any():
+                    continue
+                at = np.flatnonzero(shared & ~hot)
+                split = np.flatnonzero(shared & hot)
+                each = first[split].repeat(size[split]) + np.arange(size[split].sum()) - np.repeat(np.cumsum(size[split]) - size[split], size[split])
+                f, m = np.concatenate([first[at], each]), np.concatenate([size[at], np.ones(len(each), np.int64)])
+                lo, hi = (starts[f], ends[f + m + w - 2]) if unit.words else (f, f + m + w - 1)
+                bounds = list(zip(lo.tolist(), hi.tolist()))
+                h = np.array([digest(raw[a:b]) for a, b in bounds], U)
+                own = mix(h[len(at) :])  # a window's own content deals it
+                shard, code = np.concatenate([shard[at], (own % U(known.shards)).astype(np.int64)]), np.concatenate([code[at], (own >> U(32)).astype(np.uint32)])
+                rows.append((np.full(len(f), k), f, m, shard, code, h))
+                if want is not None:
+                    want(raw, bounds, shard, h)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.uint32, U)
+        return _Strings(*[np.concatenate([np.zeros(0, t), *[r[i] for r in rows]]) for i, t in enumerate(kinds)])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct strings by shard and hash: place of one, where each shard begins; and each place's string."""
+        order = np.lexsort((self.hash, self.shard))
+        s, h = self.shard[order], self.hash[order]
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]) if len(s) else np.zeros(0, bool)
+        string = np.empty(len(order), np.int64)
+        string[order] = np.cumsum(new) - 1
+        one = order[new]
+        begin = np.flatnonzero(np.concatenate([[True], self.shard[one][1:] != self.shard[one][:-1]])) if len(one) else np.zeros(0, np.int64)
+        return one, begin, np.append(begin, len(one)), string
 
 
 def _distinct(table: pa.Table) -> dict[str, int]:
@@ -285,15 +327,14 @@ def _distinct(table: pa.Table) -> dict[str, int]:
     return dict(sorted(least.items()))
 
 
-def _removed_spans(places, first_bits: list[int], width: int) -> list[list[int]]:
-    """Spans [start, end) of the symbols under marked windows; places: (string, first window, windows)."""
+def _spans(first: list[int], marks: list[int], width: int) -> list[list[int]]:
+    """Spans [start, end) of the symbols under marked windows."""
     spans: list[list[int]] = []
-    for i, first, _ in sorted(places, key=lambda x: x[1]):
-        b = first_bits[i]
+    for f, b in sorted(zip(first, marks)):
         while b:
             low = (b & -b).bit_length() - 1
             run = ((b >> low) + 1 & ~(b >> low)).bit_length() - 1
-            s, e = first + low, first + low + run - 1 + width
+            s, e = f + low, f + low + run - 1 + width
             if spans and s <= spans[-1][1]:
                 spans[-1][1] = e
             else:
@@ -302,11 +343,13 @@ def _removed_spans(places, first_bits: list[int], width: int) -> list[list[int]]
     return spans
 
 
-def _kept(unit: Unit, raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[list[int]]) -> bytes:
+def _kept(unit: Unit, raw: bytes, n: int, starts: np.ndarray | None, ends: np.ndarray | None, spans: list[list[int]]) -> bytes:
+    if not spans:
+        return raw
     parts, at = [], 0
-    for s, e in [*spans, [len(starts), len(starts)]]:
+    for s, e in [*spans, [n, n]]:
         if s > at:
-            parts.append(raw[starts[at] : ends[s - 1]])
+            parts.append(raw[starts[at] : ends[s - 1]] if unit.words else raw[at:s])
         at = e
     return (b" " if unit.words else b"").join(parts)
 
@@ -318,6 +361,15 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
     """
     shards = chunk_count(docs, chunk_bytes)
     width = unit.width
+    names = ("chunk", "shard", "a", "b", "c")
+    piece = pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), *[(c, pa.binary()) for c in "abc"]])
+    ddl = "chunk int, shard bigint, a binary, b binary, c binary"
+
+    def table_of(rows: list[tuple]) -> pa.Table:
+        return pa.table({c: [r[i] for r in rows] for i, c in enumerate(names)}, schema=piece)
+
+    def rows_of(table: pa.Table):
+        return list(zip(*[table.column(c).to_pylist() for c in names]))
 
     def fold(batches):
         seen: dict[bytes, int] = {}
@@ -339,146 +391,152 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
                 chunk.append(int.from_bytes(digest[:8], "little") % shards), text_out.append(text), size.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), b.column(0), pa.array(text_out, pa.string()), pa.array(size, pa.int64())], ["chunk", "doc_id", "text", "gone"])
 
-    texts = id_and_text(docs, text_col, id_col).mapInArrow(fold, "chunk int, doc_id bigint, text string, gone bigint").repartition("chunk")
-
     def anchors(key, table):
+        """To each shard of anchors: the chunk's, and those of two of its texts."""
         value = []
         for text in _distinct(table):
-            raw, starts, ends = unit.split(text)
-            own = [a for _, _, a in unit.runs(raw, starts, ends)]
+            own = [a for _, _, a in unit.runs(*unit.split(text))]
             if own:
                 value.append(np.unique(np.concatenate(own)))
-        out: dict = {"chunk": [], "shard": [], "a": [], "b": []}
-        if value:
-            u, n = np.unique(np.concatenate(value), return_counts=True)
-            shard, code = _key(u, shards)
-            for s, c, k in _by_shard(shard, code, n):
-                out["chunk"].append(key[0].as_py()), out["shard"].append(s), out["a"].append(c.astype("<u4").tobytes()), out["b"].append(c[k > 1].astype("<u4").tobytes())
-        return pa.table(out, schema=piece)
+        if not value:
+            return table_of([])
+        u, n = np.unique(np.concatenate(value), return_counts=True)
+        shard, code = _key(u, shards)
+        return table_of([(key[0].as_py(), s, c.astype("<u4").tobytes(), c[k > 1].astype("<u4").tobytes(), b"") for s, c, k in _by_shard(shard, code, n)])
 
     def shared(key, table):
-        rows = list(zip(table.column("chunk").to_pylist(), [np.frombuffer(x, "<u4") for x in table.column("a").to_pylist()], [np.frombuffer(x, "<u4") for x in table.column("b").to_pylist()]))
-        code = np.sort(np.concatenate([x for r in rows for x in r[1:]]))
-        again = code[1:][code[1:] == code[:-1]]
-        both, n = np.unique(again, return_counts=True)
+        """To each chunk: its anchors that stand in two texts, and those of them that are split."""
+        rows = rows_of(table)
+        code = np.sort(np.concatenate([_join([r[2] for r in rows], "<u4"), _join([r[3] for r in rows], "<u4")]))
+        both, n = np.unique(code[1:][code[1:] == code[:-1]], return_counts=True)
         many = both[n + 1 >= hot]
-        out: dict = {"chunk": [], "shard": [], "a": [], "b": []}
-        has = lambda a, x: a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x if len(a) else np.zeros(len(x), bool)
-        for chunk, codes, _ in rows:
-            mine = codes[has(both, codes)]
+        out = []
+        for chunk, _, codes, _, _ in rows:
+            mine = np.frombuffer(codes, "<u4")
+            mine = mine[_in(both, mine)]
             if len(mine):
-                out["chunk"].append(chunk), out["shard"].append(key[0].as_py()), out["a"].append(mine.tobytes()), out["b"].append(mine[has(many, mine)].tobytes())
-        return pa.table(out, schema=piece)
+                out.append((chunk, key[0].as_py(), mine.tobytes(), mine[_in(many, mine)].tobytes(), b""))
+        return table_of(out)
+
+    def hashes(key, left, right):
+        """To each shard: anchor, hash and least id of the chunk's distinct strings."""
+        if not left.num_rows or not right.num_rows:
+            return table_of([])
+        texts = _distinct(left)
+        s = _Strings.of(unit, _Known(right, shards), texts)
+        one, begin, end, string = s.distinct()
+        least = np.full(len(one), NO_ID)
+        np.minimum.at(least, string, np.array(list(texts.values()), np.int64)[s.text] if len(texts) else string)
+        rows = zip(s.shard[one[begin]].tolist(), begin.tolist(), end[1:].tolist())
+        return table_of([(key[0].as_py(), k, s.code[one[a:b]].astype("<u4").tobytes(), s.hash[one[a:b]].tobytes(), least[a:b].tobytes()) for k, a, b in rows])
+
+    def settle(key, table):
+        """To one chunk for each distinct string that isn't alone under its anchor: a wish for its symbols."""
+        rows = rows_of(table)
+        code, h = _join([r[2] for r in rows], "<u4"), _join([r[3] for r in rows], "<u8")
+        row = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
+        order = np.lexsort((row, h, code))
+        code, h, row = code[order], h[order], row[order]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (h[1:] != h[:-1])])
+        code, h, row = code[new], h[new], row[new]
+        same = np.concatenate([[False], code[1:] == code[:-1]])
+        ask = same | np.append(same[1:], False)
+        return table_of([(rows[r][0], -1 - key[0].as_py(), b"", b"", np.sort(x).tobytes()) for r, x in _by_shard(row[ask], h[ask])])
 
     def strings(key, left, right):
-        """A chunk's distinct strings to their shards; and to itself, by a shard below 0, where they stand."""
-        out: dict = {"chunk": [], "shard": [], "data": [], "sizes": [], "ids": []}
-        if left.num_rows and right.num_rows:
-            known = _Known(right, shards)
-            index: dict[bytes, int] = {}
-            shard_of, least, places = [], [], []
-            for k, (text, doc) in enumerate(_distinct(left).items()):
-                for shard, string, first, n in _strings(unit, known, text):
-                    i = index.setdefault(string, len(shard_of))
-                    if i == len(shard_of):
-                        shard_of.append(shard)
-                        least.append(doc)
-                    elif doc < least[i]:
-                        least[i] = doc
-                    places.append((k, i, first, n))
-            text = list(index)
-            sizes, ids = np.array([len(t) for t in text], "<u4"), np.array(least, "<i8")
-            put = lambda s, *blobs: [c.append(v) for c, v in zip(out.values(), (key[0].as_py(), s, *blobs))]
-            for s, at in _by_shard(np.array(shard_of, np.int64), np.arange(len(text))):
-                put(s, b"".join([text[i] for i in at.tolist()]), sizes[at].tobytes(), ids[at].tobytes())
-            if places:
-                put(-1 - key[0].as_py(), np.array(places, "<i8").astype("<u4").tobytes(), np.array(shard_of, "<u4").tobytes(), ids.tobytes())
-        return pa.table(out, schema=pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())]))
-
-    def marks(key, table):
-        out: dict = {"chunk": [], "shard": [], "a": [], "b": [], "c": []}
-        put = lambda *row: [c.append(v) for c, v in zip(out.values(), row)]
-        schema = pa.schema([*piece, ("c", pa.binary())])
-        if key[0].as_py() < 0:
-            put(table.column("chunk")[0].as_py(), -1, *[table.column(c)[0].as_py() for c in ("data", "sizes", "ids")])
-            return pa.table(out, schema=schema)
-        index: dict[bytes, int] = {}
-        least: list[int] = []
-        owners = []
-        for chunk, data, sizes, ids in zip(*[table.column(c).to_pylist() for c in ("chunk", "data", "sizes", "ids")]):
-            ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
-            ids = np.frombuffer(ids, "<i8")
-            mine = []
-            for s, e, d in zip([0, *ends[:-1].tolist()], ends.tolist(), ids.tolist()):
-                string = data[s:e]
-                i = index.setdefault(string, len(least))
-                if i == len(least):
-                    least.append(d)
-                elif d < least[i]:
-                    least[i] = d
-                mine.append(i)
-            owners.append((chunk, np.array(mine), ids))
-        if unit.words:
-            names: dict[bytes, int] = {}
-            words = [t.split(b" ") for t in index]
-            size = np.array([len(w) for w in words], np.int64)
-            symbols = np.array([names.setdefault(w, len(names) + 1) for t in words for w in t], U)
-            del words
-        else:
-            size = np.array([len(t) for t in index], np.int64)
-            symbols = np.frombuffer(b"".join(index), np.uint8).astype(U) + U(1)
-        del index
-        found = least_ids(symbols, size, np.array(least, np.int64), width, q, scan)
-        count = np.maximum(size - width + 1, 0)
-        first = np.cumsum(count) - count
-        for chunk, mine, ids in owners:
-            bits = np.zeros(len(mine), U)
-            n = count[mine]
-            for j in range(int(n.max()) if len(n) else 0):
-                k = np.flatnonzero(n > j)
-                bits[k] |= (found[first[mine[k]] + j] < ids[k]).astype(U) << U(j)
-            put(chunk, key[0].as_py(), bits.tobytes(), b"", b"")
-        return pa.table(out, schema=schema)
+        """To each shard: the strings that it asked this chunk for, with their hashes."""
+        if not left.num_rows or not right.num_rows:
+            return table_of([])
+        asked = {-1 - s: np.frombuffer(c, "<u8") for _, s, _, _, c in rows_of(right) if s < 0}
+        if not asked:
+            return table_of([])
+        pairs = np.sort(np.concatenate([mix(h ^ U(s)) for s, h in asked.items()]))
+        found: dict[tuple[int, int], bytes] = {}
+
+        def want(raw, bounds, shard, h):
+            for i in np.flatnonzero(_in(pairs, mix(h ^ shard.astype(U)))).tolist():
+                found.setdefault((int(shard[i]), int(h[i])), raw[bounds[i][0] : bounds[i][1]])
+
+        _Strings.of(unit, _Known(right, shards), _distinct(left), want)
+        out: dict[int, list[tuple[int, bytes]]] = {}
+        for (s, h), x in found.items():
+            out.setdefault(s, []).append((h, x))
+        return table_of([(key[0].as_py(), s, b"".join(x for _, x in r), np.array([len(x) for _, x in r], "<u4").tobytes(), np.array([h for h, _ in r], "<u8").tobytes()) for s, r in out.items()])
+
+    def marks(key, left, right):
+        """To each chunk: a word of window marks for each of its distinct strings, in order."""
+        rows = rows_of(left)
+        h, ids = _join([r[3] for r in rows], "<u8"), _join([r[4] for r in rows], "<i8")
+        u, at = np.unique(h, return_inverse=True)
+        least = np.full(len(u), NO_ID)
+        np.minimum.at(least, at, ids)
+        bits = np.where(least[at] < ids, ~U(0), U(0))
+        got = rows_of(right) if right is not None else []
+        if got:
+            size, mine = _join([r[3] for r in got], "<u4").astype(np.int64), _join([r[4] for r in got], "<u8")
+            data = b"".join([r[2] for r in got])
+            if unit.words:
+                ends = np.cumsum(size).tolist()
+                known: dict[bytes, int] = {}
+                words = [data[a:b].split(b" ") for a, b in zip([0, *ends[:-1]], ends)]
+                size = np.array([len(w) for w in words], np.int64)
+                symbols = np.array([known.setdefault(w, len(known) + 1) for t in words for w in t], U)
+                del words, known
+            else:
+                symbols = np.frombuffer(data, np.uint8).astype(U) + U(1)
+            of = np.searchsorted(u, mine)  # the string of each row of symbols
+            found = least_ids(symbols, size, least[of], width, q, scan)
+            del symbols
+            count = size - width + 1
+            first = np.cumsum(count) - count
+            row = np.full(len(u), -1)
+            row[of] = np.arange(len(of))
+            here = np.flatnonzero(row[at] >= 0)
+            r, limit = row[at[here]], ids[here]
+            word = np.zeros(len(here), U)
+            for j in range(int(count.max())):
+                k = np.flatnonzero(count[r] > j)
+                word[k] |= (found[first[r[k]] + j] < limit[k]).astype(U) << U(j)
+            bits[here] = word
+        cuts = np.cumsum([len(r[3]) // 8 for r in rows])
+        return table_of([(r[0], -1 - key[0].as_py(), b"", b"", x.tobytes()) for r, x in zip(rows, np.split(bits, cuts[:-1]))])
 
     def removed(key, left, right):
         distinct = _distinct(left)
-        at_text: dict[int, list[tuple[int, int, int]]] = {}
-        bits = np.zeros(0, U)
-        ids: list[int] = []
-        blobs = {s: (a, b, c) for s, a, b, c in zip(*[right.column(c).to_pylist() for c in ("shard", "a", "b", "c")])}
-        if -1 in blobs:
-            places, shard_of, least = blobs[-1]
-            for k, i, first, n in np.frombuffer(places, "<u4").reshape(-1, 4).tolist():
-                at_text.setdefault(k, []).append((i, first, n))
-            shard_of, ids = np.frombuffer(shard_of, "<u4").astype(np.int64), np.frombuffer(least, "<i8").tolist()
-            bits = np.zeros(len(shard_of), U)
-            for s, at in _by_shard(shard_of, np.arange(len(shard_of))):
-                bits[at] = np.frombuffer(blobs[s][0], U)
-        bits = bits.tolist()
+        known = _Known(right, shards)
+        s = _Strings.of(unit, known, distinct) if len(known.shared) else _Strings.of(unit, known, [])
+        one, begin, _, string = s.distinct()
+        blobs = {-1 - k: c for _, k, _, _, c in rows_of(right) if k < 0}
+        bits = _join([blobs[k] for k in s.shard[one[begin]].tolist()], "<u8")
+        doc = np.array(list(distinct.values()), np.int64)[s.text] if len(s.text) else np.zeros(0, np.int64)
+        least = np.full(len(one), NO_ID)
+        np.minimum.at(least, string, doc)
+        # Where a string's least id is another text's, all its windows are marked.
+        mark = np.where(least[string] < doc, ~U(0), bits[string]) & ((U(1) << s.windows.astype(U)) - U(1))
+        at = np.flatnonzero(mark)
+        cuts = np.searchsorted(s.text[at], np.arange(len(distinct) + 1)).tolist()
+        first, mark = s.first[at].tolist(), mark[at].tolist()
         told: dict[str, tuple] = {}
         for k, (text, doc) in enumerate(distinct.items()):
-            raw, starts, ends = unit.split(text)
-            here = at_text.get(k, [])
-            # Where a string's least id is another document's, all its windows are marked.
-            mark = {i: (1 << n) - 1 if ids[i] < doc else bits[i] for i, _, n in here}
-            spans = _removed_spans(here, mark, width)
-            kept = _kept(unit, raw, starts, ends, spans)
-            told[text] = (doc, len(starts), spans, kept)
+            raw, n, starts, ends = unit.split(text)
+            spans = _spans(first[cuts[k] : cuts[k + 1]], mark[cuts[k] : cuts[k + 1]], width)
+            told[text] = (doc, n, spans, _kept(unit, raw, n, starts, ends, spans))
         out: dict = {"doc_id": [], "n_symbols": [], "spans": [], "kept": [], "kept_sha256": []}
         for real, text, gone in zip(*[left.column(c).to_pylist() for c in ("doc_id", "text", "gone")]):
-            least, n, spans, kept = told[text] if text is not None else (-1, gone, [], b"")
-            if text is None or ((NO_ID if real is None else real) > least and n >= width):
+            own, n, spans, kept = told[text] if text is not None else (-1, gone, [], b"")
+            if text is None or ((NO_ID if real is None else real) > own and n >= width):
                 spans, kept = [[0, n]], b""
-            out["doc_id"].append(real), out["n_symbols"].append(n), out["spans"].append([{"start": s, "end": e} for s, e in spans])
+            out["doc_id"].append(real), out["n_symbols"].append(n), out["spans"].append([{"start": a, "end": b} for a, b in spans])
             out["kept"].append(kept if with_text else None), out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_symbols", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
 
-    piece = pa.schema([("chunk", pa.int32()), ("shard", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-    ddl = "chunk int, shard bigint, a binary, b binary"
+    texts = id_and_text(docs, text_col, id_col).mapInArrow(fold, "chunk int, doc_id bigint, text string, gone bigint").repartition("chunk")
     by_chunk = texts.groupBy("chunk")
     known = by_chunk.applyInArrow(anchors, ddl).groupBy("shard").applyInArrow(shared, ddl)
-    sent = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(strings, "chunk int, shard bigint, data binary, sizes binary, ids binary")
-    marked = sent.groupBy("shard").applyInArrow(marks, ddl + ", c binary")
+    said = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(hashes, ddl).groupBy("shard")
+    asked = said.applyInArrow(settle, ddl)
+    sent = by_chunk.cogroup(known.unionByName(asked).groupBy("chunk")).applyInArrow(strings, ddl)
+    marked = said.cogroup(sent.groupBy("shard")).applyInArrow(marks, ddl)
     out = "doc_id bigint, n_symbols bigint, spans array<struct<start: bigint, end: bigint>>, kept binary, kept_sha256 string"
-    return by_chunk.cogroup(marked.groupBy("chunk")).applyInArrow(removed, out)
+    return by_chunk.cogroup(known.unionByName(marked).groupBy("chunk")).applyInArrow(removed, out)
