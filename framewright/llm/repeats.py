@@ -7,8 +7,9 @@ remove every symbol covered by a window that also starts in a document with a sm
    have equal anchors, and neighbours mostly share theirs. Chunks of documents send the distinct anchors
    (4 bytes each); a shard of anchors answers which ones stand in two texts.
    Texts that are equal to the byte are one string from the start: a task passes on the first and tells its
-   copies at once (all their windows stand in a smaller id), and equal texts of different tasks meet in a chunk,
-   because their content deals them.
+   copies at once (all their windows stand in a smaller id). The least anchor of a text's first ``HEAD`` characters
+   deals it, so that near copies mostly meet in a chunk, which then sends what they share once; no more than
+   ``ALIKE`` of them from each of ``TASKS`` tasks, however many there are.
 2. *Super-windows.* A run of windows with one shared anchor is one string, of at most
    ``width + RUN - 1`` symbols. A chunk sends the anchor's shard the hash of each distinct string with the least id
    that has it (a passage that a third of all documents share is sent once a chunk). Anchors that
@@ -24,11 +25,13 @@ All of it is one plan; the exchange of the texts by chunk is made once and reuse
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ from .common import chunk_count, id_and_text, mix
 
 #: Most windows in a super-window (its marks are one word) and symbols handled at a time.
 RUN, PIECE = 62, 1 << 19
+#: What deals texts into chunks: characters looked at; texts of one least anchor from a task, and tasks, that share a chunk.
+HEAD, ALIKE, TASKS = 1024, 64, 32
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 #: suffix matrix -> groups; see ``Suffixes``.
@@ -373,6 +378,8 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
 
     def fold(batches):
         seen: dict[bytes, int] = {}
+        alike: Counter = Counter()
+        group = TaskContext.get().partitionId() // TASKS
         n = 0
         for b in batches:
             chunk, text_out, size = [], [], []
@@ -388,7 +395,11 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
                         continue
                 else:
                     seen[digest] = doc
-                chunk.append(int.from_bytes(digest[:8], "little") % shards), text_out.append(text), size.append(None)
+                least = [a.min() for _, _, a in unit.runs(*unit.split(text[:HEAD]))]
+                name = int(least[0]) if least else int.from_bytes(digest[:8], "little")
+                deal = hash((name, group, alike[name] // ALIKE))  # of integers: the same everywhere
+                alike[name] += 1
+                chunk.append(deal % shards), text_out.append(text), size.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), b.column(0), pa.array(text_out, pa.string()), pa.array(size, pa.int64())], ["chunk", "doc_id", "text", "gone"])
 
     def anchors(key, table):
