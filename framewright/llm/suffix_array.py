@@ -55,7 +55,7 @@ def maximal_repeats(s: Suffixes) -> Groups:
 
 def substring_dedup(docs: DataFrame, width: int = 50, with_text: bool = True, **columns: str) -> DataFrame:
     """doc_id, n_symbols, spans, kept, kept_sha256 of each row; bytes that repeat from smaller ids are removed."""
-    return dedup(docs, Unit(words=False, width=width, gram=16 if width >= 32 else 8), maximal_repeats, 4, with_text=with_text, **columns)
+    return dedup(docs, Unit(words=False, width=width, gram=24 if width >= 48 else 8), maximal_repeats, 4, with_text=with_text, **columns)
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
