@@ -94,15 +94,15 @@ class Decoded:
         if done is None:
             self.values = pa.array([values[i] for i in range(len(a))], kind)
         elif values:
-            all_rows = done.to_pylist(maps_as_pydicts=None)
-            for i, v in values.items():
-                all_rows[i] = v
-            self.values = pa.array(all_rows, kind)
+            judged = pa.array(list(values.values()), kind)
+            place = np.arange(len(a))
+            place[list(values)] = len(a) + np.arange(len(values))
+            self.values = pa.concat_arrays([done, judged]).take(pa.array(place))
         else:
             self.values = done
 
 
 def _small(a: pa.Array, limits: Limits) -> bool:
     """Whether no row is large enough to meet a cumulative budget."""
-    longest = max((len(x) for x in ()), default=0) if not len(a) else int(batch._binary(a).size.max())
+    longest = int(batch._binary(a).size.max()) if len(a) else 0
     return longest <= min(limits.max_payload_bytes, limits.max_total_elements, limits.max_object_graph_nodes)

@@ -261,7 +261,7 @@ def merge_batch_orders(spark, sf_dir):
 EVENT_ARMS = ("click", "view", "purchase", "signup")
 
 
-@query("union_events", "SELECT CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 255 END AS INTEGER) AS tag, count(*) AS n, count(event_id) AS ids, sum(event_id) AS total FROM events GROUP BY 1")
+@query("union_events", "SELECT CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 255 END AS INTEGER) AS tag, count(*) AS n, count(event_id) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
 def union_events(spark, sf_dir):
     """Each event is one arm of a union; the tag is read from the bytes, the arm decoded."""
     df = table(spark, sf_dir, "events")
@@ -273,7 +273,7 @@ def union_events(spark, sf_dir):
     framed = df.select(fr.encode(F.struct(*here), schema, {"union": tags}, Options(version=0)).alias("p"))
     v = framed.select(F.conv(F.hex(F.substring("p", 2, 1)), 16, 10).cast("int").alias("tag"), fr.decode(F.col("p"), schema, {"union": tags}, Options(allow_v0=True)).alias("v"))
     ids = F.coalesce(*[F.col(f"v.{n}.event_id") for n in names])
-    return v.groupBy("tag").agg(F.count("*").alias("n"), F.count(ids).alias("ids"), F.sum(ids).cast("decimal(38,0)").alias("total"))
+    return v.groupBy("tag").agg(F.count("*").alias("n"), F.count(ids).alias("ids"), F.sum(ids).alias("total"))
 
 
 @query("reference_customers", "SELECT o_custkey, count(*) AS n_orders, count(*) - 1 AS back_references FROM orders GROUP BY o_custkey")
@@ -424,7 +424,7 @@ def numerics(spark, sf_dir):
     return v.select("vec_id", "v.z.re", "v.z.im", *[f"v.{n}" for n in sizes], F.size("v.bits").cast("bigint").alias("bits"))
 
 
-@query("nested_orders", "SELECT l_orderkey, count(*) AS lines, sum(l_linenumber) AS numbers, max(l_shipdate) AS last FROM lineitem GROUP BY l_orderkey")
+@query("nested_orders", "SELECT l_orderkey, count(*) AS lines, CAST(sum(l_linenumber) AS BIGINT) AS numbers, max(l_shipdate) AS last FROM lineitem GROUP BY l_orderkey")
 def nested_orders(spark, sf_dir):
     """Orders with their lines as nested lists of structs."""
     df = table(spark, sf_dir, "lineitem")
@@ -432,7 +432,7 @@ def nested_orders(spark, sf_dir):
     schema = T.StructType([T.StructField("l_orderkey", T.LongType(), False), T.StructField("lines", T.ArrayType(line, False))])
     orders = df.groupBy("l_orderkey").agg(F.collect_list(F.struct(*line.names)).alias("lines"))
     v = orders.select(fr.decode(fr.encode(row(orders), schema), schema).alias("v")).select("v.l_orderkey", F.explode("v.lines").alias("x"))
-    return v.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sum("x.l_linenumber").cast("decimal(38,0)").alias("numbers"), F.max("x.l_shipdate").alias("last"))
+    return v.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sum("x.l_linenumber").alias("numbers"), F.max("x.l_shipdate").alias("last"))
 
 
 # ---------------------------------------------------------------- protection, limits, errors
@@ -557,7 +557,7 @@ def split_offsets(spark, sf_dir):
     return parts.where(F.col("offset") == F.col("ordinal") * 16).groupBy("o_custkey").agg(F.count("*").alias("frames"), F.max("ordinal").cast("bigint").alias("last_ordinal"))
 
 
-@query("v0_split", "SELECT n_regionkey, sum(n_nationkey) AS total FROM nation GROUP BY 1")
+@query("v0_split", "SELECT n_regionkey, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation GROUP BY 1")
 def v0_split(spark, sf_dir):
     """Headerless payloads end where their value does."""
     df = table(spark, sf_dir, "nation")
@@ -565,7 +565,7 @@ def v0_split(spark, sf_dir):
     bare = df.select("n_regionkey", fr.encode(row(df), df.schema, options=o).alias("p"), F.col("n_nationkey").alias("k"))
     parts = fr.concat_chunks(bare, ["n_regionkey"], "k", "p").select(F.inline(fr.split(F.col("data"), o, df.schema)))
     v = parts.select(fr.decode(F.col("frame"), df.schema, options=o).alias("v"))
-    return v.groupBy("v.n_regionkey").agg(F.sum("v.n_nationkey").cast("decimal(38,0)").alias("total"))
+    return v.groupBy("v.n_regionkey").agg(F.sum("v.n_nationkey").alias("total"))
 
 
 @query("frames_source_orders", "SELECT * FROM orders")
