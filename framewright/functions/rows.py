@@ -65,11 +65,11 @@ def to_spark(codec: Codec, v: Any, kind: pa.DataType) -> Any:
 class Decoded:
     """Values, the keyed root's fields that were there, and the errors of a column of payloads."""
 
-    def __init__(self, codec: Codec, payloads: list[bytes | None] | pa.Array, kind: pa.DataType, limits: Limits, references: list[bool] | None = None):
+    def __init__(self, codec: Codec, payloads: list[bytes | None] | pa.Array, kind: pa.DataType, limits: Limits, references: list[bool] | None = None, want_found: bool = True):
         a = payloads if isinstance(payloads, pa.Array) else pa.array(payloads, pa.binary())
         self.errors: list[FrameError | None] = [None] * len(a)
         self.found: list[list[str] | None] = [None] * len(a)
-        self.kind, keyed = kind, isinstance(codec, Object) and codec.keyed
+        self.kind, keyed = kind, want_found and isinstance(codec, Object) and codec.keyed
         done = None
         if not (references and any(references)) and not keyed and limits.max_depth >= MAX_DEPTH_BATCH and _small(a, limits):
             try:

@@ -324,3 +324,45 @@ def test_custom_algorithms():
 def test_floats_keep_their_bits():
     codec = compile_schema(T.DoubleType(), nullable=False)
     assert math.isnan(decode(codec, encode(codec, float("nan")))) and encode(codec, -0.0) != encode(codec, 0.0)
+
+
+ARM = T.StructType([T.StructField("v", T.IntegerType(), False), T.StructField("s", T.StringType())])
+UNION = T.StructType([T.StructField(n, ARM, True, {"type": n}) for n in "ab"])
+MAPS = T.MapType(T.IntegerType(), T.StringType())
+TEXT_MAPS = T.MapType(T.StringType(), T.ArrayType(T.IntegerType(), False))
+arms = st.fixed_dictionaries({"v": ints, "s": st.none() | texts})
+
+
+@settings(max_examples=80, deadline=None)
+@given(
+    st.lists(st.none() | st.one_of(arms.map(lambda x: {"a": x, "b": None}), arms.map(lambda x: {"a": None, "b": x})), min_size=1, max_size=5),
+    st.lists(st.none() | st.dictionaries(ints, st.none() | texts, max_size=4), min_size=1, max_size=4),
+    st.lists(st.none() | st.dictionaries(texts, st.none() | st.lists(ints, max_size=3), max_size=4), min_size=1, max_size=4),
+    st.integers(0, 10**6),
+    st.integers(1, 255),
+)
+def test_unions_and_maps_agree(unions, maps, text_maps, at, flip):
+    as_pairs = [[None if m is None else list(m.items()) for m in x] for x in (maps, text_maps)]
+    for kind, meta, rows in ((UNION, {"union": {"a": 3, "b": 250}}, unions), (MAPS, {}, as_pairs[0]), (TEXT_MAPS, {}, as_pairs[1])):
+        codec = compile_schema(kind, meta)
+        expected = [encode(codec, v) for v in rows]
+        assert batch.encode(codec, pa.array(rows, arrow(kind)), DEFAULT).to_pylist() == expected
+        got, judge = batch.decode(codec, pa.array(expected, pa.binary()), arrow(kind), DEFAULT)
+        assert not judge.any() and got.to_pylist() == rows
+        data = bytearray(b"".join(expected[:1]))
+        data[at % len(data)] ^= flip
+        d = R.Decoded(codec, [bytes(data)], arrow(kind), DEFAULT)
+        try:
+            value, failed = decode(codec, bytes(data)), False
+        except FrameError:
+            value, failed = None, True
+        assert (d.errors[0] is not None) == failed
+        if not failed:
+            assert ordered(d.values.to_pylist()[0]) == ordered(R.to_spark(codec, value, arrow(kind)))
+
+
+def test_a_map_key_twice_is_malformed_in_a_batch():
+    codec = compile_schema(MAPS)
+    data = encode(codec, [(7, "a"), (9, "b")]).replace(b"\x09\0\0\0", b"\x07\0\0\0")
+    d = R.Decoded(codec, [data, encode(codec, [(7, "a")])], arrow(MAPS), DEFAULT)
+    assert [e and e.error_class for e in d.errors] == ["FORMAT", None] and d.values.to_pylist() == [None, [(7, "a")]]
