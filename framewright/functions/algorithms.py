@@ -74,7 +74,9 @@ def checksum(ident: int, data: bytes, name: str | None = None, custom: dict | No
 
 def compress(ident: int, data: bytes, level: int = 6, name: str | None = None, custom: dict | None = None) -> bytes:
     if ident == 1:
-        c = zlib.compressobj(level, zlib.DEFLATED, -15)
+        # A window no larger than the data: setting up the full one costs more than small payloads do.
+        bits = min(15, max(9, len(data).bit_length()))
+        c = zlib.compressobj(level, zlib.DEFLATED, -bits, min(8, max(1, bits - 6)))
         return c.compress(data) + c.flush()
     if ident == 2:
         available("compression", "brotli")
