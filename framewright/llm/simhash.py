@@ -12,6 +12,11 @@ spanning forest (never all pairs), found by searches that compare against what i
 shard that is one big group of near copies costs little. Components come from alternating large-star and
 small-star rounds on those links, cut by checkpoints.
 
+``simhash_components`` links fingerprints of 64 bits within a radius. ``similar_components`` links texts of a wanted
+similarity of shingle sets: at similarity 0.8 some ten of 64 bits differ, give or take three, so it keeps WIDE words of bits
+a text, finds candidates by the trees over each of the first LOOKUPS words, and decides by all bits: texts are linked if
+those differ no more than sets of the wanted similarity mostly do (see ``radius_for``).
+
 Defined results. Null and blank texts: fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Equal fingerprints are one class. Repeated rows: a result row
 each. component_id is the least doc_id of the component; null ids are ignored unless there is no other.
@@ -25,32 +30,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, mix
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 LEAF = 1000
+#: Words of bits that decide a similarity, words that are looked up, and the radius of a lookup.
+WIDE, LOOKUPS, LOOKUP_RADIUS = 5, 3, 10
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
     """The fingerprint of one whole text, unsigned."""
+    return int(wide_fingerprint(text, shingle, 1)[0])
+
+
+def wide_fingerprint(text: str, shingle: int, wide: int) -> np.ndarray:
+    """``wide`` words of majority bits; the first is of the hashes themselves, the others of hashes of them."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(wide, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :][:n] - 1
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((wide, 64), np.int64)
     starts, last = starts[:n].tolist(), last.tolist()
     for at in range(0, n, 65536):
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + 65536], last[at : at + 65536])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for k in range(wide):
+            x = mix(h ^ np.uint64(k)) if k else h
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -114,39 +128,45 @@ def blocks(radius: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph of all pairs within ``radius``."""
+def forest(fp: np.ndarray, radius: int, whole: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Links (by place) of a spanning forest of the graph of all pairs within ``radius``.
+
+    ``whole``: rows of words; a pair must then also differ in no more than ``most`` of all their bits.
+    """
     links: list[tuple[int, int]] = []
-    left = np.unique(fp)
+    left = np.arange(len(fp))
+
+    def within(a: int, others: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(fp[others] ^ fp[a]) <= radius
+        if whole is not None and hit.any():
+            at = np.flatnonzero(hit)
+            hit[at] = np.bitwise_count(whole[others[at]] ^ whole[a]).sum(axis=1) <= most
+        return hit
+
     while len(left):
         head = left[:128]
-        near = np.bitwise_count(head[:, None] ^ left[None, :]) <= radius
-        linked = near.sum(axis=1) > 1
-        if not linked.any():
+        near = np.bitwise_count(fp[head][:, None] ^ fp[left][None, :]) <= radius
+        linked = head[near.sum(axis=1) > 1]
+        if not len(linked):
             left = left[128:]
             continue
-        gone = np.zeros(len(left), bool)
-        gone[: len(head)] = True
-        for i in np.flatnonzero(linked):
-            if not gone[i] or near[i, i] == 0:
+        gone = np.zeros(len(fp), bool)
+        for i in linked.tolist():
+            if gone[i]:
                 continue
+            gone[i] = True
             # Search from this one through everything not yet reached.
-            queue = [left[i]]
-            near[i, i] = False
-            rest_at = np.flatnonzero(~gone)
-            rest_head = np.array([j for j in range(len(head)) if near[j, j]], np.int64)
-            open_at = np.concatenate([rest_head, rest_at]).astype(np.int64)
-            while queue and len(open_at):
+            queue, open_ = [i], left[~gone[left]]
+            while queue and len(open_):
                 v = queue.pop()
-                hit = np.bitwise_count(left[open_at] ^ v) <= radius
-                for j in open_at[hit]:
-                    links.append((int(v), int(left[j])))
-                    queue.append(left[j])
-                    gone[j] = True
-                    if j < len(head):
-                        near[j, j] = False
-                open_at = open_at[~hit]
-        left = left[~gone]
+                hit = within(v, open_)
+                reached = open_[hit].tolist()
+                links += [(v, j) for j in reached]
+                queue += reached
+                gone[reached] = True
+                open_ = open_[~hit]
+        gone[head] = True
+        left = left[~gone[left]]
     return links
 
 
@@ -166,12 +186,69 @@ def links(fps: DataFrame, radius: int = 4, sample: int = 65536) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((i << 32) + leaf), pa.array(fp[row].view(np.int64))], ["shard", "fp"])
 
     def linked(table: pa.Table) -> pa.Table:
-        pairs = np.array(forest(table.column("fp").to_numpy().view(np.uint64), radius), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        fp = np.unique(table.column("fp").to_numpy())
+        pairs = np.array(forest(fp.view(np.uint64), radius), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(fp[pairs[:, 0]]), "b": pa.array(fp[pairs[:, 1]])})
 
     return fps.mapInArrow(dealt, "shard bigint, fp bigint").groupBy("shard").applyInArrow(linked, "a bigint, b bigint")
 
 
+def radius_for(similarity: float, bits: int, spread: float = 2.5) -> int:
+    """How many of ``bits`` differ at most between sets of a similarity (Jaccard), but for one in a hundred or two.
+
+    The angle between the indicator vectors of two sets of one size with Jaccard j has the cosine 2 j / (1 + j), and a bit differs with
+    the probability of that angle over pi.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_links(classes: DataFrame, similarity: float, sample: int = 65536) -> DataFrame:
+    """a, b: links among ``classes`` (id, bits) that connect all pairs that lookups find and all bits confirm."""
+    most = radius_for(similarity, 64 * WIDE)
+    n = classes.count()
+    step = max(1, -(-n // sample))
+    depth = min(16, max(0, int(np.ceil(np.log2(max(1, n / LEAF))))))
+    words = lambda blobs: np.frombuffer(b"".join(blobs), "<u8").reshape(-1, WIDE)
+    seen = words([bytes(r[0]) for r in classes.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("bits").collect()])
+    masks = [(w, m) for w in range(LOOKUPS) for m in blocks(LOOKUP_RADIUS)]
+    trees = classes.sparkSession.sparkContext.broadcast([VPTree(seen[:, w], m, depth if len(seen) else 0, i) for i, (w, m) in enumerate(masks)])
+
+    def dealt(batches):
+        for b in batches:
+            bits = words(b.column("bits").to_pylist())
+            for i, (tree, (w, _)) in enumerate(zip(trees.value, masks)):
+                row, leaf = tree.shards(bits[:, w])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array((i << 32) + leaf), b.column("id").take(at), b.column("bits").take(at)], ["shard", "id", "bits"])
+
+    def linked(key, table):
+        ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+        bits = words(table.column("bits").to_pylist())[first]
+        w = masks[key[0].as_py() >> 32][0]
+        pairs = np.array(forest(bits[:, w], LOOKUP_RADIUS, bits, most), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
+
+    return classes.select("id", "bits").mapInArrow(dealt, "shard bigint, id bigint, bits binary").groupBy("shard").applyInArrow(linked, "a bigint, b bigint")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, component_id of each row: texts are linked whose sets of shingles are that similar."""
+
+    def run(batches):
+        for b in batches:
+            bits = [wide_fingerprint(t, shingle, WIDE).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["doc_id", "bits"])
+
+    prints = cut(id_and_text(docs, text_col, id_col).mapInArrow(run, "doc_id bigint, bits binary").withColumn("id", F.xxhash64("bits")))
+    classes = cut(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("bits").alias("bits")))
+    roots = components(similar_links(classes, similarity))
+    told = cut(classes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "first"))
+    least = told.groupBy("root").agg(F.min("first").alias("component_id"))
+    told = cut(told.join(least, "root").select(F.col("id").alias("i"), "component_id"))
+    return prints.join(told, F.col("id") == F.col("i")).select("doc_id", "component_id")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node of its component) for every node on an edge; alternating stars until nothing changes."""
     spark = edges.sparkSession
@@ -213,7 +290,7 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the document of the least doc_id stays (with all rows of that id)."""
-    stays = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
+def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pipeline stage: of each group of similar texts the document of the least doc_id stays (with all rows of that id)."""
+    stays = similar_components(docs, similarity=similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__stays")), "left_semi")

@@ -57,11 +57,58 @@ def test_empty(spark):
     assert simhash.keep_one(cases.empty(spark)).collect() == []
 
 
-def test_stage_keeps_one_of_each(spark):
+def brute_similar(rows, similarity=0.8):
+    """Components of all pairs that a lookup finds and all bits confirm, pair by pair."""
+    most = simhash.radius_for(similarity, 64 * simhash.WIDE)
+    bits = np.array([simhash.wide_fingerprint(t or "", 5, simhash.WIDE) for _, t in rows])
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        apart = np.bitwise_count(bits[i] ^ bits[:i])
+        for j in np.flatnonzero((apart[:, : simhash.LOOKUPS] <= simhash.LOOKUP_RADIUS).any(axis=1) & (apart.sum(axis=1) <= most)):
+            group[find(i)] = find(int(j))
+    least: dict = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, least.get(find(i))) for i, (d, _) in enumerate(rows)]
+
+
+def test_similar_components(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    out = simhash.similar_components(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert cases.got(out, "doc_id", "component_id") == cases.want(brute_similar(rows))
     rows = [r[:2] for r in cases.rows()]
-    stay = {(d) for d, _, c in brute(rows) if d == c}
-    kept = simhash.keep_one(cases.table(spark).withColumnRenamed("n_chars", "fp"))
-    assert {r.doc_id for r in kept.collect()} == stay and kept.columns == ["doc_id", "text", "lang", "source", "fp"]
+    assert cases.got(simhash.similar_components(cases.table(spark)), "doc_id", "component_id") == cases.want(brute_similar(rows))
+    assert simhash.similar_components(cases.empty(spark)).collect() == []
+
+
+def test_near_copies_are_linked_and_others_are_not(spark):
+    rng, rows, near = np.random.default_rng(5), [], []
+    for k in range(60):
+        words = cases.passage(1000 + k, 300).split()
+        rows.append((2 * k, " ".join(words)))
+        # Each changed word takes part in five shingles: six of them leave a Jaccard of about 0.82.
+        for at in rng.choice(300, 5, replace=False):
+            words[at] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+        near.append((2 * k, 2 * k + 1))
+    shared = cases.passage(7, 70)
+    rows += [(1000 + k, f"{cases.passage(5000 + k, 150)} {shared} {cases.passage(6000 + k, 150)}") for k in range(30)]
+    told = dict(cases.got(simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)), "doc_id", "component_id"))
+    assert sum(told[b] == a for a, b in near) >= 58
+    assert all(told[d] == d for d in told if d >= 1000) and all(told[a] == a for a, _ in near)
+
+
+def test_stage_keeps_one_of_each(spark):
+    stay = {d for d, c in brute_similar([r[:2] for r in cases.rows()]) if d == c}
+    kept = simhash.keep_one(cases.table(spark).withColumnRenamed("n_chars", "bits"))
+    assert {r.doc_id for r in kept.collect()} == stay and kept.columns == ["doc_id", "text", "lang", "source", "bits"]
 
 
 @settings(max_examples=30, deadline=None)
@@ -101,6 +148,7 @@ def test_forest_connects_what_is_linked(seed, n):
         return x
 
     for a, b in links:
+        a, b = int(fp[a]), int(fp[b])
         assert (a ^ b).bit_count() <= 1 and find(a) != find(b)
         group[find(a)] = find(b)
     for a in map(int, fp):
