@@ -82,3 +82,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0xC4CEB9FE1A85EC53)
     h ^= h >> np.uint64(33)
     return h
+
+
+def slices(batches, rows: int = 500):
+    """Record batches in slices, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -19,7 +19,8 @@ remove every symbol covered by a window that also starts in a document with a sm
    their suffixes and finds the groups of equal prefixes by the operator's method (``scan``); a group's least id decides.
 4. Each chunk gets a bit for each window of its strings, marks its documents and removes the symbols.
 
-All of it is one plan; the exchange of the texts by chunk is made once and reused.
+All of it is one plan; the exchange of the texts by chunk is made once and reused. Which copy a task passes on follows the order
+of its rows, which files keep when a task is run again: give it a stored table.
 """
 
 from __future__ import annotations

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, mix
+from .common import cut, id_and_text, mix, slices
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 LEAF = 1000
 #: Words of bits that decide a similarity, words that are looked up, and the radius of a lookup.
-WIDE, LOOKUPS, LOOKUP_RADIUS = 5, 3, 10
+WIDE, LOOKUPS, LOOKUP_RADIUS = 4, 3, 10
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", id_c
     """doc_id and fp (the fingerprint's bits as a bigint) of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
@@ -92,7 +92,7 @@ class VPTree:
             pool = x if len(x) else sample & self.mask
             # Of a few candidates, the vantage whose boundary fewest values touch and that parts evenly.
             best = None
-            for v in rng.choice(pool, 4) if len(pool) else np.zeros(1, np.uint64):
+            for v in rng.choice(pool, 16) if len(pool) else np.zeros(1, np.uint64):
                 d = np.bitwise_count(x ^ v).astype(np.int64)
                 m = int(np.median(d)) if len(d) else 0
                 for r in (m - 1, m):
@@ -215,28 +215,34 @@ def similar_links(classes: DataFrame, similarity: float, sample: int = 65536) ->
     trees = classes.sparkSession.sparkContext.broadcast([VPTree(seen[:, w], m, depth if len(seen) else 0, i) for i, (w, m) in enumerate(masks)])
 
     def dealt(batches):
+        """A row for each shard and batch: the ids and bits that go there, packed."""
         for b in batches:
-            bits = words(b.column("bits").to_pylist())
+            ids, bits = b.column("id").to_numpy(), words(b.column("bits").to_pylist())
             for i, (tree, (w, _)) in enumerate(zip(trees.value, masks)):
                 row, leaf = tree.shards(bits[:, w])
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array((i << 32) + leaf), b.column("id").take(at), b.column("bits").take(at)], ["shard", "id", "bits"])
+                order = np.argsort(leaf, kind="stable")
+                row, leaf = row[order], leaf[order]
+                cuts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else leaf
+                parts = np.split(row, cuts[1:]) if len(leaf) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((i << 32) + leaf[cuts]), pa.array([ids[p].tobytes() for p in parts], pa.binary()), pa.array([bits[p].tobytes() for p in parts], pa.binary())], ["shard", "ids", "bits"]
+                )
 
     def linked(key, table):
-        ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+        ids, first = np.unique(np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8"), return_index=True)
         bits = words(table.column("bits").to_pylist())[first]
         w = masks[key[0].as_py() >> 32][0]
-        pairs = np.array(forest(bits[:, w], LOOKUP_RADIUS, bits, most), np.int64).reshape(-1, 2)
+        pairs = np.array(forest(bits[:, w].copy(), LOOKUP_RADIUS, bits, most), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
 
-    return classes.select("id", "bits").mapInArrow(dealt, "shard bigint, id bigint, bits binary").groupBy("shard").applyInArrow(linked, "a bigint, b bigint")
+    return classes.select("id", "bits").mapInArrow(dealt, "shard bigint, ids binary, bits binary").groupBy("shard").applyInArrow(linked, "a bigint, b bigint")
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, component_id of each row: texts are linked whose sets of shingles are that similar."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             bits = [wide_fingerprint(t, shingle, WIDE).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["doc_id", "bits"])
 

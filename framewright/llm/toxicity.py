@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import id_and_text, ship, slices
 
 MAX_TRAIN = 20_000
 # Insults and threats of general English, the seed lexicon.
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
         return Model(frozenset(), None, None, 0.0 if not total else toxic / total)
 
     def contexts(batches):  # a word and the word before it, once a document
-        for b in batches:
+        for b in slices(batches):
             out_w, out_y, out_c = [], [], []
             for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist()):
                 words = WORDS.findall(t.lower())
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     seed = frozenset(SEED_WORDS)
 
     def dense(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [features(t, seed, learned) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -222,7 +222,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def score(text):
         import pandas as pd
 
-        return pd.Series(held.value.score(text.tolist()))
+        return pd.Series(np.concatenate([np.zeros(0), *[held.value.score(text[at : at + 500].tolist()) for at in range(0, len(text), 500)]]))
 
     docs = docs.drop("score", "predicted")
     scored = docs.withColumn("score", score(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
