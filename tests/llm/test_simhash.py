@@ -60,7 +60,9 @@ def test_empty(spark):
 def brute_similar(rows, similarity=0.8):
     """Components of all pairs that a lookup finds and all bits confirm, pair by pair."""
     most = simhash.radius_for(similarity, 64 * simhash.WIDE)
-    bits = np.array([simhash.wide_fingerprint(t or "", 5, simhash.WIDE) for _, t in rows])
+    both = [simhash.wide_fingerprint(t or "", 5, simhash.WIDE, simhash.LEAST) for _, t in rows]
+    bits, mins = np.array([b for b, _ in both]), np.array([m for _, m in both])
+    met = {k for k in range(len(rows)) for c in range(simhash.LEAST) if ((mins[:, c] == mins[k, c]) & (bits != bits[k]).any(axis=1)).any()}
     group = list(range(len(rows)))
 
     def find(i):
@@ -70,8 +72,12 @@ def brute_similar(rows, similarity=0.8):
 
     for i in range(len(rows)):
         apart = np.bitwise_count(bits[i] ^ bits[:i])
-        for j in np.flatnonzero((apart[:, : simhash.LOOKUPS] <= simhash.LOOKUP_RADIUS).any(axis=1) & (apart.sum(axis=1) <= most)):
+        same = (apart == 0).all(axis=1)
+        for j in np.flatnonzero(same):
             group[find(i)] = find(int(j))
+        for j in np.flatnonzero((apart[:, : simhash.LOOKUPS] <= simhash.LOOKUP_RADIUS).any(axis=1) & (apart.sum(axis=1) <= most)):
+            if i in met and j in met:
+                group[find(i)] = find(int(j))
     least: dict = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
