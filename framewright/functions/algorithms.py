@@ -38,8 +38,6 @@ def available(what: str, name: str) -> None:
     """Refuse what this platform lacks."""
     if what == "compression" and name == "brotli" and importlib.util.find_spec("brotli") is None:
         raise NotSupportedError("no brotli module is installed")
-    if what == "encryption" and name == "chacha20poly1305" and importlib.util.find_spec("cryptography") is None:
-        raise NotSupportedError("no module with ChaCha20-Poly1305 is installed")
 
 
 def authenticates(name: str, custom: dict) -> bool:
@@ -102,8 +100,12 @@ def decompress(ident: int, data: bytes, size: int, name: str | None = None, cust
         available("compression", "brotli")
         import brotli
 
-        try:
-            out = brotli.decompress(data)
+        d, out = brotli.Decompressor(), b""
+        try:  # in steps, so that no more than the declared size is ever held
+            for at in range(0, len(data), 1 << 12):
+                out += d.process(data[at : at + (1 << 12)])
+                if len(out) > size:
+                    break
         except brotli.error as e:
             raise FormatError("malformed compression") from e
     else:

@@ -25,6 +25,7 @@ from framewright.functions.ship import ship
 
 DEFAULT = Options()
 ERROR = "error_class string, error string"
+PARTS = T.StructType([T.StructField(c, T.BinaryType()) for c in ("head", "stored", "key")])
 
 
 def _kind(schema: T.DataType | str, context: Context | None, meta: dict | None) -> tuple[T.DataType, dict]:
@@ -37,8 +38,6 @@ def _arrow(kind: T.DataType):
     return to_arrow_type(kind)
 
 
-
-
 def encode(value: Column, schema: T.DataType | str, meta: dict | None = None, options: Options = DEFAULT, context: Context | None = None, nullable: bool = True, nonce: Column | None = None) -> Column:
     """A frame (version 0: the payload) of each value.
 
@@ -63,23 +62,32 @@ def encode(value: Column, schema: T.DataType | str, meta: dict | None = None, op
             p = R.encode_column(codec, a, o.limits, references)
             if o.checksum == o.compression == o.encryption == "none":
                 return _plain_frames(p, o, references)
-            return pa.array([b"".join(E.seal(x, o, references)) for x in p.to_pylist()], pa.binary())
+            return pa.array([E.seal(x, o, references) for x in p.to_pylist()], pa.binary())
 
         return frame(value)
 
-    sealed = T.StructType([T.StructField("head", T.BinaryType()), T.StructField("stored", T.BinaryType())])
-
-    @F.arrow_udf(sealed)
+    @F.arrow_udf(PARTS)
     def parts(a):
-        import pyarrow as pa
+        return sealable(R.encode_column(codec, a, o.limits, references).to_pylist(), o, references)
+
+    o.keys.get(o.key_id, 32)  # refused here rather than in a task
+    return finish(parts(value), nonce)
+
+
+def sealable(payloads: list[bytes], o: Options, references: bool):
+    """Header, stored bytes and key of frames whose cipher is the JVM's. The key is a value of a row, so no plan or log shows it."""
+    import pyarrow as pa
+
+    out = [E.parts(x, o, references) for x in payloads]
+    key = o.keys.get(o.key_id, 32) if out else b""
+    columns = ([h for h, _ in out], [s for _, s in out], [key] * len(out))
+    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in columns], PARTS.names)
 
-        out = [E.seal(x, o, references) for x in R.encode_column(codec, a, o.limits, references).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([h for h, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], ["head", "stored"])
 
-    p = parts(value)
-    key = F.lit(o.keys.get(o.key_id, 32))
+def finish(parts: Column, nonce: Column | None = None) -> Column:
+    """The frames of such parts, by AES-256-GCM with the header as associated data."""
     iv = nonce if nonce is not None else F.lit("").cast("binary")
-    return F.concat(p["head"], F.aes_encrypt(p["stored"], key, F.lit("GCM"), F.lit("DEFAULT"), iv, p["head"]))
+    return F.concat(parts["head"], F.aes_encrypt(parts["stored"], parts["key"], F.lit("GCM"), F.lit("DEFAULT"), iv, parts["head"]))
 
 
 def _plain_frames(payloads, o: Options, references: bool):
@@ -111,7 +119,11 @@ def encode_native(columns: dict[str, Column], schema: T.StructType, options: Opt
 
 def header(frame: Column) -> Column:
     """The header of a frame without its payload: null for other bytes; ``error_class`` where it is malformed."""
+    return header_udf()(F.substring(frame, 1, H.LONGEST))
 
+
+def header_udf():
+    """The function of ``header``, over the first bytes of frames or whole ones."""
     kind = T._parse_datatype_string(f"struct<{_ddl(H.INFO)}, {_ddl(ERROR)}>")
     arrow = _arrow(kind)
 
@@ -139,7 +151,7 @@ def header(frame: Column) -> Column:
             out.append(info)
         return pa.array(out, arrow)
 
-    return peek(F.substring(frame, 1, H.LONGEST))
+    return peek
 
 
 def _ddl(fields: str) -> str:
@@ -160,8 +172,11 @@ def opened(frame: Column, options: Options = DEFAULT, key: Column | None = None)
 
 
 def _key(h: Column, o: Options) -> Column:
-    if o.keys.fixed is not None:
-        return F.lit(bytes(o.keys.fixed))
+    """The key of each header's id, as a value of its row: never a literal, which plans and event logs would show."""
+    return key_udf(o)(h["key_id"])
+
+
+def key_udf(o: Options):
     keys = o.keys
 
     @F.arrow_udf(T.BinaryType())
@@ -179,7 +194,7 @@ def _key(h: Column, o: Options) -> Column:
             out.append(known[i])
         return pa.array(out, pa.binary())
 
-    return find(h["key_id"])
+    return find
 
 
 def decode(
@@ -364,6 +379,10 @@ def checksum(data: Column, algorithm: str = "crc32") -> Column:
     """A checksum in the byte order that frames carry: CRC-32 in the JVM, XXH3 in Arrow batches."""
     if algorithm == "crc32":
         return wire.little(F.crc32(data), 4)
+    return checksum_udf(algorithm)(data)
+
+
+def checksum_udf(algorithm: str):
     ident = A.CHECKSUM[algorithm]
 
     @F.arrow_udf(T.BinaryType())
@@ -372,7 +391,7 @@ def checksum(data: Column, algorithm: str = "crc32") -> Column:
 
         return pa.array([None if b is None else A.checksum(ident, b) for b in a.to_pylist()], pa.binary())
 
-    return run(data)
+    return run
 
 
 def checksum_ok(frame: Column, options: Options = DEFAULT) -> Column:

@@ -19,6 +19,8 @@ from framewright.functions.options import Options
 from framewright.functions.schema import build, ordinal
 from framewright.functions.ship import ship
 
+from .frames import PARTS, finish, opened
+
 
 def node_codec(fields: T.StructType, links: list[str], name: str = "Node") -> Object:
     """A class whose links are of its own type."""
@@ -63,6 +65,7 @@ def encode_graphs(nodes: DataFrame, fields: T.StructType, links: list[str], opti
     """graph_id, frame: a frame of each graph, from its node of the least id. A graph is one frame, so max_object_graph_nodes bounds it."""
     ship(nodes.sparkSession)
     o = options or Options(references=True)
+    by_jvm = o.encryption == "aes256gcm"
 
     def run(pdf):
         import pandas as pd
@@ -73,10 +76,14 @@ def encode_graphs(nodes: DataFrame, fields: T.StructType, links: list[str], opti
                 if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) and v[f.name] is not None:
                     v[f.name] = int(v[f.name])
         payload = encode(node_codec(fields, links, name), at[min(at)], o.limits, o.references)
-        return pd.DataFrame({"graph_id": [pdf["graph_id"].iloc[0]], "frame": [b"".join(E.seal(payload, o, o.references))]})
+        head, stored = E.parts(payload, o, o.references)
+        key = o.keys.get(o.key_id, 32) if by_jvm else None
+        return pd.DataFrame({"graph_id": [pdf["graph_id"].iloc[0]], "head": [head], "stored": [stored], "key": [key]})
 
     wanted = nodes.select("graph_id", "node_id", *fields.names, *links)
-    return wanted.groupBy("graph_id").applyInPandas(run, T.StructType([wanted.schema["graph_id"], T.StructField("frame", T.BinaryType())]))
+    made = wanted.groupBy("graph_id").applyInPandas(run, T.StructType([wanted.schema["graph_id"], *PARTS.fields]))
+    frame = finish(F.struct("head", "stored", "key")) if by_jvm else F.concat("head", "stored")
+    return made.select("graph_id", frame.alias("frame"))
 
 
 def decode_graphs(frames: DataFrame, fields: T.StructType, links: list[str], options: Options | None = None, name: str = "Node") -> DataFrame:
@@ -85,9 +92,11 @@ def decode_graphs(frames: DataFrame, fields: T.StructType, links: list[str], opt
     o = options or Options(references=True)
     row = T.StructType([T.StructField("node_id", T.LongType()), *fields.fields, *[T.StructField(k, T.LongType()) for k in links]])
 
+    plain = opened(F.col("frame"), o)
+
     @F.udf(T.ArrayType(row))
-    def nodes(frame):
-        payload, references = E.undo(bytes(frame), o)
+    def nodes(frame, plain):
+        payload, references = E.undo(bytes(frame), o, None if plain is None else bytes(plain))
         return unlink(decode(node_codec(fields, links, name), payload, o.limits, references), links)
 
-    return frames.select("graph_id", F.inline(nodes("frame")))
+    return frames.select("graph_id", F.inline(nodes("frame", F.lit(None).cast("binary") if plain is None else plain)))

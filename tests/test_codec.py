@@ -111,7 +111,7 @@ def test_tighter_limits_never_turn_failure_into_success(value, n, name):
 
     def fails(limits):
         try:
-            envelope.undo(b"".join(envelope.seal(data, Options())), Options(limits=limits))
+            envelope.undo(envelope.seal(data, Options()), Options(limits=limits))
             decode(codec, data, limits)
         except LimitError:
             return True
@@ -125,7 +125,7 @@ def test_tighter_limits_never_turn_failure_into_success(value, n, name):
 @given(st.binary(max_size=300), st.sampled_from(["none", "deflate"]), st.sampled_from(["none", "crc32", "xxh3", "xxh128"]), st.integers(0, 10**6), st.integers(1, 255))
 def test_phases_and_tampering(payload, compression, checksum, at, flip):
     o = Options(compression=compression, checksum=checksum)
-    frame = b"".join(envelope.seal(payload, o))
+    frame = envelope.seal(payload, o)
     assert envelope.undo(frame, Options()) == (payload, False)
     at %= len(frame)
     bad = frame[:at] + bytes([frame[at] ^ flip]) + frame[at + 1 :]
@@ -256,7 +256,7 @@ def test_contradictory_options(bad):
 def test_limits_must_be_positive_and_platform_gaps():
     with pytest.raises(ConfigurationError):
         replace(DEFAULT, max_depth=0)
-    for o in ({"compression": "brotli"}, {"encryption": "chacha20poly1305", "keys": Keys(fixed=bytes(32))}):
+    for o in ({"compression": "brotli"},):
         what, name = next((k, v) for k, v in o.items() if k != "keys")
         try:
             algorithms.available(what, name)
@@ -275,7 +275,7 @@ def test_keys():
 
 
 def test_headers_are_canonical():
-    frame = b"".join(envelope.seal(b"abc", Options(checksum="crc32")))
+    frame = envelope.seal(b"abc", Options(checksum="crc32"))
     assert header.read(frame).info()["checksum_algorithm"] == "Crc32"
     cases = [
         (b"BSER\x02" + frame[5:], NotSupportedError), (b"BSER\x81\x00" + frame[5:], FormatError), (b"XSER" + frame[4:], FormatError), (frame.replace(b"\x03\x05\x01", b"\x03\x05\x09"), NotSupportedError),
@@ -289,7 +289,7 @@ def test_headers_are_canonical():
 
 
 def test_amplification_is_bounded():
-    bomb = b"".join(envelope.seal(bytes(1 << 20), Options(compression="deflate")))
+    bomb = envelope.seal(bytes(1 << 20), Options(compression="deflate"))
     assert len(envelope.undo(bomb, Options())[0]) == 1 << 20
     for limits in (Limits(max_decompression_ratio=100), Limits(max_payload_bytes=1000)):
         with pytest.raises(LimitError):
@@ -300,7 +300,7 @@ def test_amplification_is_bounded():
 
 
 def test_streams_of_frames():
-    frames = [b"".join(envelope.seal(bytes([k]) * k, Options(checksum="crc32"))) for k in range(1, 5)]
+    frames = [envelope.seal(bytes([k]) * k, Options(checksum="crc32")) for k in range(1, 5)]
     assert [f for _, _, f in envelope.split(b"".join(frames), Options())] == frames
     assert [o for o, _, _ in envelope.split(b"".join(frames), Options())] == [0, 1, 2, 3]
     assert envelope.split(b"", Options()) == []
@@ -312,7 +312,7 @@ def test_custom_algorithms():
     from framewright.plans.registry import Sum16, Xor, Zlib
 
     o = Options(compression="zlib", checksum="sum16", encryption="xor", keys=Keys(fixed=b"\x21"), custom={"zlib": Zlib(), "sum16": Sum16(), "xor": Xor()})
-    frame = b"".join(envelope.seal(b"payload" * 9, o))
+    frame = envelope.seal(b"payload" * 9, o)
     assert envelope.undo(frame, o)[0] == b"payload" * 9
     assert header.read(frame).info()["compression_name"] == "zlib"
     with pytest.raises(NotSupportedError):
@@ -366,3 +366,30 @@ def test_a_map_key_twice_is_malformed_in_a_batch():
     data = encode(codec, [(7, "a"), (9, "b")]).replace(b"\x09\0\0\0", b"\x07\0\0\0")
     d = R.Decoded(codec, [data, encode(codec, [(7, "a")])], arrow(MAPS), DEFAULT)
     assert [e and e.error_class for e in d.errors] == ["FORMAT", None] and d.values.to_pylist() == [None, [(7, "a")]]
+
+
+def test_chacha_vector():
+    """The published vector of RFC 8439, 2.8.2."""
+    from framewright.functions import chacha
+
+    key, nonce, head = bytes(range(0x80, 0xA0)), bytes.fromhex("070000004041424344454647"), bytes.fromhex("50515253c0c1c2c3c4c5c6c7")
+    text = b"Ladies and Gentlemen of the class of '99: If I could offer you only one tip for the future, sunscreen would be it."
+    out = chacha.seal(key, nonce, text, head)
+    assert out[12:28].hex() == "d31a8d34648e60db7b86afbc53ef7ec2" and out[-16:].hex() == "1ae10b594f09e26a7e902ecbd0600691"
+    assert chacha.open_(key, out, head) == text and chacha.open_(key, out, head + b"x") is None
+    assert chacha.open_(key, chacha.seal(key, nonce, b"", b""), b"") == b""
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 1000])
+def test_no_sealed_bytes_hold_the_text(size):
+    text = bytes(range(1, 251)) * 4
+    o = Options(encryption="chacha20poly1305", keys=Keys(fixed=bytes(range(32))), key_id="k", require_encryption=True)
+    frame = envelope.seal(text[:size], o)
+    assert size < 8 or text[:8] not in frame
+    assert envelope.undo(frame, o)[0] == text[:size]
+    for at in (0, 9, len(frame) - 1):
+        bad = frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :]
+        with pytest.raises(FrameError):
+            envelope.undo(bad, o)
+    with pytest.raises(NotSupportedError):
+        envelope.seal(text, Options(encryption="aes256gcm", keys=Keys(fixed=bytes(32))))

@@ -112,3 +112,32 @@ def test_random_nonces_differ_and_decrypt(spark):
 def test_latest(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, o int, v string")
     assert sorted(map(tuple, merge.latest(df, "k", "o").collect())) == [(1, 2, "b"), (2, 1, "c")]
+
+
+@pytest.mark.parametrize("cipher", ["aes256gcm", "chacha20poly1305"])
+def test_every_encoder_seals(spark, cipher):
+    """Columns, SQL and graphs: no frame holds the text or the key, no plan holds the key, and each reads back."""
+    from framewright.functions.keys import Keys
+    from framewright.functions.schema import Context
+    from framewright.operators import graphs
+    from framewright.operators import sql as fsql
+
+    key, text = b"\x07key-of-32-bytes-for-this-test!!\x08"[:32], "top secret text"
+    o = Options(encryption=cipher, keys=Keys(fixed=key), key_id="k1", require_encryption=True)
+    kind = T.StructType([T.StructField("s", T.StringType())])
+    df = fr.prepare(spark.createDataFrame([(text,)], "s string"))
+    fsql.register(spark, Context().add("secret", kind), o)
+    df.createOrReplaceTempView("fw_secrets")
+    column = df.select(fr.encode(F.struct("s"), kind, options=o).alias("frame"))
+    by_sql = spark.sql("SELECT encode_secret(struct(s)) AS frame FROM fw_secrets")
+    for made in (column, by_sql):
+        assert key.hex().upper() not in made._jdf.queryExecution().toString().upper()
+        for back in (made.select(fr.decode(F.col("frame"), kind, options=o).alias("v")), made.selectExpr("decode_secret(frame) AS v")):
+            assert key.hex().upper() not in back._jdf.queryExecution().toString().upper()
+            assert back.first().v.s == text
+        assert text.encode() not in bytes(made.first().frame)
+    nodes = spark.createDataFrame([(1, 1, text, 2), (1, 2, text, 1)], "graph_id bigint, node_id bigint, s string, next bigint")
+    go = Options(encryption=cipher, keys=Keys(fixed=key), references=True)
+    sealed = graphs.encode_graphs(nodes, kind, ["next"], go).checkpoint()
+    assert text.encode() not in bytes(sealed.first().frame)
+    assert sorted((r.node_id, r.s, r.next) for r in graphs.decode_graphs(sealed, kind, ["next"], go).collect()) == [(0, text, 1), (1, text, 0)]
