@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, assume, given, settings
 from hypothesis import strategies as st
 
 from framewright.llm import toxicity
@@ -20,8 +20,9 @@ def test_held_out_quality(spark):
     held = [(out[d].score, y) for d, y in labels.items() if out[d].held_out]
     s, y = np.array(held).T
     predicted = s >= 0.5
-    # About a third of the toxic labels are noise on texts without any sign of it.
-    assert (y[predicted] == 1).mean() > 0.97 and predicted[y == 1].mean() > 0.6 and (predicted == y).mean() > 0.94
+    # A few labels of toxic texts have no sign of it in the text.
+    print("held out: precision", (y[predicted] == 1).mean(), "recall", predicted[y == 1].mean(), "accuracy", (predicted == y).mean())
+    assert (y[predicted] == 1).mean() > 0.97 and predicted[y == 1].mean() > 0.85 and (predicted == y).mean() > 0.97
     words = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where(r"lower(text) rlike '\\b(idiot|moron|scum|trash|loser)\\b'").collect()}
     assert np.mean([out[d].predicted for d in words]) > 0.99
 
@@ -35,11 +36,11 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
 
 
 def test_hidden_words_count():
-    seed = frozenset(toxicity.SEED_WORDS)
+    lexicon = toxicity.Lexicon(frozenset())
     at = toxicity.NAMES.index("hidden")
     for text in ("you 1d1ot", "what a m0r0n", "such l*o*s*e*r talk", "st.up.id"):
-        assert toxicity.features(text, seed, frozenset())[at] > 0
-    assert toxicity.features("version 1.2.3 and e-mail", seed, frozenset())[at] == 0
+        assert toxicity.features(text, lexicon)[0][at] > 0
+    assert toxicity.features("version 1.2.3 and e-mail", lexicon)[0][at] == 0
 
 
 def test_awkward_rows(spark):
@@ -74,3 +75,72 @@ def test_booster_learns_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     m = toxicity.Booster().fit(x[:2000], y[:2000]).margin(x[2000:])
     assert ((m > 0) == y[2000:]).mean() > 0.95
+
+
+def brute_tree(x, y, depth, rate, penalty, least):
+    """One tree by trying every feature and every value as a cut; its margins."""
+    base = np.log(y.mean() / (1 - y.mean()))
+    p = 1 / (1 + np.exp(-base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    out = np.full(len(y), base)
+
+    def grow(rows, level):
+        gs, hs = g[rows].sum(), h[rows].sum()
+        best = None
+        if level < depth and len(rows) >= 2 * least:
+            for f in range(x.shape[1]):
+                for cut in np.unique(x[rows, f])[:-1]:
+                    left = x[rows, f] <= cut
+                    if min(left.sum(), (~left).sum()) < least:
+                        continue
+                    gl, hl = g[rows][left].sum(), h[rows][left].sum()
+                    gain = gl**2 / (hl + penalty) + (gs - gl) ** 2 / (hs - hl + penalty) - gs**2 / (hs + penalty)
+                    assume(best is None or abs(gain - best[0]) > 1e-9)  # of equally good splits either will do
+                    if gain > 1e-6 and (best is None or gain > best[0]):
+                        best = gain, f, cut
+        if best is None:
+            out[rows] += -rate * gs / (hs + penalty)
+        else:
+            left = x[rows, best[1]] <= best[2]
+            grow(rows[left], level + 1), grow(rows[~left], level + 1)
+
+    grow(np.arange(len(y)), 0)
+    return out
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.filter_too_much])
+@given(st.integers(0, 10_000))
+def test_a_tree_equals_brute_force(seed):
+    r = np.random.default_rng(seed)
+    x = r.integers(0, 30, (150, 3)).astype(float)  # fewer values than bins, so that binning loses nothing
+    y = (x[:, 0] + r.normal(size=150) * 4 > x[:, 1]).astype(float)
+    y[:2] = 0, 1
+    b = toxicity.Booster(rounds=1, depth=2, bins=200)
+    assert np.allclose(b.fit(x, y).margin(x), brute_tree(x, y, 2, b.rate, b.penalty, b.least))
+
+
+def test_stems_of_a_language_are_learned(spark):
+    """A family of words that stands only in toxic texts, no two texts with the same word."""
+    docs = [(i, cases.passage(i, 20) + (f" grumm{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " if i % 4 == 0 else " ") + cases.passage(i + 9000, 20)) for i in range(600)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = toxicity.fit(table, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id bigint, toxic int"))
+    assert any(w.startswith("grum") for w in model.learned)
+    assert model.score([f"{cases.passage(77777, 20)} grummxyz {cases.passage(88888, 9)}"])[0] > 0.5 > model.score([cases.passage(77777, 29)])[0]
+
+
+def test_a_hot_id_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(500)] + [(i, f"you idiot {i}") for i in range(2, 60)], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i > 1)) for i in range(1, 60)], "doc_id bigint, toxic int"))
+    assert model.booster is not None and abs(model.booster.base - np.log(46 / 1)) < 1.5
+
+
+def test_pieces_make_the_same_features(monkeypatch):
+    text = " ".join(f"{cases.passage(i, 9)} you st0pid idi0t, moron {cases.passage(i + 50, 3)} dich LOSER!!!" for i in range(60))
+    lexicon = toxicity.Lexicon(frozenset(["loser", "such"]))
+    (whole,) = toxicity.features(text, lexicon)
+    pieces = toxicity.pieces
+    for size in (7, 40, 333):
+        cut = list(pieces(text, size))
+        assert "".join(cut) == text and len(cut) > 2
+        monkeypatch.setattr(toxicity, "pieces", lambda t, size=size: pieces(t, size))
+        assert toxicity.features(text + " " * (1 << 18), lexicon)[0][:7] == whole[:7]
