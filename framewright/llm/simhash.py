@@ -12,11 +12,9 @@ spanning forest (never all pairs), found by searches that compare against what i
 shard that is one big group of near copies costs little. Components come from alternating large-star and
 small-star rounds on those links, cut by checkpoints.
 
-``simhash_components`` links fingerprints of 64 bits within a radius. ``similar_components`` links texts whose sets of shingles
-have a Jaccard similarity of 0.8 or more, and no others: signatures of parts of the sets (see ``Parts``) find every such pair, and
-the sets themselves decide. Shingles are told apart by their XXH64, sets by the XXH64 of those.
+Links are of fingerprints within a radius; ``similar_sets`` links texts by the similarity of their sets of shingles.
 
-Defined results. Null and blank texts: fingerprint zero, linked like any other (by sets: one class, like no other). Fewer words than a
+Defined results. Null and blank texts: fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Equal fingerprints are one class. Repeated rows: a result row
 each. component_id is the least doc_id of the component; null ids are ignored unless there is no other.
 Empty table: empty result.
@@ -24,54 +22,37 @@ Empty table: empty result.
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, mix, shuffle_partitions, slices, stored
+from .common import cut, id_and_text, join_back, slices
+from .graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 LEAF = 1000
-#: For the tests' estimate of a similarity by bits only, as are LEAST and ``radius_for``: words of bits, words looked up, radius of a lookup.
-WIDE, LOOKUPS, LOOKUP_RADIUS = 4, 3, 10
-#: Min-hashes of a text's shingles.
-LEAST = 4
-#: Sets that share a signature are paired up to so many, and gathered beyond; signatures of a shard.
-MANY, PACK = 16, 1_000_000
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
-    """The fingerprint of one whole text, unsigned."""
-    return int(wide_fingerprint(text, shingle, 1)[0][0])
-
-
-def wide_fingerprint(text: str, shingle: int, wide: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """``wide`` words of majority bits (the first of the hashes themselves, the others of hashes of them), and ``least`` min-hashes."""
+    """The fingerprint of one whole text, unsigned: a bit of the majority of its shingles' XXH64."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return np.zeros(wide, np.uint64), np.zeros(least, np.uint64)
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :][:n] - 1
-    digest = xxhash.xxh64_intdigest
-    ones, mins = np.zeros((wide, 64), np.int64), np.full(least, ~np.uint64(0))
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     starts, last = starts[:n].tolist(), last.tolist()
     for at in range(0, n, 65536):
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + 65536], last[at : at + 65536])], "<u8")
-        for k in range(wide):
-            x = mix(h ^ np.uint64(k)) if k else h
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for k in range(least):
-            mins[k] = min(mins[k], mix(h ^ np.uint64(1000 + k)).min())
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0], mins
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -135,21 +116,12 @@ def blocks(radius: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def forest(fp: np.ndarray, radius: int, whole: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Links (by place) of a spanning forest of the graph of all pairs within ``radius``.
-
-    ``whole``: rows of words; a pair must then also differ in no more than ``most`` of all their bits.
-    """
+def forest(fp: np.ndarray, radius: int, mask: int = 0) -> list[tuple[int, int]]:
+    """Links (by place) of a spanning forest of the graph of all pairs within ``radius`` (with a mask: at least of those that differ by at most one bit in it)."""
+    if mask and len(fp) > 4 * LEAF:
+        return _forest_by_block(fp, radius, mask)
     links: list[tuple[int, int]] = []
     left = np.arange(len(fp))
-
-    def within(a: int, others: np.ndarray) -> np.ndarray:
-        hit = np.bitwise_count(fp[others] ^ fp[a]) <= radius
-        if whole is not None and hit.any():
-            at = np.flatnonzero(hit)
-            hit[at] = np.bitwise_count(whole[others[at]] ^ whole[a]).sum(axis=1) <= most
-        return hit
-
     while len(left):
         head = left[:128]
         near = np.bitwise_count(fp[head][:, None] ^ fp[left][None, :]) <= radius
@@ -166,7 +138,7 @@ def forest(fp: np.ndarray, radius: int, whole: np.ndarray | None = None, most: i
             queue, open_ = [i], left[~gone[left]]
             while queue and len(open_):
                 v = queue.pop()
-                hit = within(v, open_)
+                hit = np.bitwise_count(fp[open_] ^ fp[v]) <= radius
                 reached = open_[hit].tolist()
                 links += [(v, j) for j in reached]
                 queue += reached
@@ -177,6 +149,47 @@ def forest(fp: np.ndarray, radius: int, whole: np.ndarray | None = None, most: i
     return links
 
 
+def _forest_by_block(fp: np.ndarray, radius: int, mask: int) -> list[tuple[int, int]]:
+    """The same for a large shard: values are sorted by their masked bits, and a value meets only equals there and those one bit off.
+
+    The work is that of the meetings, not the square of the shard. A run of equal bits is searched as a forest of its own; two runs
+    are compared only as far as their values aren't connected yet.
+    """
+    bits = [1 << b for b in range(64) if mask >> b & 1]
+    order = np.argsort(fp & np.uint64(mask), kind="stable")
+    key = (fp & np.uint64(mask))[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    runs, at = np.split(order, start[1:]), key[start]
+    links: list[tuple[int, int]] = []
+    group = list(range(len(fp)))
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    def add(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            group[max(a, b)] = min(a, b)
+            links.append((i, j))
+
+    for run in runs:
+        for i, j in forest(fp[run], radius) if len(run) > 1 else ():
+            add(int(run[i]), int(run[j]))
+    for bit in bits:
+        other = np.searchsorted(at, at ^ np.uint64(bit))
+        for a in np.flatnonzero((at & np.uint64(bit)) == 0).tolist():
+            b = int(other[a])
+            if b < len(at) and at[b] == at[a] ^ np.uint64(bit):
+                left, right = sorted((runs[a], runs[b]), key=len)
+                for i in left.tolist():  # the links of one value to a run: one to each group in it
+                    for j in right[np.bitwise_count(fp[right] ^ fp[i]) <= radius].tolist():
+                        add(i, j)
+    return links
+
+
 def links(fps: DataFrame, radius: int = 4, sample: int = 65536) -> DataFrame:
     """a, b: links among the distinct fingerprints of ``fps`` (column fp) that connect all pairs within ``radius``."""
     n = fps.count()
@@ -194,281 +207,25 @@ def links(fps: DataFrame, radius: int = 4, sample: int = 65536) -> DataFrame:
 
     def linked(table: pa.Table) -> pa.Table:
         fp = np.unique(table.column("fp").to_numpy())
-        pairs = np.array(forest(fp.view(np.uint64), radius), np.int64).reshape(-1, 2)
+        mask = blocks(radius)[table.column("shard")[0].as_py() >> 32] if len(fp) else 0
+        pairs = np.array(forest(fp.view(np.uint64), radius, mask), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(fp[pairs[:, 0]]), "b": pa.array(fp[pairs[:, 1]])})
 
     return fps.mapInArrow(dealt, "shard bigint, fp bigint").groupBy("shard").applyInArrow(linked, "a bigint, b bigint")
 
 
-def radius_for(similarity: float, bits: int, spread: float = 2.5) -> int:
-    """How many of ``bits`` differ at most between sets of a similarity (Jaccard), but for one in a hundred or two.
-
-    The angle between the indicator vectors of two sets of one size with Jaccard j has the cosine 2 j / (1 + j), and a bit differs with
-    the probability of that angle over pi.
-    """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
-
-
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The distinct XXH64 of one text's shingles, ascending."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - shingle + 1)
-    starts, last = np.concatenate([[0], ends[:-1]])[:n].tolist(), (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), np.uint64, n))
-
-
-def class_of(found: np.ndarray) -> int:
-    """The id of all texts with this set of shingles."""
-    import xxhash
-
-    x = xxhash.xxh64_intdigest(found.tobytes(), SEED)
-    return x - (1 << 64) if x >> 63 else x
-
-
-class Parts:
-    """Signatures of sets, of which any two sets with Jaccard ``similarity`` or more share at least one.
-
-    With p / q the similarity, sets of a and b members that are so alike have sizes within q / p of each other and differ in at most
-    (a + b) (q - p) / (q + p) members. Sizes fall in classes, each so wide that such sets are of one class or of neighbours; a
-    pair goes by the class of the smaller set, so a set has signatures for its own class and for the one below. A class parts all
-    possible members by hash into ``m`` buckets, more than the ``d`` members in which its pairs can differ: so m - d buckets at least
-    have the same members in both sets, and a signature stands for what is in one bucket. Empty buckets are told only by sets
-    that have m - d of them or more: two sets that agree in nothing else are both such.
-    """
-
-    def __init__(self, similarity: float):
-        self.p, self.q = Fraction(similarity).limit_denominator(1000).as_integer_ratio()
-        if not 0 < self.p < self.q:
-            raise ValueError("similarity must lie between 0 and 1")
-        edges, self.d = [1], []
-        while edges[-1] < 1 << 32:
-            edges.append(edges[-1] * self.q // self.p + 1)
-            top = edges[-1] - 1
-            self.d.append((top + top * self.q // self.p) * (self.q - self.p) // (self.q + self.p))
-        self.edges, self.d = np.array(edges), np.array(self.d)
-        self.m = np.where(self.d > 0, self.d + self.d // 8 + 4, 1)
-
-    def alike(self, a, b, both):
-        """Whether sets of ``a`` and ``b`` members, ``both`` of them shared, have the similarity."""
-        return (self.p + self.q) * both >= self.p * (a + b)
-
-    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the set, signature)."""
-        size = np.array([len(x) for x in sets], np.int64)
-        h, row = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), size)
-        own = np.searchsorted(self.edges, size, side="right") - 1
-        places, told = [], []
-        for kind in (own, own - 1):
-            m, d = np.where(kind >= 0, self.m[kind], 0), self.d[kind]
-            start, owner = np.cumsum(m) - m, np.repeat(np.arange(len(sets)), m)
-            use = kind[row] >= 0
-            r, x = row[use], h[use]
-            at = start[r] + (mix(x ^ np.uint64(77)) % m[r].astype(np.uint64)).astype(np.int64)
-            total = np.zeros(len(owner), np.uint64)
-            np.add.at(total, at, mix(x ^ np.uint64(78)))
-            full = np.bincount(at, minlength=len(owner)) > 0
-            empty = m - np.bincount(owner[full], minlength=len(sets))
-            tell = np.flatnonzero(full | (empty >= m - d)[owner])
-            owner = owner[tell]
-            places.append(owner)
-            told.append(mix(total[tell] + mix((kind[owner] << 32 | tell - start[owner]).astype(np.uint64))))
-        return np.concatenate(places), np.concatenate(told)
-
-
-def set_forest(sets: list[np.ndarray], parts: Parts) -> list[tuple[int, int]]:
-    """Links (by place) of a spanning forest of the graph of all pairs of ``sets`` that are alike.
-
-    Sets flip a bit of a sketch for each member: no more bits differ than members do, so far sketches rule a pair out. Exact counts decide the others.
-    """
-    size = np.array([len(x) for x in sets], np.int64)
-    flat, start = np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum(size) - size
-    flips = [np.bincount((mix(x ^ np.uint64(79)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1 for x in sets]
-    sketch = np.array([np.packbits(f.astype(np.uint8)).view(np.uint64) for f in flips], np.uint64).reshape(-1, 16)
-    p, q = parts.p, parts.q
-
-    def within(v: int, others: np.ndarray) -> np.ndarray:
-        both = size[v] + size[others]
-        hit = (p * np.maximum(size[v], size[others]) <= q * np.minimum(size[v], size[others])) & (np.bitwise_count(sketch[others] ^ sketch[v]).sum(axis=1, dtype=np.int64) * (p + q) <= both * (q - p))
-        near = np.flatnonzero(hit)
-        for at in range(0, len(near), 500):
-            some = near[at : at + 500]
-            n = size[others[some]]
-            owner = np.repeat(np.arange(len(some)), n)
-            x = flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[others[some]][owner]]
-            there = np.searchsorted(sets[v], x)
-            shared = np.bincount(owner[sets[v][np.minimum(there, size[v] - 1)] == x], minlength=len(some)) if size[v] else np.zeros(len(some), np.int64)
-            hit[some] = parts.alike(size[v], n, shared)
-        return hit
-
-    links: list[tuple[int, int]] = []
-    open_ = np.arange(len(sets))
-    while len(open_):
-        queue, open_ = [int(open_[0])], open_[1:]
-        while queue and len(open_):
-            v = queue.pop()
-            hit = within(v, open_)
-            reached = open_[hit].tolist()
-            links += [(v, j) for j in reached]
-            queue += reached
-            open_ = open_[~hit]
-    return links
-
-
-def candidates(prints: DataFrame, shards: int) -> DataFrame:
-    """many, a, b (a < b) of ``prints`` (id, signatures): all pairs that share a signature of up to MANY sets; of others each set with the first."""
-
-    def dealt(batches):
-        """A row for each shard and batch: the ids and signatures that go there, packed."""
-        for b in batches:
-            ids, first = np.unique(b.column("id").to_numpy(), return_index=True)
-            blobs = b.column("signatures").take(pa.array(first)).to_pylist()
-            told = np.frombuffer(b"".join(blobs), "<u8")
-            owner = np.repeat(ids, [len(x) // 8 for x in blobs])
-            shard = (told % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            shard, told, owner = shard[order], told[order], owner[order]
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-            each = lambda x: pa.array([y.tobytes() for y in np.split(x, cuts[1:])] if len(cuts) else [], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), each(owner), each(told)], ["shard", "ids", "signatures"])
-
-    def met(table: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8")
-        told = np.frombuffer(b"".join(table.column("signatures").to_pylist()), "<u8")
-        order = np.lexsort((ids, told))
-        ids, told = ids[order], told[order]
-        new = np.concatenate([[True], (told[1:] != told[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
-        ids, told = ids[new], told[new]
-        start = np.flatnonzero(np.concatenate([[True], told[1:] != told[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        n = np.diff(start, append=len(ids))
-        out = []
-        for k in range(2, MANY + 1):
-            of = ids[start[n == k][:, None] + np.arange(k)]
-            i, j = np.triu_indices(k, 1)
-            out.append((False, of[:, i].ravel(), of[:, j].ravel()))
-        large = np.flatnonzero(n > MANY)
-        heads = np.repeat(ids[start[large]], n[large] - 1)
-        out.append((True, heads, np.concatenate([np.zeros(0, np.int64), *(ids[start[g] + 1 : start[g] + n[g]] for g in large)])))
-        many = np.concatenate([np.full(len(a), kind) for kind, a, _ in out])
-        a, b = np.concatenate([a for _, a, _ in out]), np.concatenate([b for _, _, b in out])
-        order = np.lexsort((b, a, many))
-        many, a, b = many[order], a[order], b[order]
-        new = np.flatnonzero(np.concatenate([[True], (many[1:] != many[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else []
-        return pa.table({"many": pa.array(many[new]), "a": pa.array(a[new]), "b": pa.array(b[new])})
-
-    packed = prints.select("id", "signatures").mapInArrow(dealt, "shard bigint, ids binary, signatures binary")
-    return packed.groupBy("shard").applyInArrow(met, "many boolean, a bigint, b bigint").distinct()
-
-
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, component_id of each row: texts are linked whose sets of shingles have that Jaccard similarity or more."""
-    parts = Parts(similarity)
-    texts = id_and_text(docs, text_col, id_col).withColumn("key", F.xxhash64("text"))
-
-    def run(batches):
-        for b in slices(batches, 100):
-            sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
-            place, told = parts.signatures(sets)
-            order = np.argsort(place, kind="stable")
-            blobs = np.split(told[order], np.cumsum(np.bincount(place, minlength=len(sets)))[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), pa.array([class_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in blobs], pa.binary())], ["doc_id", "key", "id", "signatures"]
-            )
-
-    def sets_of(batches):
-        for b in slices(batches, 100):
-            sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
-            # Another text of equal key is not of this class.
-            right = [(i, x.tobytes()) for i, x in zip(b.column("id").to_pylist(), sets) if class_of(x) == i]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in right], pa.int64()), pa.array([x for _, x in right], pa.binary())], ["id", "members"])
-
-    def confirmed(batches):
-        for b in slices(batches):
-            good = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                near = parts.alike(len(x), len(y), min(len(x), len(y)))
-                good.append(bool(near and parts.alike(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good, pa.bool_())), b.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
-
-    def gathered(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        pairs = np.array(set_forest([np.frombuffer(x, "<u8") for x in table.column("members").to_pylist()], parts), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
-
-    prints = stored(texts.mapInArrow(run, "doc_id bigint, key bigint, id bigint, signatures binary"), "signatures")
-    classes = cut(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")))
-    told = prints.agg(F.sum(F.length("signatures"))).first()[0] or 0
-    found = cut(candidates(prints, max(shuffle_partitions(docs.sparkSession), told // 8 // PACK + 1)))
-    # Sets that share signatures of many are gathered, so that a large group of near copies is searched, not paired.
-    groups = cut(components(found.where("many").select("a", "b")))
-    pairs = found.where("not many").select("a", "b")
-    for end in ("a", "b"):
-        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    pairs = cut(pairs.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b"))
-    asked = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).unionByName(groups.select(F.col("node").alias("i"))).distinct()
-    asked = cut(classes.join(asked, F.col("id") == F.col("i"), "left_semi").select("id", F.col("key").alias("k")))
-    sets = texts.join(asked, F.col("key") == F.col("k")).select("id", "text").mapInArrow(sets_of, "id bigint, members binary")
-    sets = cut(sets.groupBy("id").agg(F.any_value("members").alias("members")))
-    sides = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    links = sides.select("a", "b", "x", "y").mapInArrow(confirmed, "a bigint, b bigint")
-    inside = groups.join(sets, F.col("node") == F.col("id")).select("root", "id", "members").groupBy("root").applyInArrow(gathered, "a bigint, b bigint")
-    roots = components(links.unionByName(inside))
-    told = cut(classes.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "first"))
-    least = told.groupBy("root").agg(F.min("first").alias("component_id"))
-    told = cut(told.join(least, "root").select(F.col("id").alias("i"), "component_id"))
-    return prints.join(told, F.col("id") == F.col("i")).select("doc_id", "component_id")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (least node of its component) for every node on an edge; alternating stars until nothing changes."""
-    spark = edges.sparkSession
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        # Large star: what is above a node goes to the least of its neighbourhood.
-        sym = both(edges)
-        least = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sym.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Small star: the node and what is below it go to the least of those.
-        large = cut(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == tuple(now):
-            break
-        before = tuple(now)
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-
-
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, fp, component_id of each row of ``docs``."""
     prints = cut(fingerprints(docs, shingle, text_col, id_col))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(classes.select("fp"), radius))
     told = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    told = cut(told.select("fp", "root", "first"))
-    least = told.groupBy("root").agg(F.min("first").alias("component_id"))
-    told = cut(told.join(least, "root").select(F.col("fp").alias("f"), "component_id"))
-    return prints.join(told, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    told = cut(told.select("fp", "n", "root", "first"))
+    least = told.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("classes"))
+    told = cut(join_back(told, least, "root", "classes").select("fp", "n", "component_id"))
+    return join_back(prints, told, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pipeline stage: of each group of similar texts the document of the least doc_id stays (with all rows of that id)."""
-    stays = similar_components(docs, similarity=similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__stays")), "left_semi")

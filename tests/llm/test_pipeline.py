@@ -6,7 +6,7 @@ from framewright.llm import decontam, toxicity
 from . import cases
 from .test_exact_and_tokens import brute as exact
 from .test_mixing import brute as mixed
-from .test_simhash import brute_similar
+from .test_similar_sets import brute_jaccard
 
 
 def test_run(spark, sf):
@@ -16,7 +16,7 @@ def test_run(spark, sf):
     rows = [r for r, s in zip(rows, model.score([r[1] for r in rows])) if s < 0.5]
     kept = {e[0] for e in exact([r[:2] for r in rows]) if e[3]}
     rows = [r for r in rows if r[0] in kept]
-    kept = {d for d, c in brute_similar([r[:2] for r in rows]) if d == c}
+    kept = {d for d, c in brute_jaccard([r[:2] for r in rows]) if d == c}
     rows = [r for r in rows if r[0] in kept]
     index = decontam.Index([tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()])
     rows = [r for r in rows if not index.leaks(r[1])[0]]

@@ -54,67 +54,6 @@ def test_awkward_rows(spark):
 
 def test_empty(spark):
     assert simhash.simhash_components(cases.empty(spark)).collect() == []
-    assert simhash.keep_one(cases.empty(spark)).collect() == []
-
-
-def brute_similar(rows, similarity=0.8):
-    """Components of all pairs that a lookup finds and all bits confirm, pair by pair."""
-    most = simhash.radius_for(similarity, 64 * simhash.WIDE)
-    both = [simhash.wide_fingerprint(t or "", 5, simhash.WIDE, simhash.LEAST) for _, t in rows]
-    bits, mins = np.array([b for b, _ in both]), np.array([m for _, m in both])
-    met = {k for k in range(len(rows)) for c in range(simhash.LEAST) if ((mins[:, c] == mins[k, c]) & (bits != bits[k]).any(axis=1)).any()}
-    group = list(range(len(rows)))
-
-    def find(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(rows)):
-        apart = np.bitwise_count(bits[i] ^ bits[:i])
-        same = (apart == 0).all(axis=1)
-        for j in np.flatnonzero(same):
-            group[find(i)] = find(int(j))
-        for j in np.flatnonzero((apart[:, : simhash.LOOKUPS] <= simhash.LOOKUP_RADIUS).any(axis=1) & (apart.sum(axis=1) <= most)):
-            if i in met and j in met:
-                group[find(i)] = find(int(j))
-    least: dict = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            least[find(i)] = min(d, least.get(find(i), d))
-    return [(d, least.get(find(i))) for i, (d, _) in enumerate(rows)]
-
-
-def test_similar_components(spark, sf):
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    out = simhash.similar_components(spark.read.parquet(f"{sf}/documents.parquet"))
-    assert cases.got(out, "doc_id", "component_id") == cases.want(brute_similar(rows))
-    rows = [r[:2] for r in cases.rows()]
-    assert cases.got(simhash.similar_components(cases.table(spark)), "doc_id", "component_id") == cases.want(brute_similar(rows))
-    assert simhash.similar_components(cases.empty(spark)).collect() == []
-
-
-def test_near_copies_are_linked_and_others_are_not(spark):
-    rng, rows, near = np.random.default_rng(5), [], []
-    for k in range(60):
-        words = cases.passage(1000 + k, 300).split()
-        rows.append((2 * k, " ".join(words)))
-        # Each changed word takes part in five shingles: six of them leave a Jaccard of about 0.82.
-        for at in rng.choice(300, 5, replace=False):
-            words[at] = "changed"
-        rows.append((2 * k + 1, " ".join(words)))
-        near.append((2 * k, 2 * k + 1))
-    shared = cases.passage(7, 70)
-    rows += [(1000 + k, f"{cases.passage(5000 + k, 150)} {shared} {cases.passage(6000 + k, 150)}") for k in range(30)]
-    told = dict(cases.got(simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)), "doc_id", "component_id"))
-    assert sum(told[b] == a for a, b in near) >= 58
-    assert all(told[d] == d for d in told if d >= 1000) and all(told[a] == a for a, _ in near)
-
-
-def test_stage_keeps_one_of_each(spark):
-    stay = {d for d, c in brute_similar([r[:2] for r in cases.rows()]) if d == c}
-    kept = simhash.keep_one(cases.table(spark).withColumnRenamed("n_chars", "bits"))
-    assert {r.doc_id for r in kept.collect()} == stay and kept.columns == ["doc_id", "text", "lang", "source", "bits"]
 
 
 @settings(max_examples=30, deadline=None)
@@ -163,6 +102,32 @@ def test_forest_connects_what_is_linked(seed, n):
                 assert find(a) == find(a ^ 1 << b)
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 2**32))
+def test_a_large_shard_is_searched_by_block(seed):
+    """Every pair that the block's bits bring together is connected, as the search of all pairs connects it."""
+    r = np.random.default_rng(seed)
+    radius = 4
+    base = r.integers(0, 1 << 62, 60, dtype=np.uint64)
+    fp = np.concatenate([base, *[base[r.integers(0, 60, 60)] ^ (np.uint64(1) << r.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 60, dtype=np.uint64)) for _ in range(4)]])
+    fp = np.unique(fp)
+    group = [{i} for i in range(len(fp))]
+
+    def join(links):
+        of = list(range(len(fp)))
+        for a, b in links:
+            assert int(fp[a] ^ fp[b]).bit_count() <= radius
+            x, y = of[a], of[b]
+            of = [x if k == y else k for k in of]
+        return of
+
+    found = []
+    for mask in simhash.blocks(radius):
+        found += simhash._forest_by_block(fp, radius, mask)
+    a, b = join(found), join(simhash.forest(fp, radius))
+    assert len(set(a)) == len(set(b)) == len(set(zip(a, b))) and group
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(60)], [(5, i) for i in range(6, 40)] + [(100, 99), (99, 101)], [(3, 3), (2, 1), (1, 2)]])
 def test_components(spark, edges):
     group = {x: x for e in edges for x in e if e[0] != e[1]}
@@ -177,5 +142,4 @@ def test_components(spark, edges):
             x, y = sorted((find(a), find(b)))
             group[y] = x
     out = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint"))
-    expected = {x: find(x) for x in group if x != find(x)}
-    assert {r.node: r.root for r in out.collect() if r.node != r.root} == expected
+    assert sorted(map(tuple, out.select("node", "root").collect())) == sorted((x, find(x)) for x in group)
