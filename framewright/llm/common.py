@@ -48,15 +48,16 @@ def id_and_text(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def join_back(rows: DataFrame, told: DataFrame, key: str, count: str) -> DataFrame:
-    """``rows`` with what ``told`` says of their key: one row a key, with the ``count`` of ``rows`` that have it.
+def join_back(rows: DataFrame, told: DataFrame, key: str, hot: list | str) -> DataFrame:
+    """``rows`` with what ``told`` says of their key: one row a key.
 
-    A key of over a thousandth of all rows would fill one task; there are under a thousand such keys, so their rows of
-    ``told`` are broadcast. All other keys meet in a plain join.
+    ``hot``: the keys that over a thousandth of all rows have, of which there are under a thousand; or the column of ``told`` that counts the ``rows`` of
+    each key. Such a key would fill one task, so its row of ``told`` is broadcast. All other keys meet in a plain join.
     """
-    total = told.agg(F.sum(count)).first()[0] or 0
-    hot = [r[0] for r in told.where((F.col(count) * 1000 > total) & (F.col(count) > 1)).select(key).collect()]
-    told = told.drop(count)
+    if isinstance(hot, str):
+        total = told.agg(F.sum(hot)).first()[0] or 0
+        count, hot = hot, [r[0] for r in told.where((F.col(hot) * 1000 > total) & (F.col(hot) > 1)).select(key).collect()]
+        told = told.drop(count)
     if not hot:
         return rows.join(told, key)
     here = F.col(key).isin(hot)

@@ -1,51 +1,48 @@
-"""What both substring-dedup operators share: windows of symbols, anchors, shards of suffixes, marks.
+"""What both substring-dedup operators share: windows of symbols, anchors, shards of strings, marks.
 
 A *symbol* is a byte or a word; a *window* is ``width`` consecutive symbols of one document. The rule:
 remove every symbol covered by a window that also starts in a document with a smaller id.
 
-1. *Anchors.* Each window is named by the least hash of its ``gram``-symbol substrings, so equal windows
-   have equal anchors, and neighbours mostly share theirs. Chunks of documents send the distinct anchors
-   (4 bytes each); a shard of anchors answers which ones stand in two texts.
-   Texts that are equal to the byte are one string from the start: a task passes on the first and tells its
-   copies at once (all their windows stand in a smaller id). The least anchor of a text's first ``HEAD`` characters
-   deals it, so that near copies mostly meet in a chunk, which then sends what they share once; no more than
-   ``ALIKE`` of them from each of ``TASKS`` tasks, however many there are.
-2. *Super-windows.* A run of windows with one shared anchor is one string, of at most
+1. *Texts.* Each distinct text is sent to a chunk once a task, with the ids that have it; of a text that over a thousandth of all rows have, only
+   the first row is sent. The least anchor of a text's first ``HEAD`` characters deals it, so that near copies mostly meet in a
+   chunk, which then sends what they share once. A name with more bytes than twice an even chunk is split by the texts' digests. All of
+   this follows from content and counts, never from the order of rows, so a task that is run again does the same.
+2. *Anchors.* Each window is named by the least hash of its ``gram``-symbol substrings, so equal windows
+   have equal anchors, and neighbours mostly share theirs. Chunks send the distinct anchors
+   (4 bytes each); a shard of anchors answers which ones stand in two documents.
+3. *Super-windows.* A run of windows with one shared anchor is one string, of at most
    ``width + RUN - 1`` symbols. A chunk sends the anchor's shard the hash of each distinct string with the least id
-   that has it (a passage that a third of all documents share is sent once a chunk). Anchors that
-   ``hot`` or more chunks have are split further: each of their windows is a string of its own, in a shard by its own
-   content. The shard asks one chunk for the symbols of each distinct string that isn't alone under its anchor.
-3. *Suffixes.* So a shard has, once each, all distinct strings whose windows can be equal. It sorts
-   their suffixes and finds the groups of equal prefixes by the operator's method (``scan``); a group's least id decides.
-4. Each chunk gets a bit for each window of its strings, marks its documents and removes the symbols.
-
-All of it is one plan; the exchange of the texts by chunk is made once and reused. Which copy a task passes on follows the order
-of its rows, which files keep when a task is run again: give it a stored table.
+   that has it, and whether another document has it too. Where ``hot`` or more chunks share an anchor, its windows go to shards by
+   their own content, each a string of ``width`` symbols: what can be equal still meets, and no shard holds more than its part. The shard asks
+   one chunk for the symbols of each distinct string that isn't alone under its anchor or that two documents have.
+4. *Suffixes.* So a shard has, once each, all distinct strings of which a window may be found again. The operator's method (``find``) orders
+   their suffixes and gives the groups of equal prefixes; a string that two documents have counts as two occurrences. A window is
+   found again only if it lies in such a group, and the group's least id decides.
+5. Each chunk gets a bit for each window of its strings, for the least id that has the string and for all others, marks its texts and removes the symbols.
+
+Strings are told apart by their 64-bit XXH64 under the 32 bits of their anchor; the suffixes of each are compared symbol by symbol.
+All of it is one plan; the exchange of the texts by chunk is made once and reused.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, id_and_text, mix
+from .common import chunk_count, cut, id_and_text, join_back, mix, slices, stored
 
 #: Most windows in a super-window (its marks are one word) and symbols handled at a time.
 RUN, PIECE = 62, 1 << 19
-#: What deals texts into chunks: characters looked at; texts of one least anchor from a task, and tasks, that share a chunk.
-HEAD, ALIKE, TASKS = 1024, 64, 32
+#: Characters whose anchor deals a text.
+HEAD = 1024
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
-#: suffix matrix -> groups; see ``Suffixes``.
-Scan = Callable[["Suffixes"], "Groups"]
 
 
 @dataclass(frozen=True)
@@ -122,12 +119,14 @@ class Unit:
 
 @dataclass
 class Suffixes:
-    """The sorted suffixes of a shard's strings, of at least ``width`` symbols each."""
+    """Sorted suffixes of a shard's strings, of at least ``width`` symbols each."""
 
     string: np.ndarray  #: which string
     offset: np.ndarray  #: where in it
     lcp: np.ndarray  #: symbols shared with the suffix before; 0 for the first
     left: np.ndarray  #: the symbol before, -1 at a string's edge
+    length: np.ndarray  #: symbols
+    twice: np.ndarray  #: whether two documents have the string
     width: int
 
 
@@ -140,61 +139,69 @@ class Groups:
     length: np.ndarray
 
 
-def sort_suffixes(symbols: np.ndarray, size: np.ndarray, width: int, q: int) -> Suffixes:
-    """Sort by packed symbols (``q`` to a word), going on only where words tie. ``symbols``: of all strings, 1 and up."""
-    bits = 64 // q
-    # Strings lie apart by q zeros (symbols are 1 and up), so that a word never holds two strings.
-    base = np.cumsum(size + q) - size - q
-    flat = np.zeros(int((size + q).sum()) + q, U)
-    at = np.repeat(base, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    flat[at] = symbols
-    del at
-    packed = np.zeros(len(flat), U)
-    for j in range(q):
-        packed[: len(flat) - j] |= flat[j:] << U(64 - bits * (j + 1))
-    count = np.maximum(size - width + 1, 0)
-    string = np.repeat(np.arange(len(size)), count)
-    offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-    start, end = base[string] + offset, (base + size)[string]
-
-    def same(a, b):  # leading symbols that two words share
+class Strings:
+    """A shard's strings, packed for comparison: ``q`` symbols to a word. ``symbols``: of all strings in turn, 1 and up."""
+
+    def __init__(self, symbols: np.ndarray, size: np.ndarray, twice: np.ndarray, width: int, q: int):
+        self.size, self.twice, self.width, self.q, self.bits = size, twice, width, q, 64 // q
+        # Strings lie apart by q zeros (symbols are 1 and up), so that a word never holds two strings.
+        self.base = np.cumsum(size + q) - size - q
+        self.flat = np.zeros(int((size + q).sum()) + q, U)
+        self.flat[np.repeat(self.base, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = symbols
+        self.packed = np.zeros(len(self.flat), U)
+        for j in range(q):
+            self.packed[: len(self.flat) - j] |= self.flat[j:] << U(64 - self.bits * (j + 1))
+
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(string, offset) of all suffixes of ``width`` and more symbols."""
+        count = np.maximum(self.size - self.width + 1, 0)
+        string = np.repeat(np.arange(len(self.size)), count)
+        return string, np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+
+    def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Leading symbols that two words share."""
         x, k = a ^ b, np.zeros(len(a), np.int64)
-        for j in range(1, q + 1):
-            k += (x >> U(64 - bits * j)) == 0
+        for j in range(1, self.q + 1):
+            k += (x >> U(64 - self.bits * j)) == 0
         return k
 
-    order = np.argsort(packed[start], kind="stable")
-    word = packed[start[order]]
-    new = np.ones(len(order), bool)
-    lcp = np.zeros(len(order), np.int64)
-    if len(order) > 1:
-        new[1:] = word[1:] != word[:-1]
-        lcp[1:] = same(word[1:], word[:-1])
-    depth = q
-    while True:
-        tied = np.flatnonzero(~new | np.append(~new[1:], False)) if len(new) else new
-        if not len(tied):
-            break
-        s = order[tied]
-        here = start[s] + depth
-        inside = here < end[s]
-        if not inside.any():
-            break
-        word = np.where(inside, packed[np.minimum(here, len(packed) - 1)], U(0))
-        group = np.cumsum(new)[tied]
-        by = np.lexsort((word, group))
-        order[tied], word = s[by], word[by]
-        differ = ~new[tied[1:]] & (word[1:] != word[:-1])  # within a group the places follow each other
-        still = ~new[tied[1:]]
-        k = same(word[1:], word[:-1])
-        lcp[tied[1:][still]] = depth + k[still]
-        new[tied[1:][differ]] = True
-        depth += q
-    length = (end - start)[order]
-    if len(order) > 1:
-        lcp[1:] = np.minimum(lcp[1:], np.minimum(length[1:], length[:-1]))
-    before = np.where(offset[order] > 0, flat[np.maximum(start[order] - 1, 0)].astype(np.int64), -1)
-    return Suffixes(string[order], offset[order], lcp, before, width)
+    def sort(self, string: np.ndarray, offset: np.ndarray, depth: int = 0) -> Suffixes:
+        """Sort suffixes that share their first ``depth`` symbols, going on only where words tie."""
+        start, end = self.base[string] + offset, (self.base + self.size)[string]
+        order = np.argsort(self.packed[start + depth], kind="stable")
+        word = self.packed[start[order] + depth]
+        new, lcp = np.ones(len(order), bool), np.zeros(len(order), np.int64)
+        if len(order) > 1:
+            new[1:] = word[1:] != word[:-1]
+            lcp[1:] = depth + self._same(word[1:], word[:-1])
+        depth += self.q
+        while True:
+            tied = np.flatnonzero(~new | np.append(~new[1:], False)) if len(new) else new
+            if not len(tied):
+                break
+            s = order[tied]
+            here = start[s] + depth
+            inside = here < end[s]
+            if not inside.any():
+                break
+            word = np.where(inside, self.packed[np.minimum(here, len(self.packed) - 1)], U(0))
+            group = np.cumsum(new)[tied]
+            by = np.lexsort((word, group))
+            order[tied], word = s[by], word[by]
+            still = ~new[tied[1:]]  # within a group the places follow each other
+            k = self._same(word[1:], word[:-1])
+            lcp[tied[1:][still]] = depth + k[still]
+            new[tied[1:][still & (word[1:] != word[:-1])]] = True
+            depth += self.q
+        string, offset, length = string[order], offset[order], (end - start)[order]
+        if len(order) > 1:
+            lcp[1:] = np.minimum(lcp[1:], np.minimum(length[1:], length[:-1]))
+        before = np.where(offset > 0, self.flat[np.maximum(start[order] - 1, 0)].astype(np.int64), -1)
+        return Suffixes(string, offset, lcp, before, length, self.twice[string], self.width)
+
+
+#: The operator's method: a shard's strings -> sorted suffixes and the groups among them, once or part by part.
+Find = Callable[[Strings], Iterator[tuple[Suffixes, Groups]]]
 
 
 def expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,19 +222,29 @@ def left_diverse(s: Suffixes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (least != most) | (least < 0)
 
 
-def least_ids(symbols: np.ndarray, size: np.ndarray, ids: np.ndarray, width: int, q: int, scan: Scan) -> np.ndarray:
-    """For each window of each string, in order, the least id of any string that has the window."""
-    count = np.maximum(size - width + 1, 0)
+def maximal(s: Suffixes, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> Groups:
+    """The left-diverse ones of the given groups, and of the suffixes that occur twice as they are."""
+    # A string that two documents have: each of its suffixes is a leaf of two occurrences; they differ to the left only at the edge.
+    twice = np.flatnonzero(s.twice & (s.left < 0))
+    lo, hi, length = np.concatenate([lo, twice]), np.concatenate([hi, twice + 1]), np.concatenate([length, s.length[twice]])
+    keep = left_diverse(s, lo, hi)
+    return Groups(lo[keep], hi[keep], length[keep])
+
+
+def least_ids(strings: Strings, ids: np.ndarray, find: Find) -> np.ndarray:
+    """For each window of each string, in order, the least id of the groups that it lies in; NO_ID where it lies in none."""
+    width = strings.width
+    count = np.maximum(strings.size - width + 1, 0)
     first = np.cumsum(count) - count
-    least = np.repeat(ids, count)
-    s = sort_suffixes(symbols, size, width, q)
-    groups = scan(s)
-    if len(groups.lo):
+    least = np.full(count.sum(), NO_ID)
+    for s, groups in find(strings):
+        if not len(groups.lo):
+            continue
         g, at = expand(groups.lo, groups.hi)
         of = np.minimum.reduceat(ids[s.string[at]], np.cumsum(groups.hi - groups.lo) - (groups.hi - groups.lo))[g]
         window, last = first[s.string[at]] + s.offset[at], groups.length[g] - width
         for j in range(int(last.max()) + 1):  # every window inside the repeat
-            in_it = last >= j
+            in_it = np.flatnonzero(last >= j)
             np.minimum.at(least, window[in_it] + j, of[in_it])
     return least
 
@@ -272,7 +289,7 @@ class _Known:
 
 
 @dataclass
-class _Strings:
+class _Places:
     """The super-windows of a chunk's distinct texts, wherever they stand: a row a place."""
 
     text: np.ndarray  #: which text
@@ -283,7 +300,7 @@ class _Strings:
     hash: np.ndarray
 
     @staticmethod
-    def of(unit: Unit, known: _Known, texts, want: Callable | None = None) -> _Strings:
+    def of(unit: Unit, known: _Known, texts, want: Callable | None = None) -> _Places:
         """``want``: gets each place's hash, start and end and the text's bytes."""
         import xxhash
 
@@ -308,7 +325,7 @@ class _Strings:
                 if want is not None:
                     want(raw, bounds, shard, h)
         kinds = (np.int64, np.int64, np.int64, np.int64, np.uint32, U)
-        return _Strings(*[np.concatenate([np.zeros(0, t), *[r[i] for r in rows]]) for i, t in enumerate(kinds)])
+        return _Places(*[np.concatenate([np.zeros(0, t), *[r[i] for r in rows]]) for i, t in enumerate(kinds)])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct strings by shard and hash: place of one, where each shard begins; and each place's string."""
@@ -322,15 +339,31 @@ class _Strings:
         return one, begin, np.append(begin, len(one)), string
 
 
-def _distinct(table: pa.Table) -> dict[str, int]:
-    """A chunk's distinct texts in order, each with the least id that has it."""
-    least: dict[str, int] = {}
-    for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+@dataclass
+class _Text:
+    """A distinct text of a chunk: the least id that has it, and whether another has it."""
+
+    digest: bytes
+    text: str
+    first: int
+    more: bool
+
+
+def _texts(table: pa.Table, hot: dict[bytes, tuple[int, bool]]) -> list[_Text]:
+    """A chunk's distinct texts in order of their digests."""
+    found: dict[bytes, _Text] = {}
+    for digest, doc, text in zip(*[table.column(c).to_pylist() for c in ("digest", "doc_id", "text")]):
+        t = found.get(digest)
+        if t is None:
+            t = found[digest] = _Text(digest, None, doc, False)
         if text is not None:
-            doc = NO_ID if doc is None else doc
-            if least.get(text, NO_ID + 1) > doc:
-                least[text] = doc
-    return dict(sorted(least.items()))
+            t.text = text
+        t.more |= doc != t.first
+        t.first = min(t.first, doc)
+    for digest, (first, more) in hot.items():
+        if digest in found:
+            found[digest].first, found[digest].more = first, more
+    return [found[d] for d in sorted(found)]
 
 
 def _spans(first: list[int], marks: list[int], width: int) -> list[list[int]]:
@@ -360,7 +393,7 @@ def _kept(unit: Unit, raw: bytes, n: int, starts: np.ndarray | None, ends: np.nd
     return (b" " if unit.words else b"").join(parts)
 
 
-def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_bytes: int = 3 << 20, with_text: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_bytes: int = 3 << 20, with_text: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_symbols, spans (removed symbols, [start, end)), kept (UTF-8), kept_sha256 of each row of ``docs``.
 
     ``kept`` is null unless ``with_text``.
@@ -377,47 +410,53 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
     def rows_of(table: pa.Table):
         return list(zip(*[table.column(c).to_pylist() for c in names]))
 
-    def fold(batches):
-        seen: dict[bytes, int] = {}
-        alike: Counter = Counter()
-        group = TaskContext.get().partitionId() // TASKS
-        n = 0
-        for b in batches:
-            chunk, text_out, size = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
-                digest = hashlib.sha256(raw).digest()
-                doc = NO_ID if doc is None else doc
-                n += 1
-                if seen.get(digest, NO_ID) < doc:
-                    symbols = len(raw.split()) if unit.words else len(raw)
-                    if symbols >= width:
-                        chunk.append(n % shards), text_out.append(None), size.append(symbols)
-                        continue
-                else:
-                    seen[digest] = doc
-                least = [a.min() for _, _, a in unit.runs(*unit.split(text[:HEAD]))]
-                name = int(least[0]) if least else int.from_bytes(digest[:8], "little")
-                deal = hash((name, group, alike[name] // ALIKE))  # of integers: the same everywhere
-                alike[name] += 1
-                chunk.append(deal % shards), text_out.append(text), size.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), b.column(0), pa.array(text_out, pa.string()), pa.array(size, pa.int64())], ["chunk", "doc_id", "text", "gone"])
+    def name_of(head: str, digest: bytes) -> int:
+        least = [a.min() for _, _, a in unit.runs(*unit.split(head))]
+        return int(least[0] if least else int.from_bytes(digest[:8], "little")) & (2**63 - 1)
+
+    def named(batches):
+        for b in slices(batches, 2000):
+            found = [name_of(h, d) for h, d in zip(b.column("head").to_pylist(), b.column("digest").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), b.column("bytes"), pa.array(found, pa.int64())], ["doc_id", "digest", "bytes", "name"])
+
+    rows = id_and_text(docs, text_col, id_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.substring(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)), 1, 16).alias("digest"))
+    prints = stored(rows.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("bytes"), F.substring("text", 1, HEAD).alias("head")).mapInArrow(named, "doc_id bigint, digest binary, bytes bigint, name bigint"), "prints")
+    classes = cut(prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.min("name").alias("name"), F.min("bytes").alias("bytes")))
+    total, size = classes.agg(F.sum("n"), F.sum("bytes")).first()
+    copies = {bytes(r.digest): (r.first, r.last > r.first) for r in classes.where((F.col("n") * 1000 > (total or 0)) & (F.col("n") > 1)).collect()}  # under a thousand
+    limit = max(1 << 18, 2 * (size or 0) // shards)
+    crowded = stored(classes.groupBy("name").agg(F.sum("bytes").alias("all")).where(F.col("all") > limit).select(F.col("name").alias("crowd"), F.ceil(F.col("all") / limit).alias("parts")), "crowded")
+
+    def sent(batches):
+        """Each text once a task; of one with very many copies only the first row."""
+        told: set[bytes] = set()
+        for b in slices(batches, 2000):
+            out: list[tuple] = []
+            for doc, text, digest in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "digest")]):
+                if digest in copies and doc != copies[digest][0]:
+                    continue
+                out.append((name_of(text[:HEAD], digest), digest, doc, None if digest in told else text))
+                told.add(digest)
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["name", "digest", "doc_id", "text"])
 
     def anchors(key, table):
-        """To each shard of anchors: the chunk's, and those of two of its texts."""
-        value = []
-        for text in _distinct(table):
-            own = [a for _, _, a in unit.runs(*unit.split(text))]
+        """To each shard of anchors: the chunk's, and those of two of its documents."""
+        value, twice = [], []
+        for t in _texts(table, copies):
+            own = [a for _, _, a in unit.runs(*unit.split(t.text))]
             if own:
                 value.append(np.unique(np.concatenate(own)))
+                if t.more:
+                    twice.append(value[-1])
         if not value:
             return table_of([])
-        u, n = np.unique(np.concatenate(value), return_counts=True)
+        u, n = np.unique(np.concatenate([*value, *twice]), return_counts=True)
         shard, code = _key(u, shards)
         return table_of([(key[0].as_py(), s, c.astype("<u4").tobytes(), c[k > 1].astype("<u4").tobytes(), b"") for s, c, k in _by_shard(shard, code, n)])
 
     def shared(key, table):
-        """To each chunk: its anchors that stand in two texts, and those of them that are split."""
+        """To each chunk: its anchors that stand in two documents, and those of them that are split."""
         rows = rows_of(table)
         code = np.sort(np.concatenate([_join([r[2] for r in rows], "<u4"), _join([r[3] for r in rows], "<u4")]))
         both, n = np.unique(code[1:][code[1:] == code[:-1]], return_counts=True)
@@ -430,29 +469,45 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
                 out.append((chunk, key[0].as_py(), mine.tobytes(), mine[_in(many, mine)].tobytes(), b""))
         return table_of(out)
 
+    def ids_of(texts: list[_Text], places: _Places, strings: int, string: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its id; of each distinct string the least id, and whether another document of the chunk has it."""
+        first = np.array([t.first for t in texts], np.int64)
+        last = np.array([NO_ID if t.more else t.first for t in texts], np.int64)
+        low, high = np.full(strings, NO_ID), np.full(strings, -NO_ID)
+        np.minimum.at(low, string, first[places.text])
+        np.maximum.at(high, string, last[places.text])
+        return first, low, high > low
+
     def hashes(key, left, right):
-        """To each shard: anchor, hash and least id of the chunk's distinct strings."""
+        """To each shard: anchor, hash, least id and whether there is another, of the chunk's distinct strings."""
         if not left.num_rows or not right.num_rows:
             return table_of([])
-        texts = _distinct(left)
-        s = _Strings.of(unit, _Known(right, shards), texts)
+        texts = _texts(left, copies)
+        s = _Places.of(unit, _Known(right, shards), (t.text for t in texts))
         one, begin, end, string = s.distinct()
-        least = np.full(len(one), NO_ID)
-        np.minimum.at(least, string, np.array(list(texts.values()), np.int64)[s.text] if len(texts) else string)
+        _, low, more = ids_of(texts, s, len(one), string)
+        told = np.concatenate([low.view(np.uint8).reshape(-1, 8), more.astype(np.uint8)[:, None]], axis=1)
         rows = zip(s.shard[one[begin]].tolist(), begin.tolist(), end[1:].tolist())
-        return table_of([(key[0].as_py(), k, s.code[one[a:b]].astype("<u4").tobytes(), s.hash[one[a:b]].tobytes(), least[a:b].tobytes()) for k, a, b in rows])
+        return table_of([(key[0].as_py(), k, s.code[one[a:b]].astype("<u4").tobytes(), s.hash[one[a:b]].tobytes(), told[a:b].tobytes()) for k, a, b in rows])
+
+    def said_ids(rows) -> tuple[np.ndarray, np.ndarray]:
+        told = _join([r[4] for r in rows], np.uint8).reshape(-1, 9)
+        return told[:, :8].copy().view("<i8").ravel(), told[:, 8] > 0
 
     def settle(key, table):
-        """To one chunk for each distinct string that isn't alone under its anchor: a wish for its symbols."""
+        """To one chunk for each distinct string that isn't alone under its anchor or that two documents have: a wish for its symbols."""
         rows = rows_of(table)
         code, h = _join([r[2] for r in rows], "<u4"), _join([r[3] for r in rows], "<u8")
+        low, more = said_ids(rows)
         row = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
         order = np.lexsort((row, h, code))
-        code, h, row = code[order], h[order], row[order]
+        code, h, row, low, more = code[order], h[order], row[order], low[order], more[order]
         new = np.concatenate([[True], (code[1:] != code[:-1]) | (h[1:] != h[:-1])])
+        first = np.flatnonzero(new)
+        twice = np.logical_or.reduceat(more, first) | (np.minimum.reduceat(low, first) != np.maximum.reduceat(low, first))
         code, h, row = code[new], h[new], row[new]
         same = np.concatenate([[False], code[1:] == code[:-1]])
-        ask = same | np.append(same[1:], False)
+        ask = same | np.append(same[1:], False) | twice
         return table_of([(rows[r][0], -1 - key[0].as_py(), b"", b"", np.sort(x).tobytes()) for r, x in _by_shard(row[ask], h[ask])])
 
     def strings(key, left, right):
@@ -469,20 +524,22 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
             for i in np.flatnonzero(_in(pairs, mix(h ^ shard.astype(U)))).tolist():
                 found.setdefault((int(shard[i]), int(h[i])), raw[bounds[i][0] : bounds[i][1]])
 
-        _Strings.of(unit, _Known(right, shards), _distinct(left), want)
+        _Places.of(unit, _Known(right, shards), (t.text for t in _texts(left, copies)), want)
         out: dict[int, list[tuple[int, bytes]]] = {}
         for (s, h), x in found.items():
             out.setdefault(s, []).append((h, x))
         return table_of([(key[0].as_py(), s, b"".join(x for _, x in r), np.array([len(x) for _, x in r], "<u4").tobytes(), np.array([h for h, _ in r], "<u8").tobytes()) for s, r in out.items()])
 
     def marks(key, left, right):
-        """To each chunk: a word of window marks for each of its distinct strings, in order."""
+        """To each chunk: a word of window marks for each of its distinct strings, in order, for their least ids; and for others where there are any."""
         rows = rows_of(left)
-        h, ids = _join([r[3] for r in rows], "<u8"), _join([r[4] for r in rows], "<i8")
+        h = _join([r[3] for r in rows], "<u8")
+        ids, more = said_ids(rows)
         u, at = np.unique(h, return_inverse=True)
-        least = np.full(len(u), NO_ID)
+        least, most = np.full(len(u), NO_ID), np.full(len(u), -NO_ID)
         np.minimum.at(least, at, ids)
-        bits = np.where(least[at] < ids, ~U(0), U(0))
+        np.maximum.at(most, at, np.where(more, NO_ID, ids))
+        own, others = np.zeros(len(h), U), np.zeros(len(h), U)
         got = rows_of(right) if right is not None else []
         if got:
             size, mine = _join([r[3] for r in got], "<u4").astype(np.int64), _join([r[4] for r in got], "<u8")
@@ -497,7 +554,7 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
             else:
                 symbols = np.frombuffer(data, np.uint8).astype(U) + U(1)
             of = np.searchsorted(u, mine)  # the string of each row of symbols
-            found = least_ids(symbols, size, least[of], width, q, scan)
+            found = least_ids(Strings(symbols, size, (most > least)[of], width, q), least[of], find)
             del symbols
             count = size - width + 1
             first = np.cumsum(count) - count
@@ -505,50 +562,61 @@ def dedup(docs: DataFrame, unit: Unit, scan: Scan, q: int, hot: int = 64, chunk_
             row[of] = np.arange(len(of))
             here = np.flatnonzero(row[at] >= 0)
             r, limit = row[at[here]], ids[here]
-            word = np.zeros(len(here), U)
+            a, b = np.zeros(len(here), U), np.zeros(len(here), U)
             for j in range(int(count.max())):
                 k = np.flatnonzero(count[r] > j)
-                word[k] |= (found[first[r[k]] + j] < limit[k]).astype(U) << U(j)
-            bits[here] = word
-        cuts = np.cumsum([len(r[3]) // 8 for r in rows])
-        return table_of([(r[0], -1 - key[0].as_py(), b"", b"", x.tobytes()) for r, x in zip(rows, np.split(bits, cuts[:-1]))])
+                x = found[first[r[k]] + j]
+                a[k] |= (x < limit[k]).astype(U) << U(j)
+                b[k] |= ((x <= limit[k]) & (x < NO_ID)).astype(U) << U(j)
+            own[here], others[here] = a, b
+        cuts = np.cumsum([len(r[3]) // 8 for r in rows])[:-1]
+        parts = zip(rows, np.split(own, cuts), np.split(others, cuts), np.split(more, cuts))
+        return table_of([(r[0], -1 - key[0].as_py(), x[m].tobytes(), b"", o.tobytes()) for r, o, x, m in parts])
 
     def removed(key, left, right):
-        distinct = _distinct(left)
+        """What is removed of each distinct text, for the least id that has it and for others."""
+        texts = _texts(left, copies)
         known = _Known(right, shards)
-        s = _Strings.of(unit, known, distinct) if len(known.shared) else _Strings.of(unit, known, [])
+        s = _Places.of(unit, known, (t.text for t in texts) if len(known.shared) else [])
         one, begin, _, string = s.distinct()
-        blobs = {-1 - k: c for _, k, _, _, c in rows_of(right) if k < 0}
-        bits = _join([blobs[k] for k in s.shard[one[begin]].tolist()], "<u8")
-        doc = np.array(list(distinct.values()), np.int64)[s.text] if len(s.text) else np.zeros(0, np.int64)
-        least = np.full(len(one), NO_ID)
-        np.minimum.at(least, string, doc)
-        # Where a string's least id is another text's, all its windows are marked.
-        mark = np.where(least[string] < doc, ~U(0), bits[string]) & ((U(1) << s.windows.astype(U)) - U(1))
-        at = np.flatnonzero(mark)
-        cuts = np.searchsorted(s.text[at], np.arange(len(distinct) + 1)).tolist()
-        first, mark = s.first[at].tolist(), mark[at].tolist()
-        told: dict[str, tuple] = {}
-        for k, (text, doc) in enumerate(distinct.items()):
-            raw, n, starts, ends = unit.split(text)
-            spans = _spans(first[cuts[k] : cuts[k + 1]], mark[cuts[k] : cuts[k + 1]], width)
-            told[text] = (doc, n, spans, _kept(unit, raw, n, starts, ends, spans))
-        out: dict = {"doc_id": [], "n_symbols": [], "spans": [], "kept": [], "kept_sha256": []}
-        for real, text, gone in zip(*[left.column(c).to_pylist() for c in ("doc_id", "text", "gone")]):
-            own, n, spans, kept = told[text] if text is not None else (-1, gone, [], b"")
-            if text is None or ((NO_ID if real is None else real) > own and n >= width):
-                spans, kept = [[0, n]], b""
-            out["doc_id"].append(real), out["n_symbols"].append(n), out["spans"].append([{"start": a, "end": b} for a, b in spans])
-            out["kept"].append(kept if with_text else None), out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+        first, low, more = ids_of(texts, s, len(one), string)
+        replies = {-1 - k: (a, c) for _, k, a, _, c in rows_of(right) if k < 0}
+        shard_order = s.shard[one[begin]].tolist()
+        own, others = _join([replies[k][1] for k in shard_order], "<u8"), np.zeros(len(one), U)
+        others[more] = _join([replies[k][0] for k in shard_order], "<u8")
+        all_windows = (U(1) << s.windows.astype(U)) - U(1)
+        mine = np.where(low[string] < first[s.text], others[string], own[string]) & all_windows
+        theirs = others[string] & all_windows
+        bounds = np.searchsorted(s.text, np.arange(len(texts) + 1)).tolist()
+        out: dict = {c: [] for c in ("digest", "first", "n_symbols", *(f"{c}{k}" for k in (0, 1) for c in ("spans", "kept", "sha")))}
+        for k, t in enumerate(texts):
+            raw, n, starts, ends = unit.split(t.text)
+            at = slice(bounds[k], bounds[k + 1])
+            out["digest"].append(t.digest), out["first"].append(t.first), out["n_symbols"].append(n)
+            for which, mark in enumerate((mine[at], theirs[at])):
+                told = which == 0 or t.more
+                marked = np.flatnonzero(mark) if told else np.zeros(0, np.int64)
+                spans = _spans(s.first[at][marked].tolist(), mark[marked].tolist(), width)
+                kept = _kept(unit, raw, n, starts, ends, spans)
+                out[f"spans{which}"].append([{"start": a, "end": b} for a, b in spans] if told else None)
+                out[f"kept{which}"].append(kept if with_text and told else None)
+                out[f"sha{which}"].append(hashlib.sha256(kept).hexdigest() if told else None)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_symbols", pa.int64()), ("spans", span), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
+        kinds = {"digest": pa.binary(), "first": pa.int64(), "n_symbols": pa.int64()} | {f"{c}{k}": t for k in (0, 1) for c, t in (("spans", span), ("kept", pa.binary()), ("sha", pa.string()))}
+        return pa.table(out, schema=pa.schema(list(kinds.items())))
 
-    texts = id_and_text(docs, text_col, id_col).mapInArrow(fold, "chunk int, doc_id bigint, text string, gone bigint").repartition("chunk")
-    by_chunk = texts.groupBy("chunk")
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    deal = F.pmod(F.xxhash64("name", F.pmod(F.xxhash64("digest"), parts)), F.lit(shards)).cast("int").alias("chunk")
+    texts = rows.mapInArrow(sent, "name bigint, digest binary, doc_id bigint, text string").join(crowded, F.col("name") == F.col("crowd"), "left")
+    by_chunk = texts.select(deal, "digest", "doc_id", "text").repartition("chunk").groupBy("chunk")
     known = by_chunk.applyInArrow(anchors, ddl).groupBy("shard").applyInArrow(shared, ddl)
     said = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(hashes, ddl).groupBy("shard")
     asked = said.applyInArrow(settle, ddl)
-    sent = by_chunk.cogroup(known.unionByName(asked).groupBy("chunk")).applyInArrow(strings, ddl)
-    marked = said.cogroup(sent.groupBy("shard")).applyInArrow(marks, ddl)
-    out = "doc_id bigint, n_symbols bigint, spans array<struct<start: bigint, end: bigint>>, kept binary, kept_sha256 string"
-    return by_chunk.cogroup(known.unionByName(marked).groupBy("chunk")).applyInArrow(removed, out)
+    given = by_chunk.cogroup(known.unionByName(asked).groupBy("chunk")).applyInArrow(strings, ddl)
+    marked = said.cogroup(given.groupBy("shard")).applyInArrow(marks, ddl)
+    spans = "array<struct<start: bigint, end: bigint>>"
+    out = "digest binary, first bigint, n_symbols bigint, " + ", ".join(f"spans{k} {spans}, kept{k} binary, sha{k} string" for k in (0, 1))
+    told = stored(by_chunk.cogroup(known.unionByName(marked).groupBy("chunk")).applyInArrow(removed, out), "removed")
+    back = join_back(prints.select("doc_id", "digest"), told, "digest", list(copies))
+    pick = lambda c, name: F.when(F.col("doc_id") == F.col("first"), F.col(f"{c}0")).otherwise(F.col(f"{c}1")).alias(name)
+    return back.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_symbols", pick("spans", "spans"), pick("kept", "kept"), pick("sha", "kept_sha256"))

@@ -3,7 +3,7 @@
 Each shard (see ``repeats``) sorts its suffixes and has the lengths of their common prefixes. The tree of
 common-prefix intervals is scanned with a stack; an interval of at least ``width`` symbols whose
 occurrences have two different symbols to their left (or an edge) is a maximal repeat, and all its
-occurrences form a group. Every repeated window lies in the occurrences of a maximal repeat that has the
+occurrences form a group (a string that two documents have counts as two occurrences). Every repeated window lies in the occurrences of a maximal repeat that has the
 same set of documents, so marking the groups marks every window.
 
 Defined results. Null text: empty. Texts under ``width`` bytes: nothing removed. Repeated rows and rows
@@ -13,11 +13,13 @@ Very long texts: whole, in pieces that overlap. Empty table: empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Groups, Suffixes, Unit, dedup, left_diverse
+from .repeats import Groups, Strings, Suffixes, Unit, dedup, maximal
 
 
 def intervals(lcp: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,11 +48,10 @@ def intervals(lcp: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return lo, hi, length
 
 
-def maximal_repeats(s: Suffixes) -> Groups:
-    """The groups of all occurrences of each maximal repeat."""
-    lo, hi, length = intervals(s.lcp, s.width)
-    maximal = left_diverse(s, lo, hi)
-    return Groups(lo[maximal], hi[maximal], length[maximal])
+def maximal_repeats(strings: Strings) -> Iterator[tuple[Suffixes, Groups]]:
+    """The suffix array of all strings, and the groups of all occurrences of each maximal repeat."""
+    s = strings.sort(*strings.suffixes())
+    yield s, maximal(s, *intervals(s.lcp, s.width))
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, with_text: bool = True, **columns: str) -> DataFrame:

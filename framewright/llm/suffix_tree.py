@@ -1,11 +1,10 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
-Word suffixes are partitioned by prefix twice. Between tasks, a window's anchor (a prefix-free name of its
-content) or, where that is too common, its whole first ``width`` words choose the shard. Within a
-shard, variable-length prefixes split the sorted suffixes into groups of at most ``memory`` suffixes: a
-group too large at one prefix length is split by the next word, until it fits or is one repeat throughout. Each group
-becomes a suffix tree of its own; the internal nodes at ``width`` and more words that are left-diverse are
-maximal repeats, and the leaves below are their occurrences.
+Between tasks, a window's anchor (a name of its content) or, where that is too common, its whole first ``width`` words choose the shard (see
+``repeats``). Within a shard, variable-length prefixes split the suffixes into groups of at most ``memory`` suffixes, by counting words
+before anything is sorted: a group too large at one prefix length is split by the next word, until it fits or is one repeat throughout. Each group
+is ordered alone and becomes a suffix tree of its own; the internal nodes at ``width`` and more words that are left-diverse are
+maximal repeats, and the leaves below are their occurrences (a string that two documents have counts as two).
 
 Defined results. Null text: no words. Under ``width`` words: nothing removed. Repeated rows and rows with one
 doc_id count as one document. A null doc_id comes after every other. Very long texts: whole. Empty
@@ -14,40 +13,45 @@ table: empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Groups, Suffixes, Unit, dedup, left_diverse
+from .repeats import Groups, Strings, Suffixes, U, Unit, dedup, maximal
 
 MEMORY = 50_000
 
 
-def partitions(lcp: np.ndarray, width: int, memory: int) -> list[tuple[int, int]]:
-    """Places [lo, hi) of the prefix groups: suffixes that share a prefix just long enough for the group to fit."""
-    done: list[tuple[int, int]] = []
-    todo = [(0, len(lcp), 0)]
+def partitions(strings: Strings, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(string, offset, depth) of the prefix groups: suffixes that share a prefix of ``depth`` words, and as many prefixes as fit together.
+
+    Prefixes are counted word by word, before anything is sorted: a group over ``memory`` is split by its next word, up to ``width`` words.
+    """
+    todo = [(*strings.suffixes(), 0)]
     while todo:
-        lo, hi, depth = todo.pop()
-        if hi - lo <= memory or depth >= width:
-            done.append((lo, hi))
+        string, offset, depth = todo.pop()
+        if len(string) <= memory or depth >= strings.width:
+            if len(string):
+                yield string, offset, depth
             continue
-        depth = min(width, max(depth + 1, int(lcp[lo + 1 : hi].min()) + 1))
-        cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] < depth)).tolist(), hi]
-        # Small neighbours stay together: a group is a range of prefixes.
-        start = lo
-        for a, b in zip(cuts, cuts[1:]):
+        word = strings.flat[strings.base[string] + offset + depth]
+        order = np.argsort(word, kind="stable")
+        starts = np.flatnonzero(np.diff(word[order], prepend=U(0)))
+        string, offset, ends = string[order], offset[order], np.append(starts[1:], len(order))
+        start = 0
+        for a, b in zip(starts.tolist(), ends.tolist()):  # small neighbours stay together: a group is a range of prefixes
             if b - a > memory:
                 if a > start:
-                    done.append((start, a))
-                todo.append((a, b, depth))
+                    yield string[start:a], offset[start:a], depth
+                todo.append((string[a:b], offset[a:b], depth + 1))
                 start = b
             elif b - start > memory:
-                done.append((start, a))
+                yield string[start:a], offset[start:a], depth
                 start = a
-        if hi > start:
-            done.append((start, hi))
-    return sorted(done)
+        if start < len(order):
+            yield string[start:], offset[start:], depth
 
 
 def deep_nodes(lcp: np.ndarray, width: int) -> np.ndarray:
@@ -80,17 +84,11 @@ def deep_nodes(lcp: np.ndarray, width: int) -> np.ndarray:
     return np.array(nodes, np.int64)
 
 
-def maximal_repeats(s: Suffixes, memory: int = MEMORY) -> Groups:
-    """Left-diverse deep nodes of the subtree of each prefix group."""
-    found = [np.zeros((0, 3), np.int64)]
-    for lo, hi in partitions(s.lcp, s.width, memory):
-        lcp = s.lcp[lo:hi].copy()
-        if len(lcp):
-            lcp[0] = 0
-        found.append(deep_nodes(lcp, s.width) + np.array([lo, lo, 0]))
-    lo, hi, depth = np.concatenate(found).T
-    maximal = left_diverse(s, lo, hi)
-    return Groups(lo[maximal], hi[maximal], depth[maximal])
+def maximal_repeats(strings: Strings, memory: int = MEMORY) -> Iterator[tuple[Suffixes, Groups]]:
+    """Group by group: the leaves of its suffix tree in order, and its left-diverse deep nodes."""
+    for string, offset, depth in partitions(strings, memory):
+        s = strings.sort(string, offset, depth)
+        yield s, maximal(s, *deep_nodes(s.lcp, s.width).T)
 
 
 def window_dedup(docs: DataFrame, width: int = 50, with_text: bool = True, **columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framewright.llm import suffix_array, suffix_tree
-from framewright.llm.repeats import NO_ID, Unit, dedup, least_ids, sort_suffixes
+from framewright.llm.repeats import NO_ID, Groups, Strings, Unit, dedup, least_ids
 
 from . import cases
 
@@ -43,9 +43,9 @@ def told(df):
 @pytest.mark.parametrize("hot", [64, 2])
 @pytest.mark.parametrize("words", [False, True])
 def test_awkward_rows(spark, words, hot):
-    scan = (suffix_tree if words else suffix_array).maximal_repeats
+    find = (suffix_tree if words else suffix_array).maximal_repeats
     unit = Unit(words, 50, 16 if words else 24)
-    df = dedup(cases.table(spark), unit, scan, 2 if words else 4, hot=hot)
+    df = dedup(cases.table(spark), unit, find, 2 if words else 4, hot=hot)
     data = [r[:2] for r in cases.rows()]
     assert cases.want(told(df)) == cases.want(brute(data, words, 50))
     for r in df.collect():
@@ -64,26 +64,79 @@ def test_empty(spark, words):
     assert (suffix_tree.window_dedup if words else suffix_array.substring_dedup)(cases.empty(spark)).collect() == []
 
 
+def few(memory):
+    return lambda strings: suffix_tree.maximal_repeats(strings, memory)
+
+
+METHODS = (suffix_array.maximal_repeats, suffix_tree.maximal_repeats, few(2), few(5))
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 2), min_size=4, max_size=25), min_size=1, max_size=8), st.sampled_from([4, 6]), st.sampled_from([2, 4]), st.data())
+@given(st.lists(st.lists(st.integers(1, 2), min_size=4, max_size=25), min_size=1, max_size=8, unique_by=tuple), st.sampled_from([4, 6]), st.sampled_from([2, 4]), st.data())
 def test_least_ids(strings, width, q, data):
+    """The least id of the strings that have a window; none if it stands once, in a string of one document."""
     ids = np.array([data.draw(st.integers(0, 9)) for _ in strings])
+    twice = np.array([data.draw(st.booleans()) for _ in strings])
     best: dict = {}
-    for s, i in zip(strings, ids):
+    count: dict = {}
+    for s, i, t in zip(strings, ids, twice):
         for k in range(len(s) - width + 1):
             w = tuple(s[k : k + width])
-            best[w] = min(best.get(w, 99), i)
-    expected = [best[tuple(s[k : k + width])] for s in strings for k in range(len(s) - width + 1)]
+            best[w] = min(best.get(w, NO_ID), i)
+            count[w] = count.get(w, 0) + 1 + t
+    windows = [tuple(s[k : k + width]) for s in strings for k in range(len(s) - width + 1)]
     flat, size = np.array([x for s in strings for x in s], np.uint64), np.array([len(s) for s in strings])
-    for scan in (suffix_array.maximal_repeats, suffix_tree.maximal_repeats, lambda s: suffix_tree.maximal_repeats(s, 2)):
-        assert least_ids(flat, size, ids, width, q, scan).tolist() == expected
+    for find in METHODS:
+        assert least_ids(Strings(flat, size, twice, width, q), ids, find).tolist() == [best[w] if count[w] > 1 else NO_ID for w in windows]
 
 
 def test_groups_hold_all_occurrences():
-    texts = [b"xxabcdefyy", b"zzabcdefqq", b"abcdefyy"]
+    texts = [b"xxabcdefyy", b"zzabcdefqq", b"abcdefyy", b"twiceas"]
     flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    s = sort_suffixes(flat, np.array([len(t) for t in texts]), 5, 4)
-    for scan in (suffix_array.maximal_repeats, suffix_tree.maximal_repeats):
-        g = scan(s)
-        found = {(texts[s.string[lo]][s.offset[lo] : s.offset[lo] + n], tuple(sorted(zip(s.string[lo:hi].tolist(), s.offset[lo:hi].tolist())))) for lo, hi, n in zip(g.lo, g.hi, g.length)}
-        assert found == {(b"abcdef", ((0, 2), (1, 2), (2, 0))), (b"abcdefyy", ((0, 2), (2, 0)))}
+    strings = Strings(flat, np.array([len(t) for t in texts]), np.array([False, False, False, True]), 5, 4)
+    for find in METHODS:
+        found = set()
+        for s, g in find(strings):
+            found |= {(texts[s.string[lo]][s.offset[lo] : s.offset[lo] + n], tuple(sorted(zip(s.string[lo:hi].tolist(), s.offset[lo:hi].tolist())))) for lo, hi, n in zip(g.lo, g.hi, g.length)}
+        assert found == {(b"abcdef", ((0, 2), (1, 2), (2, 0))), (b"abcdefyy", ((0, 2), (2, 0))), (b"twiceas", ((3, 0),))}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), min_size=5, max_size=40), min_size=1, max_size=10), st.integers(1, 30))
+def test_prefix_groups_fit(strings, memory):
+    """Every suffix is in one group; a group over the bound is one repeat of ``width`` symbols, and suffixes of one prefix stay together."""
+    width = 5
+    flat, size = np.array([x for s in strings for x in s], np.uint64), np.array([len(s) for s in strings])
+    seen, group_of = [], {}
+    for k, (string, offset, depth) in enumerate(suffix_tree.partitions(Strings(flat, size, np.zeros(len(size), bool), width, 2), memory)):
+        prefixes = {tuple(strings[s][o : o + depth]) for s, o in zip(string.tolist(), offset.tolist())}
+        assert len(prefixes) == 1 and (len(string) <= memory or depth == width)
+        seen += zip(string.tolist(), offset.tolist())
+        for s, o in zip(string.tolist(), offset.tolist()):
+            assert group_of.setdefault(tuple(strings[s][o : o + width]), k) == k
+    assert sorted(seen) == [(i, o) for i, s in enumerate(strings) for o in range(len(s) - width + 1)]
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_without_groups_nothing_is_removed(spark, sf, words):
+    """All removals come from the suffix structures."""
+
+    def none(strings):
+        yield strings.sort(*strings.suffixes()), Groups(*[np.zeros(0, np.int64)] * 3)
+
+    unit = Unit(words, 50, 16 if words else 24)
+    assert all(not r.spans for r in dedup(spark.read.parquet(f"{sf}/documents.parquet"), unit, none, 2 if words else 4).collect())
+    assert all(not r.spans for r in dedup(cases.table(spark), unit, none, 2 if words else 4, hot=2).collect())
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_hot_copies_and_a_crowded_name(spark, words):
+    """A third of the rows are one text, another third near copies of one, over several chunks."""
+    base = cases.passage(5, 400).split()
+    rows = [(k, cases.passage(9, 80)) for k in range(40, 80)] + [(None, cases.passage(9, 80))] * 2
+    for k in range(40):
+        rows.append((100 + k if k else 3, " ".join([*base[: 150 + k], f"own{k}", *base[150 + k :]])))
+    rows += [(300 + k, cases.passage(300 + k, 90)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = (suffix_tree.window_dedup if words else suffix_array.substring_dedup)(df, chunk_bytes=20_000)
+    assert cases.want(told(out)) == cases.want(brute(rows, words, 50))
