@@ -48,6 +48,15 @@ def id_and_text(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_back(rows: DataFrame, told: DataFrame, key: str, hot: list | str) -> DataFrame:
     """``rows`` with what ``told`` says of their key: one row a key.
 

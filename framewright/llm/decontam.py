@@ -6,12 +6,13 @@ candidate, running Karp-Rabin greedy string tiling repeatedly marks the longest
 overlap earlier tiles, whatever their order, down to ``min_match`` tokens. An item whose tokens are covered
 to at least ``coverage`` is leaked, so reordered passages count too.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text (one larger item is a block of its own),
-each of which meets all documents in a pass without a shuffle; only a block is ever sent to the executors.
+The benchmark is read in blocks of about ``block_bytes`` of text, at most twice that (one larger item is a block of its own), each of
+which meets all documents in a pass without a shuffle. With several blocks each pass is written before the next
+begins, and its block is dropped: driver and executors hold one block at a time, however large the benchmark is.
 
 Defined results. Tokens are lower-cased runs of letters and digits. Null text or no tokens: clean. Items
 without tokens never match; items shorter than ``min_match`` must occur whole. A null item_id is listed as
-null. Repeated rows: a row each. Very long texts: whole. Empty benchmark: all clean. Empty table: empty
+null. Repeated rows: a row each; equal items are listed as often as they are there. Ties of tiles: the first in the item, then in the text. Very long texts: whole. Empty benchmark: all clean. Empty table: empty
 result. Columns named like the results are replaced; all others pass through.
 """
 
@@ -21,10 +22,11 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stored, unused
 
 TOKEN = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +122,7 @@ class Index:
             order = np.argsort(h, kind="stable")
             self.seeds[n] = h[order], item[order], place[order]
 
-    def leaks(self, text: str) -> tuple[list[int | None], float]:
+    def leaks(self, text: str, times: list[int] | None = None) -> tuple[list[int | None], float]:
         """The items that a text leaks, and the largest coverage of any candidate (0 without one)."""
         get = self.words.get
         ids = np.array([get(w, 0) for w in TOKEN.findall(text.lower())], np.int64)
@@ -155,18 +157,35 @@ class Index:
                 covered = sum(t[2] for t in tiles(self.tokens[k], near, n)) / size
                 most = max(most, covered)
                 if covered >= self.coverage:
-                    out.append(self.items[k][0])
+                    out += [self.items[k][0]] * (times[k] if times else 1)
         return out, most
 
 
+def plan_blocks(rows: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
+    """(n, k): blocks of items whose hash modulo n is k, each of at most twice ``block_bytes`` or one item. A block that is too large is halved by its hash."""
+    size, done = F.octet_length("text"), []
+    n = max(1, -(-(rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // block_bytes))
+    large = None
+    while large is None or large:
+        some = rows if large is None else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n // 2)).isin(large))
+        found = some.groupBy(F.pmod(F.xxhash64("id", "text"), F.lit(n)).alias("k")).agg(F.sum(size).alias("bytes"), F.count("*").alias("items")).collect()  # a row a block
+        large = [r.k for r in found if r.bytes > 2 * block_bytes and r["items"] > 1]
+        done += [(n, r.k) for r in found if r.k not in large]
+        n *= 2
+    return sorted(done)
+
+
 def blocks(benchmark: DataFrame, block_bytes: int, text_col: str, id_col: str):
-    """The benchmark's (id, text) rows, block by block."""
+    """How many blocks, and then the benchmark's distinct (id, text) rows with how often each is there, block by block."""
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        yield sorted(((r.id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = rows.groupBy("id", "text").agg(F.count("*").alias("times"))
+    plan = plan_blocks(rows, block_bytes)
+    yield max(1, len(plan))
+    for n, k in plan:
+        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+        yield sorted(((r.id, r.text, r.times) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not plan:
+        yield []
 
 
 def decontaminate(
@@ -174,27 +193,35 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with leaked (array of item ids), coverage (largest of any candidate item) and contaminated."""
     ship(docs.sparkSession)
-    docs = docs.drop("leaked", "coverage", "contaminated")
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    found = []
-    for items in blocks(benchmark, block_bytes, item_text, item_id):
-        held = docs.sparkSession.sparkContext.broadcast(Index(items, min_match, coverage))
-
-        @F.pandas_udf(FOUND)
+    context = docs.sparkSession.sparkContext
+    docs = docs.drop(*(c for c in ("leaked", "coverage", "contaminated") if c != text_col))
+    names, text = docs.columns, unused(docs.columns, "text")
+    told = unused([*names, text], "told")
+    docs = docs.withColumn(text, F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    parts = blocks(benchmark, block_bytes, item_text, item_id)
+    n = next(parts)
+    for k, items in enumerate(parts):
+        held = context.broadcast((Index([i[:2] for i in items], min_match, coverage), [i[2] for i in items]))
+
+        @F.arrow_udf(FOUND)
         def leaks(texts, held=held):
-            import pandas as pd
-
-            rows = [held.value.leaks(t) for t in texts.tolist()]
-            return pd.DataFrame({"items": [r[0] for r in rows], "coverage": [r[1] for r in rows]})
-
-        found.append(leaks)
-    names = docs.columns
-    for i, f in enumerate(found):
-        docs = docs.withColumn(f"__leaks{i}", f(text))
-    told = [F.col(f"__leaks{i}") for i in range(len(found))]
-    leaked = F.concat(*[t["items"] for t in told])
-    most = F.greatest(*[t["coverage"] for t in told]) if len(told) > 1 else told[0]["coverage"]
-    return docs.select(*names, leaked.alias("leaked"), most.alias("coverage"), (F.size(leaked) > 0).alias("contaminated"))
+            index, times = held.value
+            rows = [index.leaks(t, times) for at in range(0, len(texts), 200) for t in texts.slice(at, 200).to_pylist()]
+            return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.float64())], ["items", "coverage"])
+
+        found = leaks(F.col(text))
+        if k:
+            one = unused([*names, text, told], "found")
+            docs = docs.withColumn(one, found)
+            found = F.struct(F.concat(F.col(told)["items"], F.col(one)["items"]).alias("items"), F.greatest(F.col(told)["coverage"], F.col(one)["coverage"]).alias("coverage"))
+            docs = docs.withColumn(told, found).drop(one)
+        else:
+            docs = docs.withColumn(told, found)
+        if n > 1:
+            docs = stored(docs, "leaks")
+            held.unpersist()
+    leaked = F.col(told)["items"]
+    return docs.select(*(F.col(f"`{c}`") for c in names), leaked.alias("leaked"), F.col(told)["coverage"].alias("coverage"), (F.size(leaked) > 0).alias("contaminated"))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_suffix_array_dedup": suffix_array.ORACLE, "op3_mixing": mixing.ORACLE, "op4_suffix_tree_dedup": suffix_tree.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}

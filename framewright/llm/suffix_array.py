@@ -59,6 +59,20 @@ def substring_dedup(docs: DataFrame, width: int = 50, with_text: bool = True, **
     return dedup(docs, Unit(words=False, width=width, gram=24 if width >= 48 else 8), maximal_repeats, 4, with_text=with_text, **columns)
 
 
+#: The rule by itself, window by window.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM wins) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hits, range(50) AS r(j)),
+bytes AS (SELECT doc_id, substr(h, 2 * p - 1, 2) AS b, p FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS p FROM d)),
+marked AS (SELECT doc_id, b, p, g.p IS NOT NULL AS gone FROM bytes LEFT JOIN gone AS g USING (doc_id, p)),
+runs AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS begins FROM marked),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS t FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])

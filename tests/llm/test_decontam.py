@@ -4,6 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from framewright.llm import decontam
 
 from . import cases
@@ -69,6 +71,26 @@ def test_awkward_rows(spark):
         assert {r.doc_id: r.coverage for r in out.where("doc_id in (2, 3)").collect()} == {2: 1.0, 3: 0.0}
 
 
+def test_many_blocks_and_clashing_names(spark):
+    """Ten blocks, one of them an item larger than a block; columns of the names that are used inside come through."""
+    items = [(k, cases.passage(60 + k, 30)) for k in range(12)] + [(99, cases.passage(99, 600))] + [(5, cases.passage(65, 30))] * 3
+    docs = [(k, f"{cases.passage(200 + k, 20)} {t} tail") for k, (_, t) in enumerate(items[:13])] + [(50, cases.passage(500, 60)), (51, None)]
+    names = ["__leaks0", "__told", "__TEXT", "__found"]
+    df = spark.createDataFrame([(d, t, *[f"{c}{d}" for c in names]) for d, t in docs], "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in names))
+    rows = bench(spark, items).select(F.col("item_id").alias("id"), "text").groupBy("id", "text").count()
+    size = {(i, t): len(t) for i, t in items}
+    plan = decontam.plan_blocks(rows, 400)
+    parts = [rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect() for n, k in plan]
+    assert len(plan) > 5 and sorted((r.id, r.text) for p in parts for r in p) == sorted(set(items))
+    assert all(len(p) == 1 or sum(size[r.id, r.text] for r in p) <= 800 for p in parts)
+    told = [decontam.decontaminate(df, bench(spark, items), block_bytes=b) for b in (400, 1 << 20)]
+    for out in told:
+        assert out.columns == ["doc_id", "text", *names, "leaked", "coverage", "contaminated"]
+        rows = {r.doc_id: r for r in out.collect()}
+        assert {d: sorted(r.leaked) for d, r in rows.items() if r.contaminated} == {k: [5] * 4 if k == 5 else [i] for k, (i, _) in enumerate(items[:13])}
+        assert all(r[c] == f"{c}{d}" for d, r in rows.items() for c in names)
+
+
 def test_empty(spark):
     some = bench(spark, [(1, cases.passage(1))])
     assert decontam.decontaminate(cases.empty(spark), some).collect() == []

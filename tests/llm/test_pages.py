@@ -1,6 +1,7 @@
 """URL filters and HTML rendering."""
 
 import re
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import given, settings
@@ -78,6 +79,9 @@ def test_url_query(spark, sf):
         ("<span style=\"visibility:hidden\">no</span>yes<input type=hidden value=x>", "yes"), ("<!-- <p>no</p> -->yes<!doctype html>", "yes"),
         ("<b>x <i>y</b> z</i>", "x y z"), ("</p></div>x", "x"), ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\nd\nu\ne"), ("  a \n  b  ", "a b"), ("<p>a<hr>b", "a\n\n---\nb"), ("<textarea>x<y</textarea>", "x<y"),
         ("<title>t</title>x<title", "x<title"), ("<svg><text>no</text></svg>yes", "yes"), ("<ul><li><p>a</p><p>b</p></li></ul>", "- a\n\n  b"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"), ("<table><tr><td>x<td rowspan=2>y<td>z<tr><td>longer<td>w</table>", "x       y  z\nlonger     w"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"), ("<select><option>a<option selected>b<option>c</select>!", "b !"), ("<select><option>a<option>b</select>", "a"),
+        ("<select multiple><option>a<option>b</select>", "a b"), ('<a href="x>one</a><b>two', "one two".replace(" ", "")), ("x<a y", "x<a y"), ("<datalist><option>no</datalist>yes", "yes"),
     ],
 )
 def test_render(page, text):
@@ -90,6 +94,77 @@ def test_render_deep_and_long():
     assert len(html_text.render("<p>word " * 50_000).split()) == 50_000
 
 
+HOSTILE = {
+    "unclosed tags": lambda n: "<a x=" * n, "unclosed quotes": lambda n: "<a x=\"" * n + ">", "odd quotes": lambda n: "<a x=\"\" y=\" >" * n, "mixed quotes": lambda n: "<a \"' >" * n, "lone marks": lambda n: "<" * n,
+    "end tags": lambda n: "<i>" * n + "</u>" * n, "end tags beyond a cell": lambda n: "<u><table><td>" + "<i>" * n + "</u>" * n, "paragraph beyond a cell": lambda n: "<p><table><td>" + "<div>" * n,
+    "blocks": lambda n: "<i>" * n + "<div>" * n, "lists": lambda n: "<ul><li>x" * n, "tables": lambda n: "<table><tr><td>x" * n, "wide cells": lambda n: "<table><tr>" + "<td colspan=1000>x" * n,
+    "tall cells": lambda n: "<table>" + "<tr><td rowspan=1000 colspan=3>x" * n, "comments": lambda n: "<!--" * n, "options": lambda n: "<select>" + "<option>x" * n, "entities": lambda n: "&" * n, "scripts": lambda n: "<script>" * n,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_render_is_linear(name):
+    """Four times the page takes no more than some nine times as long; a quadratic renderer takes sixteen."""
+    import time
+
+    def took(n):
+        page = HOSTILE[name](n)
+        best = 9e9
+        for _ in range(3):
+            start = time.process_time()
+            html_text.render(page)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert took(16_000) < 9 * took(4_000) + 0.05
+
+
+def test_a_megabyte_of_unclosed_tags():
+    import time
+
+    page = "<a x=" * 210_000
+    start = time.process_time()
+    assert html_text.render(page) == page
+    assert time.process_time() - start < 8  # two seconds on a common machine
+
+
+class Plain(HTMLParser):
+    """An independent reading of well-formed pages: visible words in order, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_text.VOID and (self.hidden or tag in html_text.UNSEEN or "hidden" in dict(attrs) or "none" in (dict(attrs).get("style") or "")):
+            self.hidden += 1
+
+    def handle_endtag(self, tag):
+        self.hidden -= self.hidden > 0
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words.append(data)
+
+
+PART = st.recursive(
+    st.sampled_from(["word", "two words", "é &amp; x", "1 &lt; 2", ""]),
+    lambda inner: st.tuples(st.sampled_from(["p", "div", "b", "i", "span", "section", "h2", "blockquote", "template", "span hidden", "div style='display:none'"]), st.lists(inner, max_size=4)).map(lambda t: f"<{t[0]}>{' '.join(t[1])}</{t[0].split()[0]}>"),
+    max_leaves=20,
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PART, max_size=5))
+def test_render_has_the_words_of_an_independent_parser(parts):
+    page = re.sub(r"<p>(.*?)</p>", lambda m: m[0] if not re.search(r"<(p|div|section|h2|blockquote)", m[1]) else m[1], "".join(f"<div>{x}</div>" for x in parts), flags=re.S)
+    if page.count("<p>") != page.count("</p>"):
+        return
+    plain = Plain()
+    plain.feed(page)
+    assert "".join(html_text.render(page).split()) == "".join("".join(plain.words).split())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b", "<div ", "class='a'", ">", "</", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "x", " ", "&amp;", "<!--", "-->", "<script>", "</script>", "<pre>", "\n"]), max_size=30))
 def test_render_never_fails(parts):

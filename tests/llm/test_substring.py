@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -59,6 +60,14 @@ def test_query(spark, sf, query, words):
     assert cases.want(map(tuple, query(spark, sf).collect())) == cases.want(expected)
 
 
+@pytest.mark.parametrize("module,words", [(suffix_array, False), (suffix_tree, True)])
+def test_sql_says_the_same(sf, module, words):
+    data = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert cases.want(con.sql(module.ORACLE).fetchall()) == cases.want([r[:3] + r[4:] if words else r for r in brute(data, words, 50)])
+
+
 @pytest.mark.parametrize("words", [False, True])
 def test_empty(spark, words):
     assert (suffix_tree.window_dedup if words else suffix_array.substring_dedup)(cases.empty(spark)).collect() == []
