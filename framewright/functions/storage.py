@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from .errors import ConfigurationError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """``spark.checkpoint.dir``; a folder of our own only where it is unset and all tasks run on this machine, as in tests."""
+    sc = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not there:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ConfigurationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="framewright-")
-        spark.sparkContext.setCheckpointDir(there)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(there)
     return there.rstrip("/")
 
 

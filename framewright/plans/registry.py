@@ -598,6 +598,16 @@ def frames_source_read_customers(spark, sf_dir):
     return spark.read.format("frames").load(path).select(fr.decode(F.col("frame"), df.schema).alias("v")).select("v.*")
 
 
+@query("frames_source_v0", "SELECT * FROM orders")
+def frames_source_v0(spark, sf_dir):
+    """Headerless payloads, written and read by the data source with their schema."""
+    df = table(spark, sf_dir, "orders")
+    source.register(spark)
+    path, o = fresh(spark, "orders-v0"), Options(version=0, allow_v0=True)
+    df.select(fr.encode(row(df), df.schema, options=o).alias("frame")).write.format("frames").option("payload", df.schema.json()).mode("append").save(path)
+    return spark.read.format("frames").option("payload", df.schema.json()).load(path).select(fr.decode(F.col("frame"), df.schema, options=o).alias("v")).select("v.*")
+
+
 @query("frames_stream_events", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def frames_stream_events(spark, sf_dir):
     """Frames through a streaming query, from the data source to the data source."""

@@ -31,7 +31,7 @@ def test_write_append_overwrite_read(spark, tmp_path):
     assert ids(spark.read.format("frames").load(path)) == list(range(15)) == ids(source.read_frames(spark, path))
     frames(spark, 3).write.format("frames").mode("overwrite").save(path)
     assert ids(spark.read.format("frames").load(path)) == [0, 1, 2]
-    assert not glob.glob(f"{path}/_part*")
+    assert not glob.glob(f"{path}/_*")
 
 
 def test_failed_write_leaves_nothing(spark, tmp_path):
@@ -39,7 +39,7 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     path = str(tmp_path / "f")
     with pytest.raises(Exception):
         spark.createDataFrame([(b"no frame",)], "frame binary").write.format("frames").mode("append").save(path)
-    assert not [f for f in glob.glob(f"{path}/*") if "/_" not in f]
+    assert not glob.glob(f"{path}/*")
 
 
 def test_torn_file(spark, tmp_path):
@@ -141,3 +141,85 @@ def test_every_encoder_seals(spark, cipher):
     sealed = graphs.encode_graphs(nodes, kind, ["next"], go).checkpoint()
     assert text.encode() not in bytes(sealed.first().frame)
     assert sorted((r.node_id, r.s, r.next) for r in graphs.decode_graphs(sealed, kind, ["next"], go).collect()) == [(0, text, 1), (1, text, 0)]
+
+
+def test_a_replayed_batch_is_written_once(tmp_path):
+    """A commit that broke off is done again; one that was finished stays as it is."""
+    from pyspark import TaskContext
+
+    class Row:
+        def __init__(self, n):
+            self.frame = b"BSER\x01\x00\x00\x02\x01" + bytes([n])
+
+    def written(writer, *rows):
+        return [writer.write(iter([Row(r)])) for r in rows]
+
+    class Task:
+        def partitionId(self):
+            return self.k
+
+    task = Task()
+    settings = source.Settings({"path": str(tmp_path / "out")})
+    first = source.FramesStreamWriter(settings)
+    original, TaskContext.get = TaskContext.get, classmethod(lambda cls: task)
+    try:
+        def messages(writer, rows):
+            out = []
+            for task.k, r in enumerate(rows):
+                out += written(writer, r)
+            return out
+
+        first.commit(messages(first, [1, 2]), 0)
+        again = source.FramesStreamWriter(settings)
+        again.commit(messages(again, [1, 2, 3]), 0)  # after a restart: batch 0 is done
+        broken = messages(first, [4, 5, 6])
+        store, root = source._fs(settings.path)
+        store.move(broken[2].temporary, f"{root}/batch-{1:012d}-00002.frames")  # a commit that broke off
+        source.FramesStreamWriter(settings).commit(messages(again, [4, 5]), 1)
+        first.abort([], 1)
+    finally:
+        TaskContext.get = original
+    names = [n for n, _ in source._files(settings.path)]
+    assert [open(n, "rb").read()[-1] for n in names] == [1, 2, 4, 5]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")) == ["_done-batch-000000000000", "_done-batch-000000000001"]
+
+
+def test_paths_without_a_scheme_are_of_the_default_file_system():
+    assert source.Settings({"path": "/a/b"}, "hdfs://n:8020").path == "hdfs://n:8020/a/b"
+    assert source.Settings({"path": "/a/b"}).path == "/a/b" and source.Settings({"path": "s3://x/y"}, "hdfs://n").path == "s3://x/y"
+
+
+def test_offsets_are_sizes_and_a_grown_file_is_read_from_where_it_was(tmp_path):
+    def frame(n):
+        return b"BSER\x01\x00\x00" + bytes([n & 127 | 128, n >> 7]) + bytes([n % 251]) * n if n > 127 else b"BSER\x01\x00\x00" + bytes([n]) + bytes([n % 251]) * n
+
+    sizes = [3, 200, 0, 127, 128, 9000, 1, 16000, 50]
+    data = b"".join(frame(n) for n in sizes)
+    (tmp_path / "x.frames").write_bytes(data)
+    settings = source.Settings({"path": str(tmp_path)})
+    whole = list(source._frames(settings, str(tmp_path / "x.frames"), 0, len(data)))
+    assert [len(f) - (9 if len(f) > 135 else 8) for _, _, f in whole] == sizes and [k for k, _, _ in whole] == list(range(9))
+    for cut in range(0, len(data), 777):
+        parts = [list(source._frames(settings, str(tmp_path / "x.frames"), a, b, torn=True)) for a, b in ((0, cut), (cut, len(data)))]
+        assert parts[0] + parts[1] == whole
+    reader = source.FramesStreamReader(settings)
+    assert reader.latestOffset() == {"files": f'{{"{tmp_path}/x.frames": {len(data)}}}'}
+
+
+def test_headerless_files(spark, tmp_path):
+    """Payloads without headers, through the source, batch and streaming; values longer than a buffer too."""
+    source.register(spark)
+    o = Options(version=0, allow_v0=True)
+    rows = [(k, "x" * (k * 997 % 5000 if k else 1_500_000)) for k in range(300)]
+    df = fr.prepare(spark.createDataFrame(rows, "id bigint, s string"))
+    path, kind = str(tmp_path / "v0"), "id bigint, s string"
+    df.select(fr.encode(F.struct("id", "s"), df.schema, options=o).alias("frame")).write.format("frames").option("payload", kind).mode("append").save(path)
+    read = spark.read.format("frames").option("payload", df.schema.json()).load(path)
+    got = read.select(fr.decode(F.col("frame"), df.schema, options=o).alias("v")).select("v.*")
+    assert sorted(map(tuple, got.collect())) == rows
+    out = str(tmp_path / "out")
+    q = spark.readStream.format("frames").option("payload", kind).load(path).select("frame").writeStream.format("frames").option("payload", kind).option("path", out).option("checkpointLocation", str(tmp_path / "log")).trigger(once=True).start()
+    q.awaitTermination()
+    assert spark.read.format("frames").option("payload", kind).load(out).count() == 300
+    with pytest.raises(Exception, match="no schema"):
+        spark.read.format("frames").option("payload", "a strange").load(path).collect()
