@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.ship import ship
+from framewright.functions.storage import fresh, shared_dir
 
 #: The characters of ``[\x20\x09-\x0D]``, which part words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="framewright-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(there)
-    return there.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -37,7 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framewright/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
