@@ -1,5 +1,6 @@
 """URL filters and HTML rendering."""
 
+import math
 import re
 from html.parser import HTMLParser
 
@@ -28,6 +29,9 @@ URLS = [
 
 
 def test_rules_and_rows(spark):
+    for name in ("__judged", "__Judged"):
+        clash = url_filter.url_filter(spark.createDataFrame([(1, URLS[4], "kept")], f"page_id bigint, url string, `{name}` string"))
+        assert clash.columns[:3] == ["page_id", "url", name] and clash.first()[2] == "kept"
     rows = [(k, u, "kept") for k, u in enumerate(URLS)] + [(None, URLS[4], None)] * 2
     out = url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string, rule string").withColumnRenamed("rule", "score").repartition(2))
     got = out.collect()
@@ -56,14 +60,77 @@ def test_segments_make_up_the_name(words):
     assert "".join(m.words.segment("".join(words))) == "".join(words)
 
 
+def plain_split(counts, name):
+    """The likeliest split of a name by trying all: known words by their counts, runs of unknown letters by their length."""
+    total = sum(counts.values())
+    best = {0: (0.0, [], False)}
+    # All splits into known words and unknown runs, two runs never next to each other.
+    def every(at, score, words, after_unknown):
+        if at == len(name):
+            yield score, words
+        for end in range(at + 1, len(name) + 1):
+            if name[at:end] in counts:
+                yield from every(end, score + math.log(counts[name[at:end]] / total), [*words, name[at:end]], False)
+            if not after_unknown:
+                yield from every(end, score + (end - at) * math.log(0.1) - 2, [*words, name[at:end]], True)
+
+    assert best
+    return max(every(0, 0.0, [], False), key=lambda x: x[0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc", max_size=8), st.dictionaries(st.text("abc", min_size=1, max_size=4), st.integers(1, 50), max_size=8))
+def test_segments_are_the_likeliest(name, counts):
+    words = url_filter.Words({w: float(n) for w, n in counts.items()})
+    score, _ = plain_split(counts, name) if counts else (None, None)
+    got = words.segment(name)
+    assert "".join(got) == name
+    if counts:
+        total = sum(counts.values())
+        # The same score: words that are known count as such, neighbouring unknown letters as one run.
+        cost = sum(max(math.log(counts[w] / total), len(w) * math.log(0.1) - 2) if w in counts else len(w) * math.log(0.1) - 2 for w in got)
+        assert cost == pytest.approx(score)
+
+
+def plain_odds(words):
+    """Naive Bayes by its definition, in fractions."""
+    from fractions import Fraction
+
+    rows = [[w for name in names for w in name.split()] for names in (url_filter.UNWANTED, url_filter.ORDINARY)]
+    known = {*rows[0], *rows[1]}
+    odds = Fraction(3, 7)
+    for w in words:
+        if w in known:
+            odds *= Fraction(rows[0].count(w) + 1, len(rows[0]) + len(known)) / Fraction(rows[1].count(w) + 1, len(rows[1]) + len(known))
+    return odds
+
+
+def plain_counts(pages):
+    from collections import Counter
+
+    found = Counter(w for html in pages if html for w in re.findall("[a-z]+", re.sub("<[^<>]*>", " ", html.lower())) if 2 <= len(w) <= 20)
+    kept = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[: url_filter.MAX_WORDS])
+    least = max(1.0, sum(kept.values()) / 10_000)
+    for w in [*url_filter.COMMON, *(w for name in (*url_filter.UNWANTED, *url_filter.ORDINARY) for w in name.split())]:
+        kept[w] = max(kept.get(w, 0), least)
+    return kept
+
+
 def test_url_query(spark, sf):
+    """All columns against plain versions of the counts, the split (by its score), the rules and the odds."""
     got = url_filter.op6_url_filter(spark, sf).collect()
-    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    m = url_filter.fit()
-    assert len(got) == len(urls)
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    counts = plain_counts([p.html for p in pages.values()])
+    assert len(got) == len(pages)
+    segment = url_filter.Words({w: float(n) for w, n in counts.items()}).segment
     for r in got:
-        host, path, rule, verdict = plain_rule(urls[r.page_id])
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if m.bayes.score(m.tokens(host, path)) > 0 else "allow"))
+        host, path, rule, verdict = plain_rule(pages[r.page_id].url)
+        labels = host.split(":")[0].split(".")
+        names = re.findall("[a-z]+", " ".join(labels[:-1] if len(labels) > 1 else labels)) + re.findall("[a-z]+", path.lower())
+        assert r.words == [w for n in names for w in segment(n)]
+        odds = plain_odds(r.words)
+        assert r.score == pytest.approx(math.log(odds), abs=1e-5)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if odds > 1 else "allow"))
 
 
 @pytest.mark.parametrize(
