@@ -369,15 +369,14 @@ def priority_queue_parts(spark, sf_dir):
     return df.select("p_brand", F.transform(fr.decode(fr.encode(F.col("q"), schema, meta), schema, meta), lambda x: x["priority"]).alias("sizes"))
 
 
-@query("grid_embeddings", "SELECT vec_id, embedding[1] AS a, embedding[len(embedding)] AS b, len(embedding) AS n FROM embeddings")
+@query("grid_embeddings", "SELECT vec_id, [2, len(embedding) // 2]::INTEGER[] AS dims, embedding AS data FROM embeddings")
 def grid_embeddings(spark, sf_dir):
     """Vectors as arrays of rank two."""
     schema = T.StructType([T.StructField("dims", T.ArrayType(T.IntegerType(), False), False), T.StructField("data", T.ArrayType(T.FloatType(), False), False)])
     meta = {"wire": "grid", "rank": 2}
     df = table(spark, sf_dir, "embeddings")
     grid = F.struct(F.array(F.lit(2), (F.size("embedding") / 2).cast("int")).alias("dims"), F.col("embedding").alias("data"))
-    v = df.select("vec_id", fr.decode(fr.encode(grid, schema, meta), schema, meta).alias("g"))
-    return v.select("vec_id", F.col("g.data")[0].alias("a"), F.element_at("g.data", -1).alias("b"), F.size("g.data").cast("bigint").alias("n"))
+    return df.select("vec_id", fr.decode(fr.encode(grid, schema, meta), schema, meta).alias("g")).select("vec_id", "g.dims", "g.data")
 
 
 @query("tuples_nation", "SELECT n_nationkey AS a, n_name AS b, n_regionkey AS c, kind FROM nation, (SELECT unnest(['tuple', 'value_tuple']) AS kind)")
@@ -386,6 +385,100 @@ def tuples_nation(spark, sf_dir):
     return _stack([df.select(fr.decode(fr.encode(row(df), df.schema, {"wire": k}), df.schema, {"wire": k}).alias("v"), F.lit(k).alias("kind")).select("v.*", "kind") for k in ("tuple", "value_tuple")])
 
 
+@query("tuple_arities", "SELECT kind, arity, o_orderkey, list_sum([(o_orderkey + i) * (i + 1) FOR i IN range(arity)])::BIGINT AS weighted FROM orders, (SELECT unnest(['tuple', 'value_tuple']) AS kind), (SELECT unnest([1, 2, 4, 5, 6, 7, 8]) AS arity)")
+def tuple_arities(spark, sf_dir):
+    """Tuples of every arity give back each part in its place."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey")
+    out = []
+    for kind in ("tuple", "value_tuple"):
+        for arity in (1, 2, 4, 5, 6, 7, 8):
+            schema = T.StructType([T.StructField(f"p{i}", T.LongType(), False) for i in range(arity)])
+            value = F.struct(*[(F.col("o_orderkey") + i).alias(f"p{i}") for i in range(arity)])
+            v = df.select("o_orderkey", fr.decode(fr.encode(value, schema, {"wire": kind}), schema, {"wire": kind}).alias("v"))
+            total = sum((F.col(f"v.p{i}") * (i + 1) for i in range(arity)), F.lit(0).cast("bigint"))
+            out.append(v.select(F.lit(kind).alias("kind"), F.lit(arity).alias("arity"), "o_orderkey", total.alias("weighted")))
+    return _stack(out)
+
+
+TICKS = "(epoch_us(o_orderdate) * 10 + 621355968000000000)"
+
+
+@query("offsets_and_times", f"SELECT o_orderkey, CAST({TICKS} AS BIGINT) AS ticks, CAST(((o_orderkey % 27) - 13) * 36000000000 AS BIGINT) AS offset_ticks, CAST(o_orderkey % 86400 * 10000000 AS BIGINT) AS clock, upper({_le(TICKS, 8)} || {_le('((o_orderkey % 27) - 13) * 36000000000 + CASE WHEN o_orderkey % 27 < 13 THEN 0 ELSE 0 END', 8)}) AS wire FROM orders WHERE o_orderkey % 27 >= 13 UNION ALL SELECT o_orderkey, CAST({TICKS} AS BIGINT), CAST(((o_orderkey % 27) - 13) * 36000000000 AS BIGINT), CAST(o_orderkey % 86400 * 10000000 AS BIGINT), NULL FROM orders WHERE o_orderkey % 27 < 13")
+def offsets_and_times(spark, sf_dir):
+    """Clock times with their offsets, and times of day; the bytes too where the offset isn't negative."""
+    df = table(spark, sf_dir, "orders")
+    ticks = F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 10 + F.lit(621355968000000000)
+    pair = T.StructType([T.StructField("ticks", T.LongType(), False), T.StructField("offset_ticks", T.LongType(), False)])
+    offset = (F.pmod("o_orderkey", F.lit(27)) - 13) * F.lit(36000000000)
+    made = df.select("o_orderkey", F.struct(ticks.alias("ticks"), offset.alias("offset_ticks")).alias("o"), (F.pmod("o_orderkey", F.lit(86400)) * 10000000).alias("t"))
+    o = fr.decode(fr.encode(F.col("o"), pair, {"wire": "offset"}, nullable=False), pair, {"wire": "offset"}, nullable=False)
+    t = fr.decode(fr.encode(F.col("t"), T.LongType(), {"wire": "time"}, nullable=False), T.LongType(), {"wire": "time"}, nullable=False)
+    wire_ = F.hex(fr.encode(F.col("o"), pair, {"wire": "offset"}, Options(version=0), nullable=False))
+    read = made.select("o_orderkey", o.alias("o"), t.alias("clock"), wire_.alias("w"))
+    return read.select("o_orderkey", "o.ticks", "o.offset_ticks", "clock", F.when(F.col("o.offset_ticks") >= 0, F.col("w")).alias("wire"))
+
+
+@query("member_orders", f"SELECT c_custkey, upper({_le('c_nationkey', 4)} || {_le('c_custkey', 8)} || {_le('c_custkey + 1', 8)}) AS wire, CAST(NULL AS INTEGER) AS ignored FROM customer")
+def member_orders(spark, sf_dir):
+    """Members stand by order and then by name; ignored ones and private ones that aren't included aren't written."""
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), (F.col("c_custkey") + 1).alias("_shown"), F.col("c_custkey").alias("_hidden"), F.col("c_nationkey").alias("z"), F.col("c_nationkey").alias("gone"))
+    long = lambda n, **m: meta_field(n, T.LongType(), False, **m)
+    schema = T.StructType([long("b", order=2), long("_shown", include=True), meta_field("_hidden", T.LongType()), meta_field("z", T.IntegerType(), False, order=1), meta_field("gone", T.IntegerType(), ignore=True)])
+    bare = Options(version=0, allow_v0=True)
+    made = df.select(F.col("b").alias("c_custkey"), fr.encode(row(df), schema, options=bare, nullable=False).alias("p"))
+    return made.select("c_custkey", F.hex("p").alias("wire"), fr.decode(F.col("p"), schema, options=bare, nullable=False)["gone"].alias("ignored"))
+
+
+@query("union_unknown_tag", "SELECT event_id, 'TYPE' AS error_class, true AS same FROM events")
+def union_unknown_tag(spark, sf_dir):
+    """A tag that the reader's union lacks is an error of type; one that it has is the arm that was written."""
+    df = table(spark, sf_dir, "events")
+    arm = T.StructType([T.StructField("event_id", T.LongType(), False)])
+    wide, narrow = (T.StructType([T.StructField(n, arm, True, {"type": n}) for n in names]) for names in (("a", "b"), ("b",)))
+    made = df.select("event_id", fr.encode(F.struct(F.struct("event_id").alias("a"), F.lit(None).cast(arm).alias("b")), wide, {"union": {"a": 7, "b": 8}}).alias("f"))
+    back = fr.decode(F.col("f"), wide, {"union": {"a": 7, "b": 8}})
+    return made.select("event_id", fr.decode(F.col("f"), narrow, {"union": {"b": 8}}, mode="PERMISSIVE")["error_class"].alias("error_class"), ((back["a"]["event_id"] == F.col("event_id")) & back["b"].isNull()).alias("same"))
+
+
+def _ring_key(name: str | None) -> bytes | None:
+    return bytes([int(name[1:])]) * 32 if name and name[0] == "k" else None
+
+
+@query("keys_by_function", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'ENCRYPTION_KEY' END AS refused FROM customer")
+def keys_by_function(spark, sf_dir):
+    """Keys come from a function of the key id; an id that it doesn't know is refused."""
+    df = table(spark, sf_dir, "customer")
+    ring = Keys(resolve=_ring_key)
+    half = [df.where(F.pmod("c_custkey", F.lit(2)) == i) for i in (0, 1)]
+    sealed = _stack([x.select("c_custkey", fr.encode(row(df), df.schema, options=Options(encryption="aes256gcm", keys=ring, key_id=f"k{i}")).alias("f")) for i, x in enumerate(half)])
+    odd = Options(encryption="aes256gcm", keys=Keys(resolve=lambda k: _ring_key(k) if k == "k1" else None), key_id="k1")
+    read = fr.decode(F.col("f"), df.schema, options=Options(encryption="aes256gcm", keys=ring, key_id="k1"))
+    return sealed.select("c_custkey", read["c_name"].alias("c_name"), fr.decode(F.col("f"), df.schema, options=odd, mode="PERMISSIVE")["error_class"].alias("refused"))
+
+
+@query("populate_stream_orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'S' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders")
+def populate_stream_orders(spark, sf_dir):
+    """A table that a stream of frames keeps up to date; each batch is stored as a new version of it."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    full = keyed(df.schema.fields)
+    part = T.StructType([full["o_orderkey"], full["o_orderstatus"]])
+    source.register(spark)
+    raw, store = fresh(spark, "changes"), fresh(spark, "target")
+    change = df.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("S").alias("o_orderstatus"))
+    change.select(fr.encode(row(change), part, KEYED).alias("frame")).write.format("frames").mode("append").save(raw)
+    df.write.parquet(f"{store}/start")
+    now = {"at": f"{store}/start"}
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{store}/{batch}")
+        now["at"] = f"{store}/{batch}"
+
+    q = merge.populate_stream(spark.readStream.format("frames").load(raw), lambda: spark.read.parquet(now["at"]), save, full, "o_orderkey", fresh(spark, "changes-log"))
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(now["at"])
+
+
 @query("pairs_and_lazies", "SELECT r_regionkey AS key, r_name AS value, r_name AS lazy FROM region")
 def pairs_and_lazies(spark, sf_dir):
     df = table(spark, sf_dir, "region")
@@ -419,7 +512,7 @@ def all_scalars(spark, sf_dir):
     return df.select("o_orderkey", fr.decode(fr.encode(F.struct(*schema.names), schema), schema).alias("v")).select("o_orderkey", "v.*")
 
 
-@query("numerics", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS re, CAST(embedding[2] AS DOUBLE) AS im, embedding[1:2] AS vector2, embedding[1:3] AS vector3, embedding[1:4] AS vector4, embedding[1:4] AS quaternion, embedding[1:4] AS plane, embedding[1:6] AS matrix3x2, embedding[1:16] AS matrix4x4, len(embedding) AS bits FROM embeddings")
+@query("numerics", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS re, CAST(embedding[2] AS DOUBLE) AS im, embedding[1:2] AS vector2, embedding[1:3] AS vector3, embedding[1:4] AS vector4, embedding[1:4] AS quaternion, embedding[1:4] AS plane, embedding[1:6] AS matrix3x2, embedding[1:16] AS matrix4x4, [x > 0 FOR x IN embedding] AS bits FROM embeddings")
 def numerics(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
     sizes = {"vector2": 2, "vector3": 3, "vector4": 4, "quaternion": 4, "plane": 4, "matrix3x2": 6, "matrix4x4": 16}
@@ -430,7 +523,7 @@ def numerics(spark, sf_dir):
         F.transform("embedding", lambda x: x > 0).alias("bits"),
     )
     v = df.select("vec_id", fr.decode(fr.encode(value, schema), schema).alias("v"))
-    return v.select("vec_id", "v.z.re", "v.z.im", *[f"v.{n}" for n in sizes], F.size("v.bits").cast("bigint").alias("bits"))
+    return v.select("vec_id", "v.z.re", "v.z.im", *[f"v.{n}" for n in sizes], "v.bits")
 
 
 @query("nested_orders", "SELECT l_orderkey, count(*) AS lines, CAST(sum(l_linenumber) AS BIGINT) AS numbers, max(l_shipdate) AS last FROM lineitem GROUP BY l_orderkey")
