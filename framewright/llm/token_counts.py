@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shared_dir
+from .common import id_and_text, join_back, shared_dir, stored
 
 CACHE = "tokenizer string, digest string, n_bytes bigint, n_tokens bigint"
 _LOADED: dict[str, object] = {}
@@ -100,12 +100,15 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     path = cache_path or f"{shared_dir(spark)}/framewright/token-cache-{uuid.uuid4().hex}"
     version = tokenizer_version(tokenizer)
     keyed = id_and_text(docs, text_col, id_col).withColumn("digest", F.sha2("text", 256))
-    stored = read_cache(spark, path).where(F.col("tokenizer") == version)
-    misses = keyed.select("digest", "text").join(stored.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    prints = stored(keyed.select("doc_id", "digest"), "digests")
+    total = prints.count()
+    hot = [r.digest for r in prints.groupBy("digest").count().where((F.col("count") * 1000 > total) & (F.col("count") > 1)).collect()]  # under a thousand
+    known = read_cache(spark, path).where(F.col("tokenizer") == version)
+    misses = keyed.select("digest", "text").join(known.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
     misses.mapInArrow(_encoded(tokenizer, version), CACHE).write.mode("append").parquet(path)
     counts = read_cache(spark, path).where(F.col("tokenizer") == version)
     counts = counts.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
-    return keyed.select("doc_id", "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return join_back(prints, counts, "digest", hot).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
