@@ -443,7 +443,7 @@ def _version_check(s, error):
 
 
 FIELDS = {"complex": ("re", "im"), "offset": ("ticks", "offset_ticks")}
-#: Wire names that a field's metadata may choose, and what makes their codecs.
+#: Wire names that a field's metadata may choose, and what makes their codecs. The type names, which dumps show.
 SCALARS = {
     "bool": _boolean,
     "i8": lambda: _packed("SByte", "b"), "i16": lambda: _packed("Int16", "h"), "i32": lambda: _packed("Int32", "i"), "i64": lambda: _packed("Int64", "q"),
@@ -584,7 +584,7 @@ class Structural(Codec):
 
 
 #: Sequence kinds of one name or another, all a count and elements. distinct: repeats are malformed; sorted: in
-#: order when read; reversed: written backwards, so that iteration order survives.
+#: order when read; reversed: written backwards, so that iteration order survives. The type names, which dumps show.
 SEQUENCES = {
     "array": ("{}[]", "array"), "memory": ("Memory<{}>", "array"), "readonly_memory": ("ReadOnlyMemory<{}>", "array"), "segment": ("ArraySegment<{}>", "array"), "immutable_array": ("ImmutableArray<{}>", "array"),
     "list": ("List<{}>", ""), "ilist": ("IList<{}>", ""), "set": ("HashSet<{}>", "distinct"), "iset": ("ISet<{}>", "distinct"), "sorted_set": ("SortedSet<{}>", "distinct sorted"), "linked_list": ("LinkedList<{}>", ""),
@@ -593,7 +593,7 @@ SEQUENCES = {
     "custom": ("Collection<{}>", ""), "immutable_list": ("ImmutableList<{}>", ""), "iimmutable_list": ("IImmutableList<{}>", ""), "immutable_set": ("ImmutableHashSet<{}>", "distinct"), "iimmutable_set": ("IImmutableSet<{}>", "distinct"),
     "immutable_sorted_set": ("ImmutableSortedSet<{}>", "distinct sorted"), "immutable_queue": ("ImmutableQueue<{}>", ""), "immutable_stack": ("ImmutableStack<{}>", "reversed"), "frozen_set": ("FrozenSet<{}>", "distinct"),
 }
-#: Map kinds. sorted: entries in key order.
+#: Map kinds. sorted: entries in key order. The type names, which dumps show.
 MAPS = {
     "dictionary": ("Dictionary<{}, {}>", ""), "idictionary": ("IDictionary<{}, {}>", ""), "sorted_dictionary": ("SortedDictionary<{}, {}>", "sorted"), "sorted_list": ("SortedList<{}, {}>", "sorted"), "concurrent_dictionary": ("ConcurrentDictionary<{}, {}>", ""),
     "readonly_dictionary": ("ReadOnlyDictionary<{}, {}>", ""), "frozen_dictionary": ("FrozenDictionary<{}, {}>", ""), "immutable_dictionary": ("ImmutableDictionary<{}, {}>", ""), "iimmutable_dictionary": ("IImmutableDictionary<{}, {}>", ""),

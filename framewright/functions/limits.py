@@ -12,6 +12,7 @@ MAX_INT = (1 << 31) - 1
 
 @dataclass(frozen=True)
 class Limits:
+    # The defaults, so that the same frames are refused.
     max_depth: int = 512
     max_array_length: int = 1_000_000
     max_collection_length: int = 1_000_000

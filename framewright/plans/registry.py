@@ -743,6 +743,31 @@ def dump_header_lines(spark, sf_dir):
     return made.select("r_regionkey", F.inline(told))
 
 
+LENGTH = "octet_length(encode(r_name))"
+# The renderings of a frame of (r_name, r_regionkey), written out with the lengths that its bytes have.
+RENDERED = f"""SELECT r_regionkey,
+  'V1 frame · ' || ({LENGTH} + 13) || ' bytes · header 8 bytes' || chr(10) || 'payload ' || ({LENGTH} + 5) || ' bytes as Region · depth 2 · 3 nodes' || chr(10) || '@0000  ' || rpad('Region', 48, ' ') || 'object · 2 members' || chr(10)
+  || '@0000  ├─ ' || rpad('r_name', 28, ' ') || rpad('String', 17, ' ') || '"' || r_name || '"' || chr(10) || '@' || lpad(hex({LENGTH} + 1), 4, '0') || '  └─ ' || rpad('r_regionkey', 28, ' ') || rpad('Int32', 17, ' ') || r_regionkey || chr(10) AS text,
+  '{{"version": 1, "frame_length": ' || ({LENGTH} + 13) || ', "header_length": 8, "payload_length": ' || ({LENGTH} + 5) || ', "header": {{"version": 1, "references": false, "compression": "None", "compression_name": null, "uncompressed_length": null, '
+  || '"checksum_algorithm": "None", "checksum_name": null, "checksum": "", "encryption": "None", "encryption_name": null, "key_id": null, "header_length": 8, "on_disk_length": ' || ({LENGTH} + 5) || '}}, "checksum_verified": null, "decrypted": null, '
+  || '"max_depth": 2, "node_count": 3, "root": {{"name": "Region", "type": "Region", "kind": "Object", "offset": 0, "length": ' || ({LENGTH} + 5) || ', "children": [{{"name": "r_name", "type": "String", "kind": "Scalar", "offset": 0, "length": '
+  || ({LENGTH} + 1) || ', "value": "\\"' || r_name || '\\""}}, {{"name": "r_regionkey", "type": "Int32", "kind": "Scalar", "offset": ' || ({LENGTH} + 1) || ', "length": 4, "value": "' || r_regionkey || '"}}]}}}}' AS json,
+  '<dump version="1" frame_length="' || ({LENGTH} + 13) || '" header_length="8" payload_length="' || ({LENGTH} + 5) || '" max_depth="2" node_count="3"><header version="1" references="false" compression="None" checksum_algorithm="None" checksum="" encryption="None" '
+  || 'header_length="8" on_disk_length="' || ({LENGTH} + 5) || '"/><node name="Region" type="Region" kind="Object" offset="0" length="' || ({LENGTH} + 5) || '"><node name="r_name" type="String" kind="Scalar" offset="0" length="' || ({LENGTH} + 1)
+  || '" value=''"' || r_name || '"''></node><node name="r_regionkey" type="Int32" kind="Scalar" offset="' || ({LENGTH} + 1) || '" length="4" value="' || r_regionkey || '"></node></node></dump>' AS xml,
+  '@0000  ' || rpad(trim(regexp_replace(lpad(hex({LENGTH} + 1), 2, '0') || upper(hex(encode(r_name))) || upper({_le('r_regionkey', 4)}), '(..)', '\\1 ', 'g')), 47, ' ') || '  Region.r_name' || chr(10) AS hex
+FROM (SELECT r_regionkey, r_name FROM region) AS r"""
+
+
+@query("dump_texts", RENDERED)
+def dump_texts(spark, sf_dir):
+    """Every rendering of a frame, letter by letter."""
+    df = table(spark, sf_dir, "region")
+    schema = T.StructType([T.StructField("r_regionkey", T.IntegerType(), False), T.StructField("r_name", T.StringType())])
+    frame = fr.encode(F.struct("r_regionkey", "r_name"), schema, {"type": "Region"}, nullable=False)
+    return df.select("r_regionkey", *[fr.dump(frame, schema, {"type": "Region"}, form=f, nullable=False).alias(f) for f in ("text", "json", "xml", "hex")])
+
+
 @query("dump_renderings")
 def dump_renderings(spark, sf_dir):
     """All renderings of a frame; their text has no SQL form."""
@@ -794,6 +819,18 @@ def checksums_of_names(spark, sf_dir):
     return df.select("c_custkey", *[F.hex(fr.checksum(F.encode("c_name", "UTF-8"), a)).alias(a) for a in ("crc32", "xxh3", "xxh128")])
 
 
+# CRC-32, XXH3-64 and XXH3-128 of the five names, by the published algorithms, in the byte order of frames.
+SUMS = """('AFRICA', '25C9B566', '5AA141D88ACE4F0C', '150937C2D9B1556EFA4AAEBC4E444CBE'), ('AMERICA', '9E730598', 'FCB5914837539001', 'BFADDF07D3635CE931DEB669FA686C85'),
+('ASIA', 'E7F5764C', '206960AC7DC20633', '6767C9F9D26BDCD8E152AC2C3D9D8122'), ('EUROPE', '589F6BB8', '35367DF723E3FDEA', '7AAB68E4A03E50446F95ED594D7D31AE'),
+('MIDDLE EAST', '2628A007', '8FA89239B4F6B131', '92CD8EA8D846AC7D48DFD9C0CF218F21')"""
+
+
+@query("checksums_of_regions", f"SELECT r_regionkey, crc32, xxh3, xxh128 FROM region JOIN (VALUES {SUMS}) AS s(name, crc32, xxh3, xxh128) ON r_name = name")
+def checksums_of_regions(spark, sf_dir):
+    df = table(spark, sf_dir, "region")
+    return df.select("r_regionkey", *[F.hex(fr.checksum(F.encode("r_name", "UTF-8"), a)).alias(a) for a in ("crc32", "xxh3", "xxh128")])
+
+
 @query("flagship_orders", "SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1")
 def flagship(spark, sf_dir):
     """Orders through frames and back, then a grouped total."""

@@ -24,6 +24,7 @@ def f(name, kind=I, nullable=False, **meta):
 
 NODE = struct(f("Value"))
 SHARED = [7]
+#: Types, values and the bytes that they must have.
 VECTORS = [
     (I, None, False, 0x11223344, "44332211"),
     (S, None, True, None, "00"), (S, None, True, "", "01"), (S, None, True, "hello", "0668656C6C6F"), (S, None, True, "héllo", "0768C3A96C6C6F"),
