@@ -16,8 +16,8 @@ remove every symbol covered by a window that also starts in a document with a sm
    their own content, each a string of ``width`` symbols: what can be equal still meets, and no shard holds more than its part. The shard asks
    one chunk for the symbols of each distinct string that isn't alone under its anchor or that two documents have.
 4. *Suffixes.* So a shard has, once each, all distinct strings of which a window may be found again. The operator's method (``find``) orders
-   their suffixes and gives the groups of equal prefixes; a string that two documents have counts as two occurrences. A window is
-   found again only if it lies in such a group, and the group's least id decides.
+   their suffixes and gives the groups of equal prefixes; a string that two documents have counts as two occurrences (one that shares its anchor with no
+   other can only repeat whole, so only its first suffix is ordered). A window is found again only if it lies in such a group, and the group's least id decides.
 5. Each chunk gets a bit for each window of its strings, for the least id that has the string and for all others, marks its texts and removes the symbols.
 
 Strings are told apart by their 64-bit XXH64 under the 32 bits of their anchor; the suffixes of each are compared symbol by symbol.
@@ -40,7 +40,7 @@ from .common import chunk_count, cut, id_and_text, join_back, mix, slices, store
 #: Most windows in a super-window (its marks are one word) and symbols handled at a time.
 RUN, PIECE = 62, 1 << 19
 #: Characters whose anchor deals a text.
-HEAD = 1024
+HEAD = 512
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -142,8 +142,10 @@ class Groups:
 class Strings:
     """A shard's strings, packed for comparison: ``q`` symbols to a word. ``symbols``: of all strings in turn, 1 and up."""
 
-    def __init__(self, symbols: np.ndarray, size: np.ndarray, twice: np.ndarray, width: int, q: int):
+    def __init__(self, symbols: np.ndarray, size: np.ndarray, twice: np.ndarray, width: int, q: int, lone: np.ndarray | None = None):
+        """``lone``: strings that share no window with another; only as a whole can they repeat, so only their first suffix is looked at."""
         self.size, self.twice, self.width, self.q, self.bits = size, twice, width, q, 64 // q
+        self.lone = np.zeros(len(size), bool) if lone is None else lone
         # Strings lie apart by q zeros (symbols are 1 and up), so that a word never holds two strings.
         self.base = np.cumsum(size + q) - size - q
         self.flat = np.zeros(int((size + q).sum()) + q, U)
@@ -155,6 +157,7 @@ class Strings:
     def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """(string, offset) of all suffixes of ``width`` and more symbols."""
         count = np.maximum(self.size - self.width + 1, 0)
+        count[self.lone] = np.minimum(count[self.lone], 1)
         string = np.repeat(np.arange(len(self.size)), count)
         return string, np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
 
@@ -554,7 +557,10 @@ def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_
             else:
                 symbols = np.frombuffer(data, np.uint8).astype(U) + U(1)
             of = np.searchsorted(u, mine)  # the string of each row of symbols
-            found = least_ids(Strings(symbols, size, (most > least)[of], width, q), least[of], find)
+            codes = np.empty(len(u), np.uint32)
+            codes[at] = _join([r[2] for r in rows], "<u4")
+            _, same, n = np.unique(codes[of], return_inverse=True, return_counts=True)
+            found = least_ids(Strings(symbols, size, (most > least)[of], width, q, n[same] == 1), least[of], find)
             del symbols
             count = size - width + 1
             first = np.cumsum(count) - count
