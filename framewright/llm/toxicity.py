@@ -37,6 +37,8 @@ FOLDS = 3
 #: Letters of a stem; the lexicon's size; the least likelihood ratio (one word in some millions passes by chance) and how much oftener in toxic texts.
 STEMS = range(4, 9)
 LEXICON, SIGNIFICANT, OFTENER = 300, 24.0, 10.0
+#: Words that a task holds at a time.
+HELD = 50_000
 # Insults and threats of general English, the seed lexicon.
 SEED_WORDS = (
     "bastard bitch clown coward creep cretin crap damn degenerate disgusting dumb dumbass dunce filth filthy fool fraud freak garbage gross "
@@ -68,7 +70,7 @@ class Lexicon(dict):
         self.sizes = sorted({len(w) for w in learned})
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > HELD:
             self.clear()
         kind = 1 if word in self.seed else 3 if word in SECOND else 2 if any(word[:n] in self.learned for n in self.sizes) else 0
         self[word] = kind
@@ -246,26 +248,37 @@ def held_out(doc_id):
 def fold_of(doc_id: int) -> int:
     return (doc_id * 2654435761 >> 7) % FOLDS
 
-
 def counted(batches):
-    """For each word and stem, by fold: toxic texts, other texts, and marks of the words before it in toxic texts."""
-    for b in batches:
-        found: dict[str, list[int]] = {}
-        for part in slices([b]):
-            for doc, y, text in zip(*[part.column(c).to_pylist() for c in ("doc_id", "y", "text")]):
-                words = WORDS.findall(text.lower())
-                before = {w: c for w, c in zip(words, ["", *words]) if len(w) > 2}
-                once = {stem: c for w, c in before.items() for stem in {w, *(w[:k] for k in STEMS if k < len(w))}}
-                at = fold_of(doc)
-                for w, c in once.items():
-                    row = found.setdefault(w, [0] * 3 * FOLDS)
-                    if y:
-                        row[at] += 1
-                        row[2 * FOLDS + at] |= 1 << zlib.crc32(c.encode("utf-8", "surrogatepass")) % 63
-                    else:
-                        row[FOLDS + at] += 1
+    """For each word and stem, by fold: toxic texts, other texts, and marks of the words before it in toxic texts. Sums of parts, ``HELD`` words at a time."""
+    found: dict[str, list[int]] = {}
+
+    def flush():
         columns = list(zip(*found.values())) or [()] * 3 * FOLDS
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], ["w", *COUNTS])
+        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], ["w", *COUNTS])
+        found.clear()
+        return out
+
+    for b in slices(batches, 50):
+        for doc, y, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "y", "text")]):
+            last = ""
+            before: dict[str, str] = {}
+            for piece in pieces(text):
+                for w in WORDS.findall(piece.lower()):
+                    if len(w) > 2:
+                        before[w] = last
+                    last = w
+            once = {stem: c for w, c in before.items() for stem in {w, *(w[:k] for k in STEMS if k < len(w))}}
+            at = fold_of(doc)
+            for w, c in once.items():
+                row = found.setdefault(w, [0] * 3 * FOLDS)
+                if y:
+                    row[at] += 1
+                    row[2 * FOLDS + at] |= 1 << zlib.crc32(c.encode("utf-8", "surrogatepass")) % 63
+                else:
+                    row[FOLDS + at] += 1
+        if len(found) > HELD:
+            yield flush()
+    yield flush()
 
 
 COUNTS = [f"{c}{k}" for c in "tfm" for k in range(FOLDS)]
