@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, unused
+from .common import ship, stored, unused
 
 # The rules, as (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -126,7 +126,9 @@ def word_counts(pages: DataFrame, max_words: int = MAX_WORDS, html_col: str = "h
     """How often the most frequent words of all pages stand there: runs of 2 to 20 letters a-z outside of tags."""
     plain = F.regexp_replace(F.lower(pages[html_col].cast("string")), "<[^<>]*>", " ")
     words = pages.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).where(F.length("w").between(2, 20))
-    return {r.w: float(r["count"]) for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words).collect()}
+    # Written first: the most frequent of all are then settled on an executor, and no more than they come to the driver.
+    top = stored(words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words), "words")
+    return {r.w: float(r["count"]) for r in top.collect()}
 
 
 def fit(counts: dict[str, float] | None = None, block: list[str] = UNWANTED, allow: list[str] = ORDINARY, common: list[str] = COMMON, prior: float = 0.3) -> Model:
