@@ -81,7 +81,7 @@ def _encoder(codec, o: Options):
     def run(a):
         references = o.references and o.version == 1
         payloads = R.encode_column(codec, a, o.limits, references)
-        return payloads if o.version == 0 else pa.array([E.seal(p, o, references) for p in payloads.to_pylist()], pa.binary())
+        return payloads if o.version == 0 else pa.array(E.seal_all(payloads.to_pylist(), o, references), pa.binary())
 
     return run
 
@@ -93,7 +93,8 @@ def _parts(codec, o: Options):
 def _decoder(codec, arrow, o: Options):
     def run(a, plains=None):
         plains = [None] * len(a) if plains is None else plains.to_pylist()
-        undone = [(None, False) if b is None else E.undo(b, o, p) for b, p in zip(a.to_pylist(), plains)]
+        frames = a.to_pylist()
+        undone = [(None, False) if b is None else E.undo(b, o, p, opened=x) for b, p, x in zip(frames, plains, E.open_all(frames, o))]
         d = R.Decoded(codec, [p for p, _ in undone], arrow, o.limits, [r for _, r in undone])
         for e in d.errors:
             if isinstance(e, FrameError):

@@ -393,3 +393,32 @@ def test_no_sealed_bytes_hold_the_text(size):
             envelope.undo(bad, o)
     with pytest.raises(NotSupportedError):
         envelope.seal(text, Options(encryption="aes256gcm", keys=Keys(fixed=bytes(32))))
+
+
+def test_a_batch_is_sealed_and_opened_at_once(monkeypatch):
+    """The blocks of all texts of a batch are made together, not a text at a time, and give what one text gives."""
+    from framewright.functions import chacha
+
+    calls, made = [], chacha.keystream
+    monkeypatch.setattr(chacha, "keystream", lambda *a: calls.append(1) or made(*a))
+    o = Options(encryption="chacha20poly1305", keys=Keys(resolve=lambda i: {"k": bytes(range(32)), "j": bytes(32)}.get(i)), key_id="k", checksum="crc32")
+    texts = [bytes([i % 251]) * (i % 200) for i in range(1000)] + [bytes(3 * 64 * chacha.BLOCKS + 5)]
+    frames = envelope.seal_all(texts, o)
+    assert len(calls) == 1 and len({f[-16:] for f in frames}) == len(frames)
+    bad = frames[5][:-1] + bytes([frames[5][-1] ^ 1])
+    awkward = [None, b"", b"no frame", frames[7][:-1], bad, envelope.seal(b"plain", Options()), envelope.seal(b"gone", replace(o, keys=Keys(fixed=bytes(32)), key_id="x")), envelope.seal(b"other", replace(o, key_id="j"))]
+    frames = awkward + frames
+    calls.clear()
+    opened = envelope.open_all(frames, o)
+    assert len(calls) == 1 and [x is None for x in opened[: len(awkward)]] == [True] * 4 + [False, True, True, False]
+    assert opened[4][0] is None
+
+    def outcome(frame, **more):
+        try:
+            return envelope.undo(frame, o, **more)
+        except FrameError as e:
+            return e.error_class, str(e)
+
+    assert [outcome(f, opened=x) for f, x in zip(frames[1:], opened[1:])] == [outcome(f) for f in frames[1:]]
+    assert [envelope.undo(f, o, opened=x)[0] for f, x in zip(frames[len(awkward) :], opened[len(awkward) :])] == texts
+    assert envelope.open_all([], o) == [] == envelope.seal_all([], o) and envelope.open_all(frames, Options()) == [None] * len(frames)
