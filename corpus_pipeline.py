@@ -24,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles are alike to 0.8 or more, one stays."""
+    """Of each group of documents that SimHash brings together, or the exact search for what it misses, one stays; five-word shingles alike to 0.8 or more decide each link."""
     return similar_sets.keep_one(docs)
 
 

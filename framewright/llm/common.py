@@ -60,6 +60,23 @@ def join_back(rows: DataFrame, told: DataFrame, key: str, hot: list | str) -> Da
     return rows.where(here).join(F.broadcast(told.where(here)), key).unionByName(rows.where(~here).join(told.where(~here), key))
 
 
+def heavy(rows: DataFrame, key: str) -> list[tuple[int, int]]:
+    """The keys that over a thousandth of all rows have, of which there are under a thousand, and in how many parts none of a key's is larger than that."""
+    counts, total = rows.groupBy(key).agg(F.count("*").alias("n")), rows.count()
+    parts = F.least(F.col("n"), F.ceil(F.col("n") * 1000 / F.lit(max(1, total)))).cast("int")
+    return [tuple(r) for r in counts.where((F.col("n") * 1000 > total) & (F.col("n") > 1)).select(key, parts).collect()]
+
+
+def join_parts(rows: DataFrame, told: DataFrame, key: str, parts: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` with what ``told`` says of their key: one row a key. Rows of the keys of ``parts`` (see ``heavy``) are dealt to so many copies of it; there are under two thousand copies."""
+    if not parts:
+        return rows.join(told, key)
+    of = F.broadcast(rows.sparkSession.createDataFrame(parts, f"{key} bigint, parts int"))
+    rows = rows.join(of, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    told = told.join(of, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return rows.join(told, [key, "part"]).drop("part")
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan; for files their size on disk. Costs no job."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

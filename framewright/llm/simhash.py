@@ -12,7 +12,7 @@ spanning forest (never all pairs), found by searches that compare against what i
 shard that is one big group of near copies costs little. Components come from alternating large-star and
 small-star rounds on those links, cut by checkpoints.
 
-Links are of fingerprints within a radius; ``similar_sets`` links texts by the similarity of their sets of shingles.
+Links are of fingerprints within a radius; ``similar_sets`` checks them by the similarity of the texts' sets of shingles.
 
 Defined results. Null and blank texts: fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Equal fingerprints are one class. Repeated rows: a result row

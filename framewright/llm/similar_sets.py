@@ -1,6 +1,8 @@
-"""Documents whose sets of word shingles are alike: Jaccard similarity of ``p / q`` or more, exactly.
+"""SimHash near-dedup with an exact check: documents whose sets of word shingles have a Jaccard similarity of ``p / q`` or more.
 
-A fingerprint's majority bits differ by chance, so no radius finds every pair of a similarity; this search does.
+``simhash`` makes a fingerprint of every text and finds by its vantage-point trees what lies within a radius; both sets decide
+each of its links, and what these connect needs no other search. A fingerprint's majority bits differ by chance, so no radius
+finds every pair of a similarity. The rest has an exact way:
 
 1. Every shingle of every distinct text is counted: shards by hash tell each chunk of texts how many texts have its shingles, so
    far as that is two or more (by classes of frequency, a power of two each).
@@ -8,10 +10,10 @@ A fingerprint's majority bits differ by chance, so no radius finds every pair of
    first ``n - alpha + 1`` of each share one (n: its size), in any order that both follow; a set of n
    members shares at least ``ceil(p n / q)`` with any set so alike. These first members are a set's signatures; those that
    no other text has are left out, so that a text unlike all others sends nothing.
-3. Sets that share a signature and whose sizes allow the similarity are paired; both sets then decide, member by member.
+3. Sets that share a signature, that SimHash hasn't connected and whose sizes allow the similarity are paired; both sets then decide, member by member.
 4. A signature of over ``MANY`` sets (a family of near copies; in other texts a rarer one comes first) isn't paired: the sets that such
    signatures connect are searched for a spanning forest, in blocks of bounded bytes. A few sets stand in every block and mostly
-   connect a family at once; if not, every two blocks are searched too.
+   connect a family at once; if not, every two blocks are searched too. What SimHash has connected isn't compared there.
 
 Shingles are told apart by 64-bit hashes of their words, sets by the XXH64 of those; 32 bits of a hash name a signature in its
 shard, and what is mistaken for another is only compared in vain.
@@ -30,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, cut, id_and_text, join_back, mix, slices, stored
+from . import simhash
+from .common import chunk_count, cut, heavy, id_and_text, join_back, join_parts, mix, slices, stored
 from .graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -138,9 +141,10 @@ def signatures(sets: list[np.ndarray], level: np.ndarray, bound: Bound) -> tuple
     return row[first], first
 
 
-def set_forest(sets: list[np.ndarray], bound: Bound) -> list[tuple[int, int]]:
+def set_forest(sets: list[np.ndarray], bound: Bound, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (by place) of a spanning forest of the graph of all pairs of ``sets`` that are alike.
 
+    ``part``: sets of the same part are connected already, so they are linked without a comparison.
     Sets flip a bit of a sketch for each member: no more bits differ than members do, so far sketches rule a pair out. Exact counts decide the others.
     """
     flat, _, size = _flat(sets)
@@ -171,7 +175,8 @@ def set_forest(sets: list[np.ndarray], bound: Bound) -> list[tuple[int, int]]:
         queue, open_ = [int(open_[0])], open_[1:]
         while queue and len(open_):
             v = queue.pop()
-            hit = within(v, open_)
+            hit = part[open_] == part[v] if part is not None else np.zeros(len(open_), bool)
+            hit[~hit] = within(v, open_[~hit])
             reached = open_[hit].tolist()
             links += [(v, j) for j in reached]
             queue += reached
@@ -283,12 +288,18 @@ def meetings(bound: Bound):
 
 
 def family_links(families: DataFrame, bound: Bound, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """a, b: links that connect what is alike within each family (``root``, ``id``, ``members``); no task holds more than two blocks and the pivots."""
+    """a, b: links that connect what is alike within each family (``root``, ``id``, ``members``); no task holds more than two blocks and the pivots.
+
+    ``part``, if it is there: sets of the same part are connected already.
+    """
+    if "part" not in families.columns:
+        families = families.withColumn("part", F.col("id"))
 
     def gathered(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
         members = table.column("members").take(pa.array(first)).to_pylist()
-        pairs = np.array(set_forest([np.frombuffer(x, "<u8") for x in members], bound), np.int64).reshape(-1, 2)
+        part = table.column("part").to_numpy()[first]
+        pairs = np.array(set_forest([np.frombuffer(x, "<u8") for x in members], bound, part), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
 
     kind = "a bigint, b bigint"
@@ -301,25 +312,43 @@ def family_links(families: DataFrame, bound: Bound, block_bytes: int = BLOCK_BYT
     dealt = cut(families.join(large, F.col("root") == F.col("r")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     pivot = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("n") / PIVOTS))) == 0
     everywhere = dealt.where(pivot).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["root", "block", "id", "members"]
+    columns = ["root", "block", "id", "members", "part"]
     first = cut(dealt.select(columns).unionByName(everywhere.select(columns)).groupBy("root", "block").applyInArrow(gathered, kind))
     parts = components(first).select("node", F.col("root").alias("part"))
     apart = dealt.select("root", "id").join(parts, F.col("id") == F.col("node"), "left").groupBy("root")
     apart = apart.agg(F.min(F.coalesce("part", "id")).alias("x"), F.max(F.coalesce("part", "id")).alias("y")).where("x <> y").select(F.col("root").alias("open"))
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
     crossed = dealt.join(apart, F.col("root") == F.col("open"), "left_semi").select("*", other.alias("other"))
-    crossed = crossed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "members")
+    crossed = crossed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "members", "part")
     return small.unionByName(first).unionByName(crossed.groupBy("root", "i", "j").applyInArrow(gathered, kind))
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, component_id of each row: texts are linked whose sets of shingles have that Jaccard similarity or more."""
+def simhash_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """a < b: pairs of sets (``id``) to be checked, by the links of their fingerprints (``fp``) within ``radius``; a fingerprint stands for its least id, which is paired with its others."""
+    marks = cut(prints.select("fp", "id").distinct())
+    named = cut(marks.groupBy("fp").agg(F.min("id").alias("least")))
+    ends = cut(simhash.links(named.select("fp"), radius))
+    pairs = ends
+    for end in ("a", "b"):
+        pairs = join_parts(pairs, named.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_id")), end, heavy(ends, end))
+    shared = join_parts(marks, named, "fp", heavy(marks, "fp"))
+    pairs = pairs.select("a_id", "b_id").unionByName(shared.select(F.col("least").alias("a_id"), F.col("id").alias("b_id")))
+    return pairs.where("a_id <> b_id").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text", id_col: str = "doc_id", radius: int = 4) -> DataFrame:
+    """doc_id, component_id of each row: texts are linked whose sets of shingles have that Jaccard similarity or more.
+
+    ``radius``: within which fingerprints are looked up first; it decides how much is left to the exact search, not what is found.
+    """
     bound = Bound(similarity)
 
     def named(batches):
         for b in slices(batches, 200):
-            ids = [class_of(shingle_set(t, shingle)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64())], ["doc_id", "id"])
+            texts = b.column("text").to_pylist()
+            ids = [class_of(shingle_set(t, shingle)) for t in texts]
+            fp = np.array([simhash.fingerprint(t) for t in texts], U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(fp)], ["doc_id", "id", "fp"])
 
     def confirmed(batches):
         for b in slices(batches):
@@ -329,22 +358,32 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
                 good.append(bool(bound.alike(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good, pa.bool_())), b.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
-    prints = stored(id_and_text(docs, text_col, id_col).mapInArrow(named, "doc_id bigint, id bigint"), "classes")
+    def alike(pairs):
+        """Those of pairs a, b whose sets are alike. A set that has no members in ``sets`` is like no other."""
+        sides = pairs
+        for end, name in (("a", "x"), ("b", "y")):
+            sides = join_parts(sides, sets.select(F.col("id").alias(end), F.col("members").alias(name)), end, heavy(pairs, end))
+        return sides.select("a", "b", "x", "y").mapInArrow(confirmed, "a bigint, b bigint")
+
+    prints = stored(id_and_text(docs, text_col, id_col).mapInArrow(named, "doc_id bigint, id bigint, fp bigint"), "classes")
     classes = cut(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     total = prints.count()
     hot = {r.id: r.first for r in classes.where(F.col("n") * 1000 > total).where("n > 1").select("id", "first").collect()}  # under a thousand
     made = cut(candidates(docs, shingle, bound, hot, text_col, id_col))
     sets = made.where("id is not null").groupBy("id").agg(F.any_value("a").alias("members"))
+    near = cut(alike(cut(simhash_pairs(prints, radius))))
+    parts = components(near).select("node", F.col("root").alias("part"))
     found = cut(made.where("id is null").groupBy("shard").applyInArrow(meetings(bound), "many boolean, a bigint, b bigint").distinct())
-    groups = cut(components(found.where("many").select("a", "b")))
+    groups = components(found.where("many").select("a", "b"))
+    known = cut(groups.join(parts, "node", "full"))
     pairs = found.where("not many").select("a", "b")
-    for end in ("a", "b"):  # pairs within a family are found with it
-        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    pairs = pairs.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b")
-    sides = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    links = sides.select("a", "b", "x", "y").mapInArrow(confirmed, "a bigint, b bigint")
-    families = cut(groups.join(sets, F.col("node") == F.col("id")).select("root", "id", "members"))
-    roots = components(links.unionByName(family_links(families, bound)))
+    for end in ("a", "b"):  # pairs that SimHash has connected are done, pairs within a family are found with it
+        pairs = pairs.join(known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"), F.col("part").alias(f"{end}_part")), end, "left")
+    apart = lambda c: F.coalesce(F.col(f"a_{c}") != F.col(f"b_{c}"), F.lit(True))
+    pairs = cut(pairs.where(apart("root") & apart("part")).select("a", "b"))
+    families = known.where("root is not null").join(sets, F.col("node") == F.col("id"))
+    families = cut(families.select("root", "id", "members", F.coalesce("part", "id").alias("part")))
+    roots = components(near.unionByName(alike(pairs)).unionByName(family_links(families, bound)))
     told = cut(classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("root"), "first"))
     least = told.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("classes"))
     told = cut(join_back(told, least, "root", "classes").select("id", "n", "component_id"))

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from framewright.llm import similar_sets
+from framewright.llm import common, simhash, similar_sets
 
 from . import cases
 
@@ -189,3 +189,61 @@ def test_pipeline_drops_by_plain_jaccard(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id for r in corpus_pipeline.near(spark, docs, sf).collect()} == {d for d, c in brute_jaccard(rows) if d == c}
+
+
+def test_simhash_links_what_it_brings_together(spark, monkeypatch):
+    """Without the exact search for the rest, pairs within 4 bits of each other are still linked, and only if their sets are alike."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(120):
+        words = cases.passage(60000 + k, 300).split()
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.choice(300, 1 + k % 4, replace=False):
+            words[at] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    for k in range(120, 124):  # one line so often that bits hardly tell the texts apart, though their sets do
+        line = " ".join([cases.passage(61000 + k, 16)] * 200)
+        rows += [(2 * k + i, f"{cases.passage(62000 + 2 * k + i, 60)} {line}") for i in (0, 1)]
+    pairs = list(zip(rows[::2], rows[1::2]))
+    close = [(simhash.fingerprint(a[1]) ^ simhash.fingerprint(b[1])).bit_count() <= 4 for a, b in pairs]
+    good = [alike(shingles(a[1]), shingles(b[1])) for a, b in pairs]
+    assert sum(c and g for c, g in zip(close, good)) > 20 and sum(g and not c for c, g in zip(close, good)) > 20 and sum(c and not g for c, g in zip(close, good)) > 0
+    assert told(spark, rows) == cases.want(brute_jaccard(rows))
+
+    def none(bound):
+        import pyarrow as pa
+
+        return lambda table: pa.table({"many": pa.array([], pa.bool_()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    monkeypatch.setattr(similar_sets, "meetings", none)
+    expected = [(d, a[0] if c and g else d) for (a, b), c, g in zip(pairs, close, good) for d in (a[0], b[0])]
+    assert told(spark, rows) == cases.want(expected)
+
+
+def test_the_pipeline_searches_by_simhash(spark, sf, monkeypatch):
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, radius: seen.append((fps.count(), radius)) or links(fps, radius))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    corpus_pipeline.near(spark, docs, sf).count()
+    assert seen == [(len({simhash.fingerprint(r.text or "") for r in docs.select("text").collect()}), 4)]
+
+
+def test_parts_of_a_forest_are_not_compared():
+    """Sets of a part are linked as they are; what else is alike is found as without parts."""
+    bound, pool = similar_sets.Bound(0.8), np.arange(4000, dtype=np.uint64)
+    sets = [pool[8 * k : 8 * k + 100] for k in range(30)] + [pool[2000 + 200 * k : 2100 + 200 * k] for k in range(6)]
+    assert len(similar_sets.set_forest(sets, bound)) == 29
+    part = np.arange(36)
+    part[[3, 7, 20]] = 3
+    assert len(similar_sets.set_forest(sets, bound, part)) == 29
+    part[[30, 35]] = 30
+    links = similar_sets.set_forest(sets, bound, part)
+    assert len(links) == 30 and (30, 35) in links
+
+
+def test_join_in_parts_equals_a_join(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(300)], "a bigint, x bigint").repartition(3)
+    told = spark.createDataFrame([(k, 10 * k) for k in range(9) if k != 3], "a bigint, y bigint")
+    parts = common.heavy(rows, "a")
+    assert parts and all(1 < n <= 300 for _, n in parts)
+    assert cases.got(common.join_parts(rows, told, "a", parts), "a", "x", "y") == cases.got(rows.join(told, "a"), "a", "x", "y")
+    assert common.heavy(rows.limit(0), "a") == []
