@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from framewright.llm import simhash
+from framewright.llm import graph, simhash
 
 from . import cases
 
@@ -143,3 +143,39 @@ def test_components(spark, edges):
             group[y] = x
     out = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint"))
     assert sorted(map(tuple, out.select("node", "root").collect())) == sorted((x, find(x)) for x in group)
+
+
+def test_components_by_one_task_equal_alternating_stars(spark):
+    """Chains, stars, cycles, repeated links and signed ids, over many partitions; both ways give the least node."""
+    r = np.random.default_rng(4)
+    chain, ids = r.permutation(300), r.choice(np.arange(-(2**40), 2**40, 2**28), 700, replace=False)
+    edges = [*zip(chain, chain[1:]), *((300, 301 + k % 60) for k in range(120)), *((400 + k, 400 + (k + 1) % 50) for k in range(50)), *r.integers(500, 700, (120, 2)), (7, 7)]
+    edges = [(int(ids[a]), int(ids[b])) for a, b in edges]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(9)
+    of = {x: x for e in edges for x in e}
+    for _ in of:
+        for a, b in edges:
+            of[a] = of[b] = min(of[a], of[b])
+        if all(of[a] == of[b] for a, b in edges):
+            break
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    want = sorted((x, of[x]) for x in linked)
+    for few in (None, 0):
+        assert sorted(map(tuple, graph.components(df, few).select("node", "root").collect())) == want
+
+
+def test_few_links_cost_few_tasks(spark):
+    """On 40 partitions, 300 links of a chain take no rounds over all of them."""
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", 40), spark.conf.set(off, False)
+    try:
+        df = spark.createDataFrame([(k, k + 1) for k in range(300)], "a bigint, b bigint").repartition(40)
+        sc.setJobGroup("few links", "")
+        assert graph.components(df).count() == 301
+        told = sc.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup("few links") for s in told.getJobInfo(j).stageIds}
+        assert sum(i.numTasks for s in stages if (i := told.getStageInfo(s))) < 300
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before), spark.conf.unset(off)
