@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing holds any more: it does so only once the driver has collected its garbage, Python's and then the JVM's; what the first pass lets go of, the second deletes."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table as Parquet in the shared folder and read it again."""
     spark = df.sparkSession

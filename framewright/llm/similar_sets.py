@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import chunk_count, cut, heavy, id_and_text, join_back, join_parts, mix, slices, stored
+from .common import chunk_count, cut, heavy, id_and_text, join_back, join_parts, mix, slices, stored, swept
 from .graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -370,6 +370,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     total = prints.count()
     hot = {r.id: r.first for r in classes.where(F.col("n") * 1000 > total).where("n > 1").select("id", "first").collect()}  # under a thousand
     made = cut(candidates(docs, shingle, bound, hot, text_col, id_col))
+    swept(docs.sparkSession)  # texts and codes went through shuffles, most of what this stage writes
     sets = made.where("id is not null").groupBy("id").agg(F.any_value("a").alias("members"))
     near = cut(alike(cut(simhash_pairs(prints, radius))))
     parts = components(near).select("node", F.col("root").alias("part"))

@@ -1,5 +1,8 @@
 """The near-dedup stage against plain Jaccard similarity of shingle sets, pair by pair."""
 
+import os
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -247,3 +250,22 @@ def test_join_in_parts_equals_a_join(spark):
     assert parts and all(1 < n <= 300 for _, n in parts)
     assert cases.got(common.join_parts(rows, told, "a", parts), "a", "x", "y") == cases.got(rows.join(told, "a"), "a", "x", "y")
     assert common.heavy(rows.limit(0), "a") == []
+
+
+def test_shuffled_texts_are_deleted_before_the_search(spark, sf, monkeypatch):
+    """When links are looked for, the shuffle files of texts and codes go; else they'd stand beside all that the search writes."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and f.endswith(".data")}
+    before, left, pairs = files(), [], similar_sets.simhash_pairs
+
+    def looked(prints, radius):
+        for _ in range(50):
+            left.append(sum(os.path.getsize(f) for f in files() - before if os.path.exists(f)))
+            if left[-1] < 20_000:
+                break
+            time.sleep(0.1)
+        return pairs(prints, radius)
+
+    monkeypatch.setattr(similar_sets, "simhash_pairs", looked)
+    corpus_pipeline.near(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()
+    assert left[-1] < 20_000, left
