@@ -9,8 +9,8 @@ distance touches the boundary, and a leaf is a shard. Values that touch a bounda
 shard beyond it too, so every linked pair meets in a shard, where full distances decide. The trees are
 fitted on a bounded sample (``sample``); every fingerprint is indexed. A shard sends only the links of a
 spanning forest (never all pairs), found by searches that compare against what is still unreached, so a
-shard that is one big group of near copies costs little. Components come from alternating large-star and
-small-star rounds on those links, cut by checkpoints.
+shard that is one big group of near copies costs little. Components of those links come from ``graph``: by one
+task if they are few, else by alternating large-star and small-star rounds, cut by checkpoints.
 
 Links are of fingerprints within a radius; ``similar_sets`` checks them by the similarity of the texts' sets of shingles.
 
