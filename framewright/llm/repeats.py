@@ -21,13 +21,14 @@ remove every symbol covered by a window that also starts in a document with a sm
 5. Each chunk gets a bit for each window of its strings, for the least id that has the string and for all others, marks its texts and removes the symbols.
 
 Strings are told apart by their 64-bit XXH64 under the 32 bits of their anchor; the suffixes of each are compared symbol by symbol.
+Each stage that reads a chunk handles its texts in blocks (``Block``), since array operations on one short text cost more than its bytes do; no window, run or span crosses from one text into the next.
 All of it is one plan; the exchange of the texts by chunk is made once and reused.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,14 +38,35 @@ from pyspark.sql import functions as F
 
 from .common import chunk_count, cut, id_and_text, join_back, mix, slices, stored
 
-#: Most windows in a super-window (its marks are one word) and symbols handled at a time.
-RUN, PIECE = 62, 1 << 19
+#: Most windows in a super-window (its marks are one word), characters of texts that are handled together, and symbols at a time.
+RUN, BLOCK, PIECE = 62, 1 << 16, 1 << 19
 #: Characters whose anchor deals a text.
 HEAD = 512
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
 
 
+@dataclass
+class Block:
+    """Texts that are handled together, so that array operations aren't paid for text by text; their symbols are numbered on."""
+
+    raw: bytes  #: all symbols (words joined by one space)
+    begin: np.ndarray  #: each text's first symbol, and the end of the last
+    starts: np.ndarray | None  #: where words start and end
+    ends: np.ndarray | None
+
+    def bounds(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes of the symbols lo..hi (one at least) start and end."""
+        return (lo, hi) if self.starts is None else (self.starts[lo], self.ends[hi - 1])
+
+    def text(self, k: int) -> bytes:
+        """The bytes of a text."""
+        lo, hi = self.begin[k : k + 2].tolist()
+        if self.starts is None:
+            return self.raw[lo:hi]
+        return self.raw[self.starts[lo] : self.ends[hi - 1]] if hi > lo else b""
+
+
 @dataclass(frozen=True)
 class Unit:
     """How a text falls into symbols."""
@@ -53,27 +75,38 @@ class Unit:
     width: int
     gram: int
 
-    def split(self, text: str) -> tuple[bytes, int, np.ndarray | None, np.ndarray | None]:
-        """The text's symbols as bytes (words joined by one space), how many, and the words' starts and ends."""
-        raw = text.encode("utf-8", "surrogatepass")
+    def block(self, texts: list[str]) -> Block:
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
         if not self.words:
-            return raw, len(raw), None, None
-        raw = b" ".join(raw.split())
-        if not raw:
-            return raw, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return Block(b"".join(parts), np.cumsum([0, *map(len, parts)]), None, None)
+        split = [p.split() for p in parts]
+        raw = b" ".join([w for words in split for w in words])
         gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
-        return raw, len(gaps) + 1, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+        starts, ends = (np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])) if raw else (gaps, gaps)
+        return Block(raw, np.cumsum([0, *map(len, split)]), starts, ends)
+
+    def blocks(self, texts: Iterable[str]) -> Iterator[Block]:
+        """The texts in order, in blocks of ``BLOCK`` characters or of one longer text."""
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            if some and size + len(t) > BLOCK:
+                yield self.block(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        if some:
+            yield self.block(some)
 
     def hashes(self, raw: bytes, starts: np.ndarray | None, ends: np.ndarray | None) -> np.ndarray:
         """A hash of each ``gram`` consecutive symbols, by content alone."""
         b = np.frombuffer(raw + bytes(8), np.uint8)
         n = len(starts) if self.words else len(raw)
         if not self.words:
-            eight = np.lib.stride_tricks.as_strided(b, (n, 8), (1, 1)).copy().view("<u8").ravel()
-            step, one = 8, eight
+            step, one = 8, np.ndarray((n,), "<u8", b, 0, (1,)).copy()
         else:
             size = (ends - starts).astype(U)
-            load = lambda at: np.lib.stride_tricks.as_strided(b, (len(b) - 7, 8), (1, 1))[at].copy().view("<u8").ravel()
+            load = np.ndarray((len(b) - 7,), "<u8", b, 0, (1,)).__getitem__
             part = lambda v, left: np.where(left >= 8, v, v & ((U(1) << (U(8) * np.minimum(left, U(7)))) - U(1)))
             one = part(load(starts), size) + size
             long = size > 8
@@ -88,30 +121,41 @@ class Unit:
             h += one[j : j + m]
         return mix(h)
 
-    def runs(self, raw: bytes, n: int, starts: np.ndarray | None, ends: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first window, windows, anchor) of the runs, piece by piece."""
+    def runs(self, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, first window, windows, anchor) of the runs, piece by piece; windows are numbered as the block's symbols are."""
+        n = int(block.begin[-1])
         windows = n - self.width + 1
         for at in range(0, max(windows, 0), PIECE):
             upto = min(n, at + PIECE + self.width - 1)
             if self.words:
-                lo, hi = int(starts[at]), int(ends[upto - 1])
-                least = self.hashes(raw[lo:hi], starts[at:upto] - lo, ends[at:upto] - lo)
+                lo, hi = int(block.starts[at]), int(block.ends[upto - 1])
+                least = self.hashes(block.raw[lo:hi], block.starts[at:upto] - lo, block.ends[at:upto] - lo)
             else:
-                least = self.hashes(raw[at:upto], None, None)
+                least = self.hashes(block.raw[at:upto], None, None)
             span, have = self.width - self.gram + 1, 1
             while 2 * have <= span:
                 least = np.minimum(least[:-have], least[have:])
                 have *= 2
             if have < span:
                 least = np.minimum(least[: len(least) - span + have], least[span - have :])
-            first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            size = np.diff(np.append(first, len(least)))
+            new = np.ones(len(least), bool)
+            np.not_equal(least[1:], least[:-1], out=new[1:])
+            for edge in (block.begin - at, block.begin - at - self.width + 1):  # windows over the end of a text are in runs of their own, which are left out
+                new[edge[(edge >= 0) & (edge < len(new))]] = True
+            first = np.flatnonzero(new)
+            size = np.diff(first, append=len(least))
+            anchor = least[first]
+            first += at
+            text = np.searchsorted(block.begin, first, side="right") - 1
+            whole = first + self.width <= block.begin[text + 1]
+            if not whole.all():
+                text, first, size, anchor = text[whole], first[whole], size[whole], anchor[whole]
             if (size > RUN).any():
                 pieces = -(-size // RUN)
                 again = np.repeat(np.arange(len(first)), pieces)
                 k = np.arange(len(again)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                first, size = first[again] + k * RUN, np.minimum(RUN, size[again] - k * RUN)
-            yield first + at, size, least[first]
+                text, first, size, anchor = text[again], first[again] + k * RUN, np.minimum(RUN, size[again] - k * RUN), anchor[again]
+            yield text, first, size, anchor
 
 
 # ---------------------------------------------------------------- suffixes of a shard
@@ -285,10 +329,18 @@ class _Known:
         join = lambda k: np.sort(np.concatenate([np.zeros(0, U), *[(U(r[0]) << U(32)) | np.frombuffer(r[k], "<u4").astype(U) for r in rows]]))
         self.shared, self.hot, self.shards = join(1), join(2), shards
 
+        # Most anchors aren't shared: one look into a table by their last bits tells so of seven in eight of these.
+        self.last = U((1 << max(10, (8 * len(self.shared)).bit_length())) - 1)
+        self.table = np.zeros(int(self.last) + 1, bool)
+        self.table[(self.shared & self.last).astype(np.int64)] = True
+
     def test(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        shard, code = _key(anchor, self.shards)
+        """Which anchors are shared; and of these, whether they are split by window, their shards and codes."""
+        at = np.flatnonzero(self.table[(anchor & self.last).astype(np.int64)])
+        shard, code = _key(anchor[at], self.shards)
         key = (shard.astype(U) << U(32)) | code
-        return _in(self.shared, key), _in(self.hot, key), shard, code
+        there = _in(self.shared, key)
+        return at[there], _in(self.hot, key[there]), shard[there], code[there]
 
 
 @dataclass
@@ -296,39 +348,56 @@ class _Places:
     """The super-windows of a chunk's distinct texts, wherever they stand: a row a place."""
 
     text: np.ndarray  #: which text
-    first: np.ndarray  #: the first window
+    first: np.ndarray  #: the first window, by the block's numbers
     windows: np.ndarray
     shard: np.ndarray
     code: np.ndarray  #: names the anchor in its shard
     hash: np.ndarray
+    blocks: list[Block]
+    texts: np.ndarray  #: the first text of each block, and how many there are
+    places: np.ndarray  #: the first place of each block, and how many there are
 
     @staticmethod
-    def of(unit: Unit, known: _Known, texts, want: Callable | None = None) -> _Places:
-        """``want``: gets each place's hash, start and end and the text's bytes."""
+    def of(unit: Unit, known: _Known, texts: Iterable[str]) -> _Places:
         import xxhash
 
         digest, w = xxhash.xxh64_intdigest, unit.width
         rows: list[tuple[np.ndarray, ...]] = []
-        for k, text in enumerate(texts):
-            raw, n, starts, ends = unit.split(text)
-            for first, size, anchor in unit.runs(raw, n, starts, ends):
-                shared, hot, shard, code = known.test(anchor)
-                if not shared.any():
+        blocks: list[Block] = []
+        done, places = [0], [0]
+        for block in unit.blocks(texts):
+            here = 0
+            for text, first, size, anchor in unit.runs(block) if len(known.shared) else ():
+                found, hot, shard, code = known.test(anchor)
+                if not len(found):
                     continue
-                at = np.flatnonzero(shared & ~hot)
-                split = np.flatnonzero(shared & hot)
-                each = first[split].repeat(size[split]) + np.arange(size[split].sum()) - np.repeat(np.cumsum(size[split]) - size[split], size[split])
-                f, m = np.concatenate([first[at], each]), np.concatenate([size[at], np.ones(len(each), np.int64)])
-                lo, hi = (starts[f], ends[f + m + w - 2]) if unit.words else (f, f + m + w - 1)
-                bounds = list(zip(lo.tolist(), hi.tolist()))
-                h = np.array([digest(raw[a:b]) for a, b in bounds], U)
+                text, first, size = text[found], first[found], size[found]
+                at, split = np.flatnonzero(~hot), np.flatnonzero(hot)
+                of, window = expand(first[split], first[split] + size[split])
+                t, f, m = np.concatenate([text[at], text[split][of]]), np.concatenate([first[at], window]), np.concatenate([size[at], np.ones(len(of), np.int64)])
+                raw = block.raw
+                lo, hi = block.bounds(f, f + m + w - 1)
+                h = np.array([digest(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], U)
                 own = mix(h[len(at) :])  # a window's own content deals it
                 shard, code = np.concatenate([shard[at], (own % U(known.shards)).astype(np.int64)]), np.concatenate([code[at], (own >> U(32)).astype(np.uint32)])
-                rows.append((np.full(len(f), k), f, m, shard, code, h))
-                if want is not None:
-                    want(raw, bounds, shard, h)
+                rows.append((t + done[-1], f, m, shard, code, h))
+                here += len(f)
+            blocks.append(block)
+            done.append(done[-1] + len(block.begin) - 1)
+            places.append(places[-1] + here)
         kinds = (np.int64, np.int64, np.int64, np.int64, np.uint32, U)
-        return _Places(*[np.concatenate([np.zeros(0, t), *[r[i] for r in rows]]) for i, t in enumerate(kinds)])
+        return _Places(*[np.concatenate([np.zeros(0, t), *[r[i] for r in rows]]) for i, t in enumerate(kinds)], blocks, np.array(done), np.array(places))
+
+    def strings(self, at: np.ndarray, width: int) -> list[bytes]:
+        """The symbols of the given places, which ascend."""
+        out: list[bytes] = []
+        cuts = np.searchsorted(at, self.places).tolist()
+        for block, a, b in zip(self.blocks, cuts, cuts[1:]):
+            if b > a:
+                p, raw = at[a:b], block.raw
+                lo, hi = block.bounds(self.first[p], self.first[p] + self.windows[p] + width - 1)
+                out += [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())]
+        return out
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct strings by shard and hash: place of one, where each shard begins; and each place's string."""
@@ -369,31 +438,34 @@ def _texts(table: pa.Table, hot: dict[bytes, tuple[int, bool]]) -> list[_Text]:
     return [found[d] for d in sorted(found)]
 
 
-def _spans(first: list[int], marks: list[int], width: int) -> list[list[int]]:
-    """Spans [start, end) of the symbols under marked windows."""
-    spans: list[list[int]] = []
-    for f, b in sorted(zip(first, marks)):
-        while b:
-            low = (b & -b).bit_length() - 1
-            run = ((b >> low) + 1 & ~(b >> low)).bit_length() - 1
-            s, e = f + low, f + low + run - 1 + width
-            if spans and s <= spans[-1][1]:
-                spans[-1][1] = e
-            else:
-                spans.append([s, e])
-            b &= ~(((1 << run) - 1) << low)
-    return spans
-
-
-def _kept(unit: Unit, raw: bytes, n: int, starts: np.ndarray | None, ends: np.ndarray | None, spans: list[list[int]]) -> bytes:
+def _spans(text: np.ndarray, first: np.ndarray, marks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the spans of symbols under marked windows, in order. ``first``: of each place, numbered on from text to text."""
+    some = np.flatnonzero(marks)
+    text, first, marks = text[some], first[some], marks[some]
+    ends = []
+    for b in (marks & ~(marks << U(1)), marks & ~(marks >> U(1))):  # where runs of marks begin, and where they end
+        bit = np.concatenate([np.zeros(0, np.int64), *[64 * k + np.flatnonzero(np.unpackbits(b[k : k + PIECE].view(np.uint8), bitorder="little")) for k in range(0, len(b), PIECE)]])
+        at = first[bit >> 6] + (bit & 63)
+        order = np.argsort(at, kind="stable")
+        ends.append((text[bit[order] >> 6], at[order]))
+    (text, start), (_, end) = ends
+    end += width
+    new = np.ones(len(start), bool)
+    new[1:] = (text[1:] != text[:-1]) | (start[1:] > end[:-1])
+    return text[new], start[new], end[np.append(new[1:], True)] if len(new) else end
+
+
+def _kept(block: Block, k: int, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of a text without the spans."""
     if not spans:
-        return raw
-    parts, at = [], 0
-    for s, e in [*spans, [n, n]]:
+        return block.text(k)
+    at, n = block.begin[k : k + 2].tolist()
+    parts, starts, ends = [], block.starts, block.ends
+    for s, e in [*spans, (n, n)]:
         if s > at:
-            parts.append(raw[starts[at] : ends[s - 1]] if unit.words else raw[at:s])
+            parts.append(block.raw[at:s] if starts is None else block.raw[starts[at] : ends[s - 1]])
         at = e
-    return (b" " if unit.words else b"").join(parts)
+    return (b"" if starts is None else b" ").join(parts)
 
 
 def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_bytes: int = 3 << 20, with_text: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -413,13 +485,22 @@ def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_
     def rows_of(table: pa.Table):
         return list(zip(*[table.column(c).to_pylist() for c in names]))
 
-    def name_of(head: str, digest: bytes) -> int:
-        least = [a.min() for _, _, a in unit.runs(*unit.split(head))]
-        return int(least[0] if least else int.from_bytes(digest[:8], "little")) & (2**63 - 1)
+    def names_of(heads: list[str], digests: list[bytes]) -> np.ndarray:
+        """The least anchor of each head; of one without windows its digest."""
+        none, found = U(np.iinfo(U).max), []
+        for block in unit.blocks(heads):
+            least = np.full(len(block.begin) - 1, none)
+            for text, _, _, anchor in unit.runs(block):
+                np.minimum.at(least, text, anchor)
+            found.append(least)
+        name = np.concatenate([np.zeros(0, U), *found])
+        for k in np.flatnonzero(name == none).tolist():
+            name[k] = int.from_bytes(digests[k][:8], "little")
+        return (name & U(2**63 - 1)).astype(np.int64)
 
     def named(batches):
         for b in slices(batches, 2000):
-            found = [name_of(h, d) for h, d in zip(b.column("head").to_pylist(), b.column("digest").to_pylist())]
+            found = names_of(b.column("head").to_pylist(), b.column("digest").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), b.column("bytes"), pa.array(found, pa.int64())], ["doc_id", "digest", "bytes", "name"])
 
     rows = id_and_text(docs, text_col, id_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.substring(F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)), 1, 16).alias("digest"))
@@ -434,29 +515,39 @@ def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_
         """Each text once a task; of one with very many copies only the first row."""
         told: set[bytes] = set()
         for b in slices(batches, 2000):
-            out: list[tuple] = []
+            out, heads = [], []
             for doc, text, digest in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "digest")]):
                 if digest in copies and doc != copies[digest][0]:
                     continue
-                out.append((name_of(text[:HEAD], digest), digest, doc, None if digest in told else text))
+                out.append((digest, doc, None if digest in told else text))
+                heads.append(text[:HEAD])
                 told.add(digest)
-            columns = list(zip(*out)) or [(), (), (), ()]
+            columns = list(zip(*out)) or [(), (), ()]
+            columns = [names_of(heads, columns[0]), *columns]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["name", "digest", "doc_id", "text"])
 
     def anchors(key, table):
         """To each shard of anchors: the chunk's, and those of two of its documents."""
-        value, twice = [], []
-        for t in _texts(table, copies):
-            own = [a for _, _, a in unit.runs(*unit.split(t.text))]
-            if own:
-                value.append(np.unique(np.concatenate(own)))
-                if t.more:
-                    twice.append(value[-1])
-        if not value:
+        texts = _texts(table, copies)
+        found, of, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+        for block in unit.blocks(t.text for t in texts):
+            for text, _, _, anchor in unit.runs(block):
+                shard, code = _key(anchor, shards)
+                found.append((shard.astype(U) << U(32)) | code)
+                of.append(text + at)
+            at += len(block.begin) - 1
+        name, of = np.concatenate(found), np.concatenate(of)
+        if not len(name):
             return table_of([])
-        u, n = np.unique(np.concatenate([*value, *twice]), return_counts=True)
-        shard, code = _key(u, shards)
-        return table_of([(key[0].as_py(), s, c.astype("<u4").tobytes(), c[k > 1].astype("<u4").tobytes(), b"") for s, c, k in _by_shard(shard, code, n)])
+        order = np.argsort(name)
+        name, of = name[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        more = np.array([t.more for t in texts])[of]
+        twice = np.logical_or.reduceat(more, first) | (np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first))
+        name = name[first]
+        shard, code = name >> U(32), (name & U(0xFFFFFFFF)).astype("<u4")
+        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()
+        return table_of([(key[0].as_py(), int(shard[a]), code[a:b].tobytes(), code[a:b][twice[a:b]].tobytes(), b"") for a, b in zip(cuts, cuts[1:])])
 
     def shared(key, table):
         """To each chunk: its anchors that stand in two documents, and those of them that are split."""
@@ -520,18 +611,15 @@ def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_
         asked = {-1 - s: np.frombuffer(c, "<u8") for _, s, _, _, c in rows_of(right) if s < 0}
         if not asked:
             return table_of([])
-        pairs = np.sort(np.concatenate([mix(h ^ U(s)) for s, h in asked.items()]))
-        found: dict[tuple[int, int], bytes] = {}
-
-        def want(raw, bounds, shard, h):
-            for i in np.flatnonzero(_in(pairs, mix(h ^ shard.astype(U)))).tolist():
-                found.setdefault((int(shard[i]), int(h[i])), raw[bounds[i][0] : bounds[i][1]])
-
-        _Places.of(unit, _Known(right, shards), (t.text for t in _texts(left, copies)), want)
-        out: dict[int, list[tuple[int, bytes]]] = {}
-        for (s, h), x in found.items():
-            out.setdefault(s, []).append((h, x))
-        return table_of([(key[0].as_py(), s, b"".join(x for _, x in r), np.array([len(x) for _, x in r], "<u4").tobytes(), np.array([h for h, _ in r], "<u8").tobytes()) for s, r in out.items()])
+        s = _Places.of(unit, _Known(right, shards), (t.text for t in _texts(left, copies)))
+        one, begin, end, _ = s.distinct()
+        of = {k: one[a:b] for k, a, b in zip(s.shard[one[begin]].tolist(), begin.tolist(), end[1:].tolist())}
+        out = []
+        for k, h in asked.items():
+            at = np.sort(of[k][np.searchsorted(s.hash[of[k]], h)])
+            x = s.strings(at, width)
+            out.append((key[0].as_py(), k, b"".join(x), np.array([len(y) for y in x], "<u4").tobytes(), s.hash[at].tobytes()))
+        return table_of(out)
 
     def marks(key, left, right):
         """To each chunk: a word of window marks for each of its distinct strings, in order, for their least ids; and for others where there are any."""
@@ -582,8 +670,7 @@ def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_
     def removed(key, left, right):
         """What is removed of each distinct text, for the least id that has it and for others."""
         texts = _texts(left, copies)
-        known = _Known(right, shards)
-        s = _Places.of(unit, known, (t.text for t in texts) if len(known.shared) else [])
+        s = _Places.of(unit, _Known(right, shards), (t.text for t in texts))
         one, begin, _, string = s.distinct()
         first, low, more = ids_of(texts, s, len(one), string)
         replies = {-1 - k: (a, c) for _, k, a, _, c in rows_of(right) if k < 0}
@@ -593,20 +680,26 @@ def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_
         all_windows = (U(1) << s.windows.astype(U)) - U(1)
         mine = np.where(low[string] < first[s.text], others[string], own[string]) & all_windows
         theirs = others[string] & all_windows
-        bounds = np.searchsorted(s.text, np.arange(len(texts) + 1)).tolist()
         out: dict = {c: [] for c in ("digest", "first", "n_symbols", *(f"{c}{k}" for k in (0, 1) for c in ("spans", "kept", "sha")))}
-        for k, t in enumerate(texts):
-            raw, n, starts, ends = unit.split(t.text)
-            at = slice(bounds[k], bounds[k + 1])
-            out["digest"].append(t.digest), out["first"].append(t.first), out["n_symbols"].append(n)
-            for which, mark in enumerate((mine[at], theirs[at])):
-                told = which == 0 or t.more
-                marked = np.flatnonzero(mark) if told else np.zeros(0, np.int64)
-                spans = _spans(s.first[at][marked].tolist(), mark[marked].tolist(), width)
-                kept = _kept(unit, raw, n, starts, ends, spans)
-                out[f"spans{which}"].append([{"start": a, "end": b} for a, b in spans] if told else None)
-                out[f"kept{which}"].append(kept if with_text and told else None)
-                out[f"sha{which}"].append(hashlib.sha256(kept).hexdigest() if told else None)
+        for block, a, p, q in zip(s.blocks, s.texts.tolist(), s.places.tolist(), s.places[1:].tolist()):
+            some = texts[a : a + len(block.begin) - 1]
+            out["digest"] += [t.digest for t in some]
+            out["first"] += [t.first for t in some]
+            out["n_symbols"] += np.diff(block.begin).tolist()
+            for which, mark in enumerate((mine[p:q], theirs[p:q])):
+                of, start, end = _spans(s.text[p:q] - a, s.first[p:q], mark, width)
+                spans = list(zip(start.tolist(), end.tolist()))
+                cuts = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
+                for k, t in enumerate(some):
+                    if which and not t.more:
+                        for c in ("spans1", "kept1", "sha1"):
+                            out[c].append(None)
+                        continue
+                    own, zero = spans[cuts[k] : cuts[k + 1]], int(block.begin[k])
+                    kept = _kept(block, k, own)
+                    out[f"spans{which}"].append([{"start": x - zero, "end": y - zero} for x, y in own])
+                    out[f"kept{which}"].append(kept if with_text else None)
+                    out[f"sha{which}"].append(hashlib.sha256(kept).hexdigest())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = {"digest": pa.binary(), "first": pa.int64(), "n_symbols": pa.int64()} | {f"{c}{k}": t for k in (0, 1) for c, t in (("spans", span), ("kept", pa.binary()), ("sha", pa.string()))}
         return pa.table(out, schema=pa.schema(list(kinds.items())))

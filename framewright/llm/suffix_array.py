@@ -34,17 +34,18 @@ def intervals(lcp: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     least = np.minimum.reduceat(np.append(lcp, 0), cut)[::2]
     most = np.maximum.reduceat(np.append(lcp, 0), cut)[::2]
     plain = least == most  # a leaf fan: the interval is the whole stretch
-    out = [np.stack([lo[plain] - 1, hi[plain], least[plain]], 1)]
+    fans = np.stack([lo[plain] - 1, hi[plain], least[plain]], 1)
+    nested: list[tuple[int, int, int]] = []
     for a, b in zip(lo[~plain].tolist(), hi[~plain].tolist()):
         stack: list[tuple[int, int]] = []
         for i, h in enumerate([*lcp[a:b].tolist(), 0], a):
             start = i - 1
             while stack and stack[-1][1] > h:
                 start, top = stack.pop()
-                out.append(np.array([[start, i, top]]))
+                nested.append((start, i, top))
             if h >= width and (not stack or stack[-1][1] < h):
                 stack.append((start, h))
-    lo, hi, length = np.concatenate(out).T
+    lo, hi, length = np.concatenate([fans, np.array(nested, np.int64).reshape(-1, 3)]).T
     return lo, hi, length
 
 

@@ -4,11 +4,12 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from framewright.llm import suffix_array, suffix_tree
+from framewright.llm import repeats, suffix_array, suffix_tree
 from framewright.llm.repeats import NO_ID, Groups, Strings, Unit, dedup, least_ids
 
 from . import cases
@@ -149,3 +150,59 @@ def test_hot_copies_and_a_crowded_name(spark, words):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     out = (suffix_tree.window_dedup if words else suffix_array.substring_dedup)(df, chunk_bytes=20_000)
     assert cases.want(told(out)) == cases.want(brute(rows, words, 50))
+
+
+def replies(anchors):
+    """What the shard of anchors tells a chunk: all of them stand in two documents."""
+    return pa.table({"shard": [0], "a": [(anchors & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()], "b": [b""]})
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_short_texts_are_hashed_together(monkeypatch, words):
+    """Array operations on each text alone cost a chunk of short texts more than its bytes do."""
+    calls, hashes = [], Unit.hashes
+    monkeypatch.setattr(Unit, "hashes", lambda *a: calls.append(1) or hashes(*a))
+    known = repeats._Known(replies(np.arange(10, dtype=np.uint64)), 1)
+    repeats._Places.of(Unit(words, 50, 16 if words else 24), known, [cases.passage(k, 80) for k in range(300)])
+    assert 0 < len(calls) <= 10
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab \xe9", max_size=40), max_size=12), st.booleans(), st.sampled_from([3, 30, 1 << 16]), st.sampled_from([5, 1 << 19]), st.integers(0, 2**32))
+def test_blocks_change_no_window(texts, words, block, piece, seed):
+    """Texts handled together have the windows, anchors, strings, spans and rests that each has alone."""
+    unit = Unit(words, 3, 2) if words else Unit(words, 12, 8)
+    split = [t.encode().split() if words else [bytes([x]) for x in t.encode()] for t in texts]
+    glue = b" " if words else b""
+    alone = {}
+    for k, t in enumerate(texts):
+        for _, first, size, anchor in unit.runs(unit.block([t])):
+            alone |= {(k, f + j): a for f, m, a in zip(first.tolist(), size.tolist(), anchor.tolist()) for j in range(m)}
+    assert alone.keys() == {(k, f) for k, s in enumerate(split) for f in range(len(s) - unit.width + 1)}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(repeats, "BLOCK", block)
+        patch.setattr(repeats, "PIECE", piece)
+        known = repeats._Known(replies(np.array(list(alone.values()), np.uint64)), 1)
+        s = repeats._Places.of(unit, known, texts)
+        r = np.random.default_rng(seed)
+        marks = r.integers(0, 1 << 62, len(s.text), dtype=np.uint64) & ((np.uint64(1) << s.windows.astype(np.uint64)) - np.uint64(1))
+        assert s.texts[-1] == len(texts) and s.places[-1] == len(s.text)
+        seen = set()
+        for b, a, p, q in zip(s.blocks, s.texts.tolist(), s.places.tolist(), s.places[1:].tolist()):
+            of, start, end = repeats._spans(s.text[p:q] - a, s.first[p:q], marks[p:q], unit.width)
+            for k in range(len(b.begin) - 1):
+                zero, own = int(b.begin[k]), split[a + k]
+                gone = [False] * len(own)
+                for i in range(p, q):
+                    if s.text[i] == a + k:
+                        f, m = int(s.first[i]) - zero, int(s.windows[i])
+                        assert int(s.code[i]) == alone[a + k, f] & 0xFFFFFFFF and s.strings(np.array([i]), unit.width) == [glue.join(own[f : f + m + unit.width - 1])]
+                        for j in range(m):
+                            assert (a + k, f + j) not in seen
+                            seen.add((a + k, f + j))
+                            if int(marks[i]) >> j & 1:
+                                gone[f + j : f + j + unit.width] = [True] * unit.width
+                spans = [(int(x), int(y)) for o, x, y in zip(of, start, end) if o == k]
+                assert [g for g, before in zip(gone, [False, *gone]) if g and not before] == [True] * len(spans) and {x - zero for c, d in spans for x in range(c, d)} == {x for x, g in enumerate(gone) if g}
+                assert b.text(k) == glue.join(own) and repeats._kept(b, k, spans) == glue.join(x for x, g in zip(own, gone) if not g)
+        assert seen == set(alone)
