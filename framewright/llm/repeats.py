@@ -192,11 +192,18 @@ class Strings:
         self.lone = np.zeros(len(size), bool) if lone is None else lone
         # Strings lie apart by q zeros (symbols are 1 and up), so that a word never holds two strings.
         self.base = np.cumsum(size + q) - size - q
-        self.flat = np.zeros(int((size + q).sum()) + q, U)
-        self.flat[np.repeat(self.base, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = symbols
+        self.flat = np.zeros(int((size + q).sum()) + q, symbols.dtype)
+        inside = np.ones(len(self.flat), bool)
+        inside[((self.base + size)[:, None] + np.arange(q)).ravel()] = False
+        inside[len(inside) - q :] = False
+        self.flat[inside] = symbols
+        del inside
         self.packed = np.zeros(len(self.flat), U)
-        for j in range(q):
-            self.packed[: len(self.flat) - j] |= self.flat[j:] << U(64 - self.bits * (j + 1))
+        for at in range(0, len(self.flat), BLOCK):  # slices, so that no copy of all symbols is as wide as a word
+            word = self.packed[at : at + BLOCK]
+            for j in range(q):
+                part = self.flat[at + j : at + j + len(word)]
+                word[: len(part)] |= part.astype(U) << U(64 - self.bits * (j + 1))
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """(string, offset) of all suffixes of ``width`` and more symbols."""
@@ -640,16 +647,18 @@ def dedup(docs: DataFrame, unit: Unit, find: Find, q: int, hot: int = 64, chunk_
                 known: dict[bytes, int] = {}
                 words = [data[a:b].split(b" ") for a, b in zip([0, *ends[:-1]], ends)]
                 size = np.array([len(w) for w in words], np.int64)
-                symbols = np.array([known.setdefault(w, len(known) + 1) for t in words for w in t], U)
+                symbols = np.array([known.setdefault(w, len(known) + 1) for t in words for w in t], np.uint32)
                 del words, known
             else:
-                symbols = np.frombuffer(data, np.uint8).astype(U) + U(1)
+                symbols = np.frombuffer(data, np.uint8).astype(np.uint16) + np.uint16(1)
             of = np.searchsorted(u, mine)  # the string of each row of symbols
             codes = np.empty(len(u), np.uint32)
             codes[at] = _join([r[2] for r in rows], "<u4")
             _, same, n = np.unique(codes[of], return_inverse=True, return_counts=True)
-            found = least_ids(Strings(symbols, size, (most > least)[of], width, q, n[same] == 1), least[of], find)
-            del symbols
+            packed = Strings(symbols, size, (most > least)[of], width, q, n[same] == 1)
+            del data, symbols
+            found = least_ids(packed, least[of], find)
+            del packed
             count = size - width + 1
             first = np.cumsum(count) - count
             row = np.full(len(u), -1)

@@ -1,6 +1,7 @@
 """Both substring dedups against brute force."""
 
 import hashlib
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -167,7 +168,7 @@ def test_short_texts_are_hashed_together(monkeypatch, words):
     assert 0 < len(calls) <= 10
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab \xe9", max_size=40), max_size=12), st.booleans(), st.sampled_from([3, 30, 1 << 16]), st.sampled_from([5, 1 << 19]), st.integers(0, 2**32))
 def test_blocks_change_no_window(texts, words, block, piece, seed):
     """Texts handled together have the windows, anchors, strings, spans and rests that each has alone."""
@@ -206,3 +207,18 @@ def test_blocks_change_no_window(texts, words, block, piece, seed):
                 assert [g for g, before in zip(gone, [False, *gone]) if g and not before] == [True] * len(spans) and {x - zero for c, d in spans for x in range(c, d)} == {x for x, g in enumerate(gone) if g}
                 assert b.text(k) == glue.join(own) and repeats._kept(b, k, spans) == glue.join(x for x, g in zip(own, gone) if not g)
         assert seen == set(alone)
+
+
+@pytest.mark.parametrize("kind,q", [(np.uint16, 4), (np.uint32, 2)])
+def test_a_shard_holds_its_symbols_narrow(kind, q):
+    """What is held beside a word for each symbol, and what filling it takes, is less than another word."""
+    size = np.full(20_000, 60)
+    symbols = np.random.default_rng(1).integers(1, 257, size.sum()).astype(kind)
+    tracemalloc.start()
+    strings = Strings(symbols, size, np.zeros(len(size), bool), 50, q)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * len(strings.packed)
+    at = int(strings.base[7])
+    assert strings.flat[at : at + 60].tolist() == symbols[420:480].tolist() and not strings.flat[at + 60 : at + 60 + q].any()
+    assert int(strings.packed[at]) == sum(int(x) << 64 - 64 // q * (j + 1) for j, x in enumerate(symbols[420 : 420 + q]))
