@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from framewright.functions.storage import fresh, shared_dir
 #: The characters of ``[\x20\x09-\x0D]``, which part words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: What ``small_batches`` lets go to Python at once: the JVM's buffers and the worker hold a few times that each.
+BATCH_BYTES = 4 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,6 +44,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES):
+    """Rows go to Python in Arrow batches of at most so many bytes (or one row) in the jobs that run meanwhile; a smaller setting of the session holds."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    spark.conf.set(name, str(min(size, most) if size > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Return to the system what this worker's allocators have free; a worker lives on, and its memory would count beside that of those at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
+def given_back(out):
+    """``out``, once what its making took is given back."""
+    give_back()
+    return out
+
+
+def lean(run):
+    """``run`` over batches, whose worker gives its memory back at the end."""
+
+    def go(batches):
+        yield from run(batches)
+        give_back()
+
+    return go
+
+
 def id_and_text(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names; a null text is empty."""
     ship(docs.sparkSession)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import chunk_count, cut, heavy, id_and_text, join_back, join_parts, mix, slices, stored, swept
+from .common import chunk_count, cut, given_back, heavy, id_and_text, join_back, join_parts, lean, mix, slices, small_batches, stored, swept
 from .graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -251,15 +251,19 @@ def candidates(docs: DataFrame, shingle: int, bound: Bound, hot: dict[int, int |
                 out[name].append(x)
         return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("id", pa.int64()), *[(c, pa.binary()) for c in "abc"]]))
 
-    texts = id_and_text(docs, text_col, id_col).mapInArrow(named, "chunk int, id bigint, text string").repartition("chunk").groupBy("chunk")
-    told = texts.applyInArrow(codes, PIECE).groupBy("shard").applyInArrow(levels, PIECE)
-    return texts.cogroup(told.groupBy("chunk")).applyInArrow(signed, "shard bigint, id bigint, a binary, b binary, c binary")
+    texts = id_and_text(docs, text_col, id_col).mapInArrow(lean(named), "chunk int, id bigint, text string").repartition("chunk").groupBy("chunk")
+    told = texts.applyInArrow(lambda key, table: given_back(codes(key, table)), PIECE)
+    told = told.groupBy("shard").applyInArrow(lambda key, table: given_back(levels(key, table)), PIECE)
+    return texts.cogroup(told.groupBy("chunk")).applyInArrow(lambda key, left, right: given_back(signed(key, left, right)), "shard bigint, id bigint, a binary, b binary, c binary")
 
 
 def meetings(bound: Bound):
     """Of a shard's signatures: many, a, b (a < b): all pairs of up to MANY sets that share one; of more each set with the first."""
 
     def met(table: pa.Table) -> pa.Table:
+        return given_back(paired(table))
+
+    def paired(table: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         ids, size, code = join("a", "<i8"), join("b", "<u4").astype(np.int64), join("c", "<u4")
         order = np.lexsort((ids, code))
@@ -296,6 +300,9 @@ def family_links(families: DataFrame, bound: Bound, block_bytes: int = BLOCK_BYT
         families = families.withColumn("part", F.col("id"))
 
     def gathered(table: pa.Table) -> pa.Table:
+        return given_back(searched(table))
+
+    def searched(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
         members = table.column("members").take(pa.array(first)).to_pylist()
         part = table.column("part").to_numpy()[first]
@@ -341,7 +348,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
 
     ``radius``: within which fingerprints are looked up first; it decides how much is left to the exact search, not what is found.
     """
-    bound = Bound(similarity)
+    with small_batches(docs.sparkSession):  # all that reads texts or sets runs here; what is returned has no Python left
+        return _components(docs, shingle, Bound(similarity), text_col, id_col, radius)
+
+
+def _components(docs: DataFrame, shingle: int, bound: Bound, text_col: str, id_col: str, radius: int) -> DataFrame:
+    """What ``similar_components`` returns."""
 
     def named(batches):
         for b in slices(batches, 200):
@@ -363,9 +375,9 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
         sides = pairs
         for end, name in (("a", "x"), ("b", "y")):
             sides = join_parts(sides, sets.select(F.col("id").alias(end), F.col("members").alias(name)), end, heavy(pairs, end))
-        return sides.select("a", "b", "x", "y").mapInArrow(confirmed, "a bigint, b bigint")
+        return sides.select("a", "b", "x", "y").mapInArrow(lean(confirmed), "a bigint, b bigint")
 
-    prints = stored(id_and_text(docs, text_col, id_col).mapInArrow(named, "doc_id bigint, id bigint, fp bigint"), "classes")
+    prints = stored(id_and_text(docs, text_col, id_col).mapInArrow(lean(named), "doc_id bigint, id bigint, fp bigint"), "classes")
     classes = cut(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     total = prints.count()
     hot = {r.id: r.first for r in classes.where(F.col("n") * 1000 > total).where("n > 1").select("id", "first").collect()}  # under a thousand

@@ -4,6 +4,7 @@ import os
 import time
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -269,3 +270,35 @@ def test_shuffled_texts_are_deleted_before_the_search(spark, sf, monkeypatch):
     monkeypatch.setattr(similar_sets, "simhash_pairs", looked)
     corpus_pipeline.near(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()
     assert left[-1] < 20_000, left
+
+
+def test_texts_reach_python_in_small_batches(spark, sf, monkeypatch):
+    """All jobs of the stage run with the bound, which holds batches of long texts, and the session's setting is there again afterwards."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    for f in (similar_sets.cut, similar_sets.stored):
+        monkeypatch.setattr(similar_sets, f.__name__, lambda *a, f=f: (seen.append(spark.conf.get(name)), f(*a))[1])
+    similar_sets.similar_components(spark.read.parquet(f"{sf}/documents.parquet").limit(50))
+    assert len(seen) > 5 and set(seen) == {str(common.BATCH_BYTES)} and spark.conf.get(name) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"])
+
+    texts = spark.range(0, 1000, 1, 1).selectExpr("repeat('a', 20000) t")
+    with common.small_batches(spark):
+        found = texts.mapInArrow(sizes, "bytes bigint, rows bigint").collect()
+    assert sum(r.rows for r in found) == 1000 and max(r.bytes for r in found) < common.BATCH_BYTES + 100_000
+    with common.small_batches(spark, 1000), common.small_batches(spark):
+        assert spark.conf.get(name) == "1000"  # a smaller setting holds
+    assert spark.conf.get(name) == before
+
+
+def test_a_worker_gives_free_memory_back():
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    parts = [np.ones(100_000, np.uint8) for _ in range(2000)]
+    last = parts[-1]  # what lies below it isn't given back by itself
+    del parts
+    full = held()
+    assert list(common.lean(iter)([1, 2])) == [1, 2]
+    assert held() < full - 150_000_000 and last.sum() == 100_000
